@@ -16,11 +16,12 @@ _BUCKET = "__bucket"
 
 def _with_bucket(df: DataFrame, keys: list[str], order: str, buckets: int) -> DataFrame:
     cuts = F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 20 * buckets)
-    below = lambda edges: F.coalesce(F.size(F.filter(edges, lambda e: e < F.col(order))), F.lit(0))
-    if not keys:
-        return df.withColumn(_BUCKET, below(df.agg(cuts.alias("c")).scalar()))
-    edges = df.groupBy(*keys).agg(cuts.alias("__cuts"))
-    return df.join(edges, keys, "left").withColumn(_BUCKET, below(F.col("__cuts"))).drop("__cuts")
+    if keys:
+        cut = df.join(df.groupBy(*keys).agg(cuts.alias("__cuts")), keys, "left")
+    else:
+        cut = df.withColumn("__cuts", df.agg(cuts.alias("c")).scalar())
+    below = F.size(F.filter("__cuts", lambda e: e < F.col(order)))
+    return cut.withColumn(_BUCKET, F.coalesce(below, F.lit(0))).drop("__cuts")
 
 
 def running_before(df: DataFrame, order: str, measures: list[str], keys: list[str] = (), buckets: int = 64) -> DataFrame:

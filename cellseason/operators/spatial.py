@@ -86,16 +86,16 @@ def build_grid(areas: DataFrame, size: float = CELL_SIZE_M) -> DataFrame:
     # rows whose centre y lies in [y_lo, y_hi): first = ceil(y_lo/size - .5), last = ceil(y_hi/size - .5) - 1
     first, last = F.ceil(y_lo / size - 0.5), F.ceil(y_hi / size - 0.5) - 1
     cuts = (edges.filter(first <= last)
-            .withColumn("cell_row", F.explode(F.sequence(first, last)).cast("int"))
+            .withColumn("cell_row", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
             .withColumn("cy", geo.cell_centre("cell_row", size))
             .withColumn("cut", F.expr("x1 + (cy - y1) * (x2 - x1) / (y2 - y1)"))
             .groupBy("poly_id", *attrs, "cell_row").agg(F.sort_array(F.collect_list("cut")).alias("cuts")))
     spans = cuts.select("poly_id", *attrs, "cell_row", F.explode(F.transform(
-        F.sequence(F.lit(0), F.size("cuts") / 2 - 1),
+        F.sequence(F.lit(0), F.shiftright(F.size("cuts"), 1) - 1),
         lambda i: F.struct(F.get("cuts", (i * 2).cast("int")).alias("a"), F.get("cuts", (i * 2 + 1).cast("int")).alias("b")))).alias("s"))
     c0, c1 = F.floor(F.col("s.a") / size - 0.5) + 1, F.ceil(F.col("s.b") / size - 0.5) - 1
     cells = (spans.filter(c0 <= c1)
-             .select("poly_id", *attrs, "cell_row", F.explode(F.sequence(c0, c1)).cast("int").alias("cell_col")))
+             .select("poly_id", *attrs, "cell_row", F.explode(F.sequence(c0.cast("int"), c1.cast("int"))).alias("cell_col")))
     best = cells.groupBy("cell_col", "cell_row").agg(
         F.min_by(F.struct("poly_id", *attrs), "poly_id").alias("a"))
     return best.select(geo.cell_id("cell_col", "cell_row").alias("cell_id"), "cell_col", "cell_row",

@@ -324,7 +324,7 @@ SELECT cell_id, campagne_calc, campagne_decade, max(sev) AS severite, ln(1 + avg
 FROM surveys_v WHERE cell_id IS NOT NULL AND campagne_calc IS NOT NULL AND campagne_decade IS NOT NULL GROUP BY 1, 2, 3""",
     "span_v": "SELECT min(year(l_shipdate)) AS lo, max(year(l_shipdate)) AS hi FROM lineitem",
     "decades_all_v": f"""
-SELECT {DECADE_DATES} FROM (SELECT {DECADE_COLUMNS} FROM (SELECT CAST(unnest(range(lo * 36 - 1, hi * 36 + 37)) AS INTEGER) AS decade_ord FROM span_v) a) b""",
+SELECT {DECADE_DATES} FROM (SELECT {DECADE_COLUMNS} FROM (SELECT CAST(unnest(range(lo * 36 - 4, hi * 36 + 40)) AS INTEGER) AS decade_ord FROM span_v) a) b""",
     "decades_v": "SELECT d.* FROM decades_all_v d, span_v WHERE campagne_decade IS NOT NULL AND year BETWEEN lo AND hi",
     "rain_v": f"SELECT cell_id, {ordinal('day')} AS decade_ord, sum(rain) AS chirps_sum_mean FROM rain_raw_v GROUP BY 1, 2",
     "veg_v": _composite_sql("veg_raw_v", "CASE WHEN (i.qa & 3) <= 1 THEN i.ndvi_raw * 0.0001e0 END AS ndvi_mean, CASE WHEN (i.qa & 3) <= 1 THEN i.evi_raw * 0.0001e0 END AS evi_mean", *VEGETATION_WINDOW),

@@ -9,7 +9,6 @@ from ..constants import PHASE_LEVELS, VEGETATION_WINDOW
 from ..functions import calendar as cal
 from ..functions import quality, scoring
 from ..operators import clean, composites, cube, metrics, models, order, selection, training
-from ..operators import text as kit
 from ..session import scratch_dir
 from ..sources import readers, sinks
 from .bindings import MODELS, Views, camp, ordinal, part, season_decade, u
@@ -133,13 +132,6 @@ def _(v: Views):
     return v.spark.read.schema("campagne_calc STRING, qwk DOUBLE, recall_23 DOUBLE, n BIGINT").option("header", True).csv(path)
 
 
-@query("A12_sections_jsonl")
-def _(v: Views):
-    path = scratch_dir(v.spark, "jsonl")
-    sinks.write_jsonl(kit.jsonl_records(kit.section_pages(kit.sections(v.markdown))), path)
-    return v.spark.read.schema("id STRING, title STRING, level INT, content STRING, source STRING").json(path)
-
-
 @query("A13_model_store")
 def _(v: Views):
     path = scratch_dir(v.spark, "model")

@@ -76,8 +76,8 @@ WITH d AS (SELECT id, campagne_calc, y_true AS y, score AS a, {u('id', 77)} AS b
 tr AS (SELECT d.*, (SELECT count(*) FROM d, last WHERE campagne_calc <> c) / (4e0 * count(*) OVER (PARTITION BY y)) AS w FROM d, last WHERE campagne_calc <> c),
 m AS (SELECT sum(w) AS sw, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * y) / sum(w) AS my FROM tr),
 s AS (SELECT sum(w * (a - ma) * (a - ma)) + 1 AS aa, sum(w * (b - mb) * (b - mb)) + 1 AS bb, sum(w * (a - ma) * (b - mb)) AS ab,
-  sum(w * (a - ma) * (y - my)) AS ay, sum(w * (b - mb) * (y - my)) AS by FROM tr, m),
-c AS (SELECT (ay * bb - ab * by) / (aa * bb - ab * ab) AS ca, (by * aa - ab * ay) / (aa * bb - ab * ab) AS cb FROM s),
+  sum(w * (a - ma) * (y - my)) AS ay, sum(w * (b - mb) * (y - my)) AS cy FROM tr, m),
+c AS (SELECT (ay * bb - ab * cy) / (aa * bb - ab * ab) AS ca, (cy * aa - ab * ay) / (aa * bb - ab * ab) AS cb FROM s),
 p AS (SELECT id AS row_id, d.y AS y_true, my + ca * (a - ma) + cb * (b - mb) AS raw FROM d, last, m, c WHERE campagne_calc = last.c)
 SELECT row_id, y_true, CAST(greatest(0, least(3, round_even(raw, 0))) AS INTEGER) AS y_pred, round(1 / (1 + exp(-(raw - 0.5e0))), 6) AS score FROM p"""
 

@@ -41,11 +41,21 @@ def _(v: Views):
 
 # --- sections --------------------------------------------------------------------------------------------------------------
 
-B = tx.BLANK.replace("\\x{85}", "\\x{85}")
+B = tx.BLANK
 RX = f"^(#{{1,6}})[{B}]+(.+)$"
-STRIP = "regexp_replace({x}, '^[%s]+|[%s]+$', '', 'g')" % (B, B)
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[{B}]+|[{B}]+$', '', 'g')"
+
+
+def anchor_sql(x: str) -> str:
+    kept = "regexp_replace(lower(" + x + "), '[^\\p{L}\\p{N}_" + B + "-]', '', 'g')"
+    return f"regexp_replace({kept}, '[-{B}]+', '-', 'g')"
+
+
 SECTIONS = f"""(SELECT doc_id, CAST(row_number() OVER w AS INTEGER) AS section_no, CAST(length(regexp_extract(l, '{RX}', 1)) AS INTEGER) AS level,
-  {STRIP.format(x=f"regexp_extract(l, '{RX}', 2)")} AS title, CAST(i AS INTEGER) AS start_line, coalesce(lead(i) OVER w, n + 1) AS stop, ls FROM (
+  {strip_sql(f"regexp_extract(l, '{RX}', 2)")} AS title, CAST(i AS INTEGER) AS start_line, coalesce(lead(i) OVER w, n + 1) AS stop, ls FROM (
   SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i, len(ls) AS n, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM md_v) a) b
   WHERE regexp_matches(l, '{RX}') WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
 BODY = "array_to_string(list_slice(ls, start_line, stop - 1), chr(10))"
@@ -56,6 +66,15 @@ def _(v: Views):
     return kit.sections(v.markdown).drop("prev_title", "next_title")
 
 
+@query("A12_sections_jsonl", f"""
+SELECT concat(doc_id, '_section_', lpad(CAST(section_no AS VARCHAR), 3, '0')) AS id, title, level, CAST(doc_id AS VARCHAR) AS source,
+  {strip_sql(f"concat('# Section ', section_no, ': ', title, chr(10), chr(10), '> Extrait de: ', doc_id, '.md', chr(10), '> Niveau: ', level, chr(10), '> Position: ligne ', start_line, chr(10), chr(10), '---', chr(10), chr(10), {BODY})")} AS content FROM {SECTIONS} s""")
+def _(v: Views):
+    path = scratch_dir(v.spark, "jsonl")
+    sinks.write_jsonl(kit.jsonl_records(kit.section_pages(kit.sections(v.markdown))), path)
+    return v.spark.read.schema("id STRING, title STRING, level INT, content STRING, source STRING").json(path)
+
+
 @query("T1_custom_heading", r"""
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS section_no, CAST(i AS INTEGER) AS start_line, l AS title FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) a WHERE regexp_matches(l, '^[A-Z][a-z]+ .+\.$')""")
@@ -65,16 +84,13 @@ def _(v: Views):
     return s.select("doc_id", "section_no", "start_line", "title")
 
 
-ANCHOR = "regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_%s-]', '', 'g'), '[-%s]+', '-', 'g')" % (B.replace("{", "{{").replace("}", "}}"), B.replace("{", "{{").replace("}", "}}"))
-
-
-@query("T2_anchors", f"SELECT doc_id, section_no, {ANCHOR.format(x='title')} AS anchor FROM {SECTIONS} s")
+@query("T2_anchors", f"SELECT doc_id, section_no, {anchor_sql('title')} AS anchor FROM {SECTIONS} s")
 def _(v: Views):
     return kit.sections(v.markdown).select("doc_id", "section_no", tx.anchor("title").alias("anchor"))
 
 
 def file_sql(no: str, title: str) -> str:
-    return f"concat('section_', lpad(CAST({no} AS VARCHAR), 3, '0'), '_', substr({ANCHOR.format(x=title)}, 1, 50), '.md')"
+    return f"concat('section_', lpad(CAST({no} AS VARCHAR), 3, '0'), '_', substr({anchor_sql(title)}, 1, 50), '.md')"
 
 
 @query("T3_section_index", f"""
@@ -156,7 +172,7 @@ def _(v: Views):
     return g.withColumn("definitions", F.array_join("definitions", "|"))
 
 
-@query("T11_clean_text", f"SELECT page_id, {STRIP.format(x='''regexp_replace(regexp_replace(replace(html, '><', concat('>   ', chr(10), chr(10), chr(10), chr(10), '<')), ' +', ' ', 'g'), concat(chr(10), '{{3,}}'), concat(chr(10), chr(10)), 'g')''')} AS text FROM pages")
+@query("T11_clean_text", f"SELECT page_id, {strip_sql('''regexp_replace(regexp_replace(replace(html, '><', concat('>   ', chr(10), chr(10), chr(10), chr(10), '<')), ' +', ' ', 'g'), concat(chr(10), '{3,}'), concat(chr(10), chr(10)), 'g')''')} AS text FROM pages")
 def _(v: Views):
     loose = F.replace(F.col("html"), F.lit("><"), F.lit(">   \n\n\n\n<"))
     return v.table("pages").select("page_id", tx.clean_text(loose).alias("text"))

@@ -101,21 +101,22 @@ def chunks(text, size: int = 1000, overlap: int = 200) -> Column:
     if size // 2 + 1 <= overlap:
         raise ValueError("overlap must stay below half the chunk size, or a chunk might not advance")
     t = _c(text)
-    n = F.length(t)
-    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / F.lit(size // 2 + 1 - overlap)).cast("int")))
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(t) / F.lit(size // 2 + 1 - overlap)).cast("int")))
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    state = F.struct(empty.alias("out"), F.lit(0).alias("at"))
+    # the length is taken once and carried along: inside the fold it would be recounted at every step
+    state = F.struct(empty.alias("out"), F.lit(0).alias("at"), F.length(t).alias("n"))
 
     def advance(s, _):
-        at = s["at"]
+        at, n = s["at"], s["n"]
         stop = at + size
-        window = F.substring(t, at + 1, F.lit(size))
-        last = F.length(window) - F.locate("\n", F.reverse(window))
-        back = (stop < n) & (F.locate("\n", window) > 0) & (last > size // 2)
-        end = F.when(back, at + last).otherwise(stop).cast("int")
-        grown = F.struct(
-            F.concat(s["out"], F.array(F.struct(at.cast("int").alias("start"), end.alias("end")))).alias("out"),
-            (end - overlap).cast("int").alias("at"))
+        tail = F.reverse(F.substring(t, at + 1, F.lit(size)))
+        # distance of the last line feed from the end of the window, 0 when there is none
+        gap = F.get(F.transform(F.array(F.when(stop < n, F.locate("\n", tail)).otherwise(0)),
+                                lambda g: F.when((g > 0) & (size - g > size // 2), g).otherwise(0)), F.lit(0))
+        end = stop - gap
+        grown = F.get(F.transform(F.array(end.cast("int")), lambda e: F.struct(
+            F.concat(s["out"], F.array(F.struct(at.cast("int").alias("start"), e.alias("end")))).alias("out"),
+            (e - overlap).cast("int").alias("at"), n.alias("n"))), F.lit(0))
         return F.when(at < n, grown).otherwise(s)
 
     return F.aggregate(steps, state, advance, lambda s: s["out"])

@@ -28,20 +28,28 @@ def monthly_rain(df: DataFrame, rain: str = "chirps_sum_mean") -> DataFrame:
 def with_rain_streak(df: DataFrame, rain: str = "chirps_sum_mean", band=RAIN_BAND, name: str = "pop_consecutive") -> DataFrame:
     """Consecutive months inside the rain band per (cell, campaign), the same value on each decade of a month.
 
-    Written with row windows only: the monthly sum, the first row of a month as its representative, and a
-    running island number. Nothing is aggregated and joined back, so no exchange is added."""
-    month = Window.partitionBy("cell_id", "campagne_calc", "year", "month")
-    season = (Window.partitionBy("cell_id", "campagne_calc").orderBy("year", "month", "date_start")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    island = (Window.partitionBy("cell_id", "campagne_calc", "__isl").orderBy("year", "month", "date_start")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    in_band = F.coalesce(F.sum(rain).over(month), F.lit(0.0)).between(*band)
-    head = F.row_number().over(month.orderBy("date_start")) == 1
-    out = df.withColumns({"__in": in_band, "__head": head})
-    out = out.withColumn("__isl", F.sum((F.col("__head") & ~F.col("__in")).cast("int")).over(season))
-    run = F.sum((F.col("__head") & F.col("__in")).cast("int")).over(island)
-    streak = F.when(F.col("campagne_calc").isNotNull(), F.when(F.col("__in"), run).otherwise(0))
-    return out.withColumn(name, streak.cast("int")).drop("__in", "__head", "__isl")
+    Everything is read off one ordering, (cell, date): a month is at most the two rows before and after, so
+    its sum is five shifted terms; the streak is the running count of in-band months minus the count at the
+    last break (an out-of-band month or a new campaign). No exchange and no further sort is added to the
+    lag features. ``(cell_id, year, month, decade_part)`` must be unique."""
+    w = _by_cell()
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    month = F.col("year") * 12 + F.col("month")
+    out = df.withColumn("__m", month)
+    at = lambda k: F.when(F.lag("__m", k).over(w) == F.col("__m"), F.lag(rain, k).over(w))
+    total = sum((F.coalesce(at(k), F.lit(0.0)) for k in (2, 1, -1, -2)), F.coalesce(F.col(rain), F.lit(0.0)))
+    before = F.lag("campagne_calc", 1).over(w)
+    out = out.withColumns({
+        "__in": total.between(*band) & F.col("campagne_calc").isNotNull(),
+        "__head": ~F.lag("__m", 1).over(w).eqNullSafe(F.col("__m")),
+        "__new": ~before.eqNullSafe(F.col("campagne_calc"))})
+    hit = (F.col("__in") & F.col("__head")).cast("int")
+    out = out.withColumn("__n", F.sum(hit).over(run))
+    base = F.when(F.col("__new"), F.col("__n") - hit).when(~F.col("__in"), F.col("__n"))
+    out = out.withColumn("__base", F.max(base).over(run))
+    streak = F.when(F.col("__in"), F.col("__n") - F.col("__base")).otherwise(0)
+    return (out.withColumn(name, F.when(F.col("campagne_calc").isNotNull(), streak).cast("int"))
+            .drop("__m", "__in", "__head", "__new", "__n", "__base"))
 
 
 def _by_cell():

@@ -15,6 +15,7 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +96,9 @@ class AllThresholdLogistic:
         if len(self.classes) < 2:
             raise ValueError("an ordinal model needs at least two levels")
         borders = self.classes[:-1]
-        x = vector_to_array("features")
+        # centring only moves the thresholds, which carry no penalty, and keeps the fit well conditioned
+        centre = [float(m) for m in train.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"]]
+        x = F.zip_with(vector_to_array("features"), F.array(*[F.lit(m) for m in centre]), lambda a, m: a - m)
         dummies = lambda i: F.array(*[F.when(i == j, F.lit(self.BIG)).otherwise(F.lit(0.0)) for j in range(len(borders))])
         rows = (train.select("features", "y", "class_weight",
                              F.posexplode(F.array(*[F.lit(b) for b in borders])).alias("i", "b"))
@@ -108,7 +111,8 @@ class AllThresholdLogistic:
         k = len(borders)
         self.slopes = coef[:-k]
         # passing border j means slope.x + threshold_j > 0; sorting keeps the borders ordered
-        self.thresholds = sorted((c * self.BIG for c in coef[-k:]), reverse=True)
+        shift = sum(b * m for b, m in zip(self.slopes, centre))
+        self.thresholds = sorted((c * self.BIG - shift for c in coef[-k:]), reverse=True)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -137,7 +141,7 @@ class Classifier:
             return self
         est = self.make(width, len(self.classes)).setLabelCol("__code").setFeaturesCol("features")
         if self.one_vs_rest and len(self.classes) > 2:
-            est = OneVsRest(classifier=est, labelCol="__code", featuresCol="features", parallelism=2)
+            est = OneVsRest(classifier=est, labelCol="__code", featuresCol="features", parallelism=4)
         if self.weighted:
             est = est.setWeightCol("class_weight")
         self.model = est.fit(coded)

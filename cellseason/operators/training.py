@@ -91,18 +91,19 @@ def campaigns(df: DataFrame, campaign: str = "campagne_calc", skip=SKIPPED_CAMPA
     return rows.withColumn("start_year", campaign_start_year("campagne"))
 
 
+def _season_runs(seasons: DataFrame, *fields: str) -> DataFrame:
+    """Sorted seasons as one short array ``ss``: fold building is array arithmetic, not a join."""
+    return seasons.agg(F.sort_array(F.collect_set(F.struct("start_year", *fields))).alias("ss"))
+
+
 def walk_forward_folds(df: DataFrame, campaign: str = "campagne_calc", skip=SKIPPED_CAMPAIGNS) -> DataFrame:
     """``(fold_id, role, campagne)``: every campaign after the first is tested on all earlier ones."""
-    camps = campaigns(df, campaign, skip)
-    train = camps.select(F.col("campagne").alias("c"), F.col("start_year").alias("y"))
-    # season lists are a few dozen rows: the join below is over seasons, never over data rows
-    pairs = camps.join(train, F.col("y") < F.col("start_year"))
-    tests = pairs.select("campagne", "start_year").distinct()
-    numbered = tests.withColumn("fold_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("start_year")))
-    test_rows = numbered.select("fold_id", F.lit("test").alias("role"), "campagne")
-    train_rows = (pairs.join(numbered.select("campagne", "fold_id"), "campagne")
-                  .select("fold_id", F.lit("train").alias("role"), F.col("c").alias("campagne")))
-    return train_rows.unionByName(test_rows)
+    runs = _season_runs(campaigns(df, campaign, skip), "campagne")
+    tests = runs.select("ss", F.posexplode("ss").alias("fold_id", "s")).filter("fold_id > 0")
+    rows = F.concat(F.array(F.struct(F.lit("test").alias("role"), F.col("s.campagne").alias("campagne"))),
+                    F.transform(F.slice("ss", F.lit(1), F.col("fold_id")),
+                                lambda t: F.struct(F.lit("train").alias("role"), t["campagne"].alias("campagne"))))
+    return tests.select("fold_id", F.inline(rows))
 
 
 def split_folds(df: DataFrame, campaign: str = "campagne_calc", split: str = "split") -> DataFrame:
@@ -111,13 +112,13 @@ def split_folds(df: DataFrame, campaign: str = "campagne_calc", split: str = "sp
     seasons = (df.filter(F.col(split).isin("train", "validation"))
                .select(F.col(campaign).alias("campagne"), F.col(split).alias("split")).distinct()
                .withColumn("start_year", campaign_start_year("campagne")))
-    val = seasons.filter("split = 'validation'").select("campagne", "start_year")
-    numbered = val.withColumn("fold_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("start_year")))
-    other = seasons.select(F.col("campagne").alias("c"), F.col("split").alias("s"), F.col("start_year").alias("y"))
-    train = (numbered.join(other, (F.col("s") == "train") | (F.col("y") < F.col("start_year")))
-             .select("fold_id", F.lit("train").alias("role"), F.col("c").alias("campagne"), F.col("s").alias("split")))
-    test = numbered.select("fold_id", F.lit("test").alias("role"), "campagne", F.lit("validation").alias("split"))
-    return train.unionByName(test)
+    runs = _season_runs(seasons, "campagne", "split")
+    val = F.filter("ss", lambda t: t["split"] == "validation")
+    tests = runs.select("ss", F.posexplode(val).alias("i", "s"))
+    named = lambda role, t: F.struct(F.lit(role).alias("role"), t["campagne"].alias("campagne"), t["split"].alias("split"))
+    train = F.filter("ss", lambda t: (t["split"] == "train") | (t["start_year"] < F.col("s.start_year")))
+    rows = F.concat(F.array(named("test", F.col("s"))), F.transform(train, lambda t: named("train", t)))
+    return tests.select((F.col("i") + 1).alias("fold_id"), F.inline(rows))
 
 
 def fold_list(folds: DataFrame) -> list[tuple[list[str], str]]:
@@ -136,14 +137,15 @@ def fold_rows(df: DataFrame, folds: DataFrame, campaign: str = "campagne_calc")
 def stratified_holdout(df: DataFrame, key: str, label: str, share: float = 0.20, seed: int = 42) -> DataFrame:
     """Marks ``share`` of each class as hold-out: the rows whose draw ranks lowest in the class.
 
-    Ranks come from distributed running counts, so a class of any size is fine."""
+    Distributed running counts give one cut value per class; rows then only compare their own draw."""
     drawn = df.withColumn("__u", draw(key, seed))
-    tally = (drawn.groupBy(label, "__u").agg(F.count("*").alias("__c")))
-    ranked = running_before(tally, "__u", ["__c"], [label])
+    tally = drawn.groupBy(label, "__u").agg(F.count("*").alias("__c"))
     size = tally.groupBy(label).agg(F.sum("__c").alias("__n"))
-    cut = ranked.join(size, label).select(
-        label, "__u", (F.col("__c_before") < F.rint(F.col("__n") * F.lit(share))).alias("is_holdout"))
-    return drawn.join(cut, [label, "__u"]).drop("__u")
+    cut = (running_before(tally, "__u", ["__c"], [label]).join(size, label)
+           .filter(F.col("__c_before") < F.rint(F.col("__n") * F.lit(share)))
+           .groupBy(label).agg(F.max("__u").alias("__cut")))
+    return (drawn.join(cut, label, "left")
+            .withColumn("is_holdout", F.coalesce(F.col("__u") <= F.col("__cut"), F.lit(False))).drop("__u", "__cut"))
 
 
 def binary_target(df: DataFrame, target: str = "severite") -> Column:

@@ -136,9 +136,13 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """Each table is resolved once, so its footer is read once per query."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
     def raw(self, name: str) -> DataFrame:
         text = RAW[name](_Spark)
@@ -256,9 +260,21 @@ class Views:
         out = out.withColumn("label", F.when(F.col("split") != "inference", F.col("lab"))).drop("lab")
         return out.withColumn("chirps_sum_mean", draw(F.col("rn_num") * 997 + F.col("campagne_decade") * 31 + y, 5) * 100.0)
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.table("documents"), "doc_id")
+
     @cached_property
     def markdown(self) -> DataFrame:
-        return self.raw("md_v")
+        return spread(self.raw("md_v"), "doc_id")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when a small input arrives as fewer partitions than cores; text work is CPU-bound.
+
+    A large input has more partitions than cores already and passes through without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def _draws(key: str, seed: int):

@@ -9,7 +9,7 @@ from ..operators import outputs
 from ..operators import text as kit
 from ..session import scratch_dir
 from ..sources import sinks
-from .bindings import Views
+from .bindings import Views, spread
 from .catalog_space import BOX_TEXT, MAP_SQL, maps
 from .registry import query
 
@@ -80,7 +80,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGE
   SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) a WHERE regexp_matches(l, '^[A-Z][a-z]+ .+\.$')""")
 def _(v: Views):
     """Sections by another heading rule: lines that start with a plain capitalised word and end a sentence."""
-    s = kit.sections(v.table("documents"), heading=r"^()([A-Z][a-z]+ .+\.)$")
+    s = kit.sections(v.documents, heading=r"^()([A-Z][a-z]+ .+\.)$")
     return s.select("doc_id", "section_no", "start_line", "title")
 
 
@@ -111,7 +111,7 @@ SELECT doc_id, n AS occurrences, trim(concat(CASE WHEN a > 0 THEN '...' ELSE ''
   SELECT doc_id, text, n, greatest(0, pos - 100) AS a, least(length(text), pos + 5 + 100) AS z FROM (
     SELECT doc_id, text, CAST((length(text) - length(replace(lower(text), 'eleau', ''))) // 5 AS INTEGER) AS n, strpos(lower(text), 'eleau') - 1 AS pos FROM documents) x WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 10) y""")
 def _(v: Views):
-    docs = v.table("documents").select("doc_id", F.col("text").alias("content"), F.lit(1).alias("section_no"))
+    docs = v.documents.select("doc_id", F.col("text").alias("content"), F.lit(1).alias("section_no"))
     return kit.search_sections(docs, "eLeau").select("doc_id", "occurrences", "preview")
 
 
@@ -131,7 +131,7 @@ def _end(a: str) -> str:
 
 @query("T6_chunks", CHUNKS_SQL.format(end0=_end("0"), end1=_end("z - 200")))
 def _(v: Views):
-    return kit.chunk_documents(v.table("documents"))
+    return kit.chunk_documents(v.documents)
 
 
 WORDS = ("eau", "tion", "ment", "the", "und", "NDVI")
@@ -141,7 +141,7 @@ WORDS = ("eau", "tion", "ment", "the", "und", "NDVI")
 SELECT keyword, doc_id, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_documents FROM (SELECT k AS keyword, doc_id, (length(text) - length(replace(lower(text), lower(k), ''))) // length(k) AS n
   FROM documents CROSS JOIN (SELECT unnest({list(WORDS)!r}) AS k) w) q WHERE n > 0 GROUP BY GROUPING SETS ((keyword, doc_id), (keyword))""")
 def _(v: Views):
-    return kit.keyword_index(v.table("documents"), keywords=WORDS)
+    return kit.keyword_index(v.documents, keywords=WORDS)
 
 
 @query("T7_document_stats", f"""
@@ -161,7 +161,7 @@ SELECT doc_id, CAST(i AS INTEGER) AS line, concat(array_to_string(list_slice(ls,
   SELECT doc_id, ls, len(ls) AS n, nl, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (
     SELECT doc_id, suffix(text, chr(10)) AS nl, string_split(CASE WHEN suffix(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS ls FROM documents WHERE text <> '') a) b WHERE contains(lower(l), 'queau')""")
 def _(v: Views):
-    return kit.keyword_context(v.table("documents"), "Queau")
+    return kit.keyword_context(v.documents, "Queau")
 
 
 @query("T10_glossary", """
@@ -175,7 +175,7 @@ def _(v: Views):
 @query("T11_clean_text", f"SELECT page_id, {strip_sql('''regexp_replace(regexp_replace(replace(html, '><', concat('>   ', chr(10), chr(10), chr(10), chr(10), '<')), ' +', ' ', 'g'), concat(chr(10), '{3,}'), concat(chr(10), chr(10)), 'g')''')} AS text FROM pages")
 def _(v: Views):
     loose = F.replace(F.col("html"), F.lit("><"), F.lit(">   \n\n\n\n<"))
-    return v.table("pages").select("page_id", tx.clean_text(loose).alias("text"))
+    return spread(v.table("pages"), "page_id").select("page_id", tx.clean_text(loose).alias("text"))
 
 
 @query("T12_links", r"""

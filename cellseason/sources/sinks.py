@@ -13,16 +13,18 @@ def write_stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_cube(df: DataFrame, path: str, partition: str = "campagne_calc", spread: str = "cell_id", files: int | None = None) -> None:
-    """Partitioned dataset; ``overwrite`` purges earlier parts. Rows are spread by cell within a partition
-    so that a large campaign becomes several files and a small one does not become many."""
-    layout = df.repartition(files, partition, spread) if files else df.repartition(partition, F.pmod(F.xxhash64(spread), F.lit(16)))
-    layout.write.mode("overwrite").partitionBy(partition).parquet(path)
+def write_cube(df: DataFrame, path: str, partition: str = "campagne_calc", spread: str = "cell_id") -> None:
+    """Partitioned dataset; ``overwrite`` purges earlier parts.
+
+    Range partitioning on (campaign, cell) balances the tasks by size: a large campaign becomes several
+    files, small ones share a task, and the file count stays near tasks + campaigns."""
+    df.repartitionByRange(partition, spread).write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, partition: str = "campagne_calc") -> None:
     """Overwrites only the partitions present in ``df``."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    (df.repartitionByRange(partition, "cell_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition).parquet(path))
 
 
 def upsert_cube(spark: SparkSession, incoming: DataFrame, path: str, staging: str,

@@ -124,6 +124,11 @@ def _threshold_at(k: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in THRESHOLDS]), k)
 
 
+def _best(metric: str, eligible: Column) -> Column:
+    """Lowest grid position ``k`` with the largest metric among the eligible ones, NULL when there is none."""
+    return -F.max(F.when(eligible, F.struct(F.col(metric), (-F.col("k")).alias("nk"))))["nk"]
+
+
 def best_f1_threshold(df: DataFrame, label: str = "label", score: str = "score", keys=()) -> DataFrame:
     """Grid threshold with the best F1, the lowest one on ties, 0.20 when nothing is predicted.
 
@@ -138,8 +143,7 @@ def best_f1_threshold(df: DataFrame, label: str = "label", score: str = "score",
                                       F.sum(F.when(on, F.col("q")).otherwise(0)).cast("double").alias("fp"),
                                       F.sum("p").cast("double").alias("pos"))
     f1 = F.when(F.col("tp") + F.col("fp") > 0, _prf(F.col("tp"), F.col("fp"), F.col("pos") - F.col("tp"))["f1"])
-    best = at.withColumn("f1", f1).groupBy(*keys).agg(
-        F.max_by("k", F.when(F.col("f1").isNotNull(), F.struct(F.col("f1"), -F.col("k")))).alias("k"))
+    best = at.withColumn("f1", f1).groupBy(*keys).agg(_best("f1", F.col("f1").isNotNull()).alias("k"))
     return best.select(*keys, F.coalesce(_threshold_at(F.col("k")), F.lit(0.20)).alias("threshold"))
 
 
@@ -223,8 +227,7 @@ def best_target_threshold(df: DataFrame, probabilities: str, truth: str = "y_tru
               .groupBy(*keys, "k", "y", "p").agg(F.sum("n").alias("n")))
     scored = _f1_by_class(counts, keys + ["k"], None)
     ok = (F.col("nonzero") > 0) & (F.col("f1_macro") >= min_f1)
-    best = scored.groupBy(*keys).agg(
-        F.max_by("k", F.when(ok, F.struct(F.col("recall_G"), -F.col("k")))).alias("k"))
+    best = scored.groupBy(*keys).agg(_best("recall_G", ok).alias("k"))
     return best.select(*keys, F.coalesce(_threshold_at(F.col("k")), F.lit(0.15)).alias("threshold_G"))
 
 

@@ -44,7 +44,7 @@ def potential(level, density) -> Column:
     level = _c(level)
     rows = F.create_map(*[x for name, row in POTENTIAL.items()
                           for x in (F.lit(name), F.array(*[F.lit(v) for v in row]))])
-    hit = F.try_element_at(F.try_element_at(rows, level), density_class(density) + 1)
+    hit = F.get(F.try_element_at(rows, level), density_class(density))
     return F.when(level == "absent", 0).otherwise(hit)
 
 

@@ -121,7 +121,7 @@ def _grid_bucket(score) -> Column:
 
 
 def _threshold_at(k: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(t) for t in THRESHOLDS]), k)
+    return F.get(F.array(*[F.lit(t) for t in THRESHOLDS]), k - 1)
 
 
 def _best(metric: str, eligible: Column) -> Column:

@@ -48,7 +48,7 @@ def _with_code(df: DataFrame, classes: list[int]) -> DataFrame:
 
 
 def _decode(code: Column, classes: list[int]) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in classes]), code.cast("int") + 1)
+    return F.get(F.array(*[F.lit(c) for c in classes]), code.cast("int"))
 
 
 # --- regressions --------------------------------------------------------------------------------------
@@ -412,7 +412,7 @@ def predict_hierarchical(df: DataFrame, presence: PresenceModel, density: Densit
     """Presence first; a predicted absence leaves density and phase NULL."""
     scored = phase.predict(density.predict(presence.predict(df)))
     here = F.col("score") >= threshold
-    name = F.element_at(F.array(*[F.lit(p) for p in PHASES]), thresholded_phase("phase_p", F.lit(threshold_g)) + 1)
+    name = F.get(F.array(*[F.lit(p) for p in PHASES]), thresholded_phase("phase_p", F.lit(threshold_g)))
     return scored.select(*keys, here.cast("int").alias("presence_pred"), F.when(here, F.col("densite_pred")).alias("densite_pred"),
                          F.when(here, name).alias("phase_pred"))
 

@@ -412,14 +412,19 @@ def _(v: Views):
     return selection.rank_robust(selection.model_summary(detail(v), MODELS), 0.2)
 
 
-WILCOXON_SQL = """
-WITH d AS (SELECT a.modele AS modele_a, b.modele AS modele_b, a.recall_23 AS va, b.recall_23 AS vb, round(a.recall_23 - b.recall_23, 12) AS d FROM detail_v a JOIN detail_v b USING (campagne_calc) WHERE a.modele < b.modele),
+ERFC = "(((((1.061405429e0 * {t} - 1.453152027e0) * {t} + 1.421413741e0) * {t} - 0.284496736e0) * {t} + 0.254829592e0) * {t} * exp(-{x} * {x}))".format(
+    t="(1 / (1 + 0.3275911e0 * abs(z) / sqrt(2)))", x="(abs(z) / sqrt(2))")
+WILCOXON_SQL = f"""
+WITH d AS (SELECT a.modele AS modele_a, b.modele AS modele_b, a.recall_23 AS va, b.recall_23 AS vb, round(a.recall_23 - b.recall_23, 12) AS d FROM detail_v a JOIN detail_v b USING (campagne_calc) WHERE a.modele < b.modele AND a.recall_23 IS NOT NULL AND b.recall_23 IS NOT NULL),
 r AS (SELECT *, rank() OVER (PARTITION BY modele_a, modele_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY modele_a, modele_b, abs(d)) - 1) / 2e0 AS r, count(*) OVER (PARTITION BY modele_a, modele_b, abs(d)) AS ties FROM d WHERE d <> 0),
-s AS (SELECT modele_a, modele_b, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w, count(*) AS n, max(ties) AS ties FROM r GROUP BY 1, 2),
+s AS (SELECT modele_a, modele_b, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w, count(*) AS n, max(ties) AS ties, sum(ties * ties - 1) AS tie FROM r GROUP BY 1, 2),
 sub AS (SELECT n, m, list_sum(list_transform(range(n), lambda b: CASE WHEN (m >> b) & 1 = 1 THEN b + 1 ELSE 0 END)) AS tot FROM (SELECT DISTINCT n, unnest(range(CAST(pow(2, n) AS BIGINT))) AS m FROM s) x),
-p AS (SELECT s.*, least(1, 2e0 * count(*) FILTER (WHERE sub.tot <= s.w) / pow(2, s.n)) AS p FROM s JOIN sub USING (n) GROUP BY modele_a, modele_b, w, s.n, ties),
-m AS (SELECT modele_a, modele_b, count(*) AS n_paires, avg(va) AS ma, avg(vb) AS mb FROM d GROUP BY 1, 2)
-SELECT m.modele_a, m.modele_b, n_paires, round(ma, 4) AS mean_a, round(mb, 4) AS mean_b, round(ma - mb, 4) AS diff_a_minus_b, round(w, 2) AS statistic, round(p, 4) AS p_value, p < 0.05 AS significatif_05 FROM m JOIN p USING (modele_a, modele_b)"""
+p AS (SELECT modele_a, modele_b, w, s.n, ties, tie, least(1, 2e0 * count(*) FILTER (WHERE sub.tot <= s.w) / pow(2, s.n)) AS p_exact FROM s JOIN sub USING (n) GROUP BY modele_a, modele_b, w, s.n, ties, tie),
+m AS (SELECT modele_a, modele_b, count(*) AS n_paires, avg(va) AS ma, avg(vb) AS mb FROM d GROUP BY 1, 2),
+z AS (SELECT m.*, p.n, p.w, p.ties, p.p_exact, (w - n * (n + 1) / 4e0) / sqrt((n * (n + 1) * (2 * n + 1) - tie / 2e0) / 24e0) AS z FROM m LEFT JOIN p USING (modele_a, modele_b)),
+f AS (SELECT *, n_paires >= 5 AND n IS NOT NULL AS usable, CASE WHEN n_paires < 5 THEN NULL WHEN n IS NULL THEN 1 WHEN ties = 1 AND n = n_paires THEN p_exact ELSE least(1, {ERFC}) END AS p FROM z)
+SELECT modele_a, modele_b, n_paires, CASE WHEN usable THEN round(ma, 4) END AS mean_a, CASE WHEN usable THEN round(mb, 4) END AS mean_b, CASE WHEN usable THEN round(ma - mb, 4) END AS diff_a_minus_b,
+  CASE WHEN n_paires < 5 THEN NULL WHEN n IS NULL THEN 0 ELSE round(w, 2) END AS statistic, round(p, 4) AS p_value, coalesce(p < 0.05, false) AS significatif_05 FROM f"""
 
 
 @query("N3_wilcoxon", WILCOXON_SQL)

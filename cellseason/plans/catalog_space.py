@@ -243,11 +243,11 @@ def _(v: Views):
 @query("E12_fold_reports", """
 SELECT a.campagne_calc, a.n_positifs, b.n_presence, g.total FROM (SELECT campagne_calc, count(*) FILTER (WHERE label = 1) AS n_positifs FROM regions_v WHERE split = 'validation' GROUP BY 1) a
 JOIN (SELECT campagne_calc, count(*) AS n_presence FROM regions_v WHERE label = 1 AND niveau_gregarite_dominant IN ('S', 'St', 'T', 'G') GROUP BY 1) b USING (campagne_calc)
-LEFT JOIN (SELECT '1998-1999' AS campagne_calc, count(*) AS total FROM regions_v) g USING (campagne_calc)""")
+LEFT JOIN (SELECT campagne_calc, count(*) AS total FROM regions_v WHERE campagne_calc IN ('1998-1999', '2000-2001') GROUP BY 1) g USING (campagne_calc)""")
 def _(v: Views):
     a = v.regions.filter("split = 'validation'").groupBy("campagne_calc").agg(F.count_if(F.col("label") == 1).alias("n_positifs"))
     b = clean.phase_rows(v.regions).groupBy("campagne_calc").agg(F.count("*").alias("n_presence"))
-    g = v.regions.agg(F.count("*").alias("total")).withColumn("campagne_calc", F.lit("1998-1999"))
+    g = v.regions.filter(F.col("campagne_calc").isin("1998-1999", "2000-2001")).groupBy("campagne_calc").agg(F.count("*").alias("total"))
     return a.join(b, "campagne_calc").join(g, "campagne_calc", "left")
 
 

@@ -23,7 +23,8 @@ from ..constants import PHASES, SEVERITY_LEVELS
 from ..functions.scoring import (category_code, draw, presence_from_probabilities, presence_from_score, thresholded_phase,
                                  to_ordinal)
 from .metrics import best_target_threshold, binary_report_with_global, ordinal_report, phase_report, regression_errors, with_global
-from .training import (fold_list, positive_weight, stratified_holdout, walk_forward_folds, with_class_weight)
+from .order import with_median_fill
+from .training import (fold_list, fold_rows, positive_weight, stratified_holdout, walk_forward_folds, with_class_weight)
 
 SEED = 42
 
@@ -341,8 +342,6 @@ def benchmark(df: DataFrame, models: dict[str, ModelSpec], campaign: str = "camp
 def predict_target(table: DataFrame, features: list[str], medians: DataFrame, campaign: Column, spec: ModelSpec,
                    label: str = "severite") -> DataFrame:
     """Trains on every observed row and predicts the prediction surface of the target campaign."""
-    from .order import with_median_fill
-
     filled = with_median_fill(table, features, medians)
     train = assemble(filled.filter(F.col(label).isNotNull()), features, label)
     target = assemble(filled.filter(F.col("a_predire") & (F.col("campagne_calc") == campaign)), features, None)
@@ -419,8 +418,6 @@ def predict_hierarchical(df: DataFrame, presence: PresenceModel, density: Densit
 
 def fold_sizes(df: DataFrame, folds: DataFrame, campaign: str = "campagne_calc") -> DataFrame:
     """Row and class counts per fold and the gates for the density and phase fits."""
-    from .training import fold_rows
-
     pres = F.col("label") == 1
     den = pres & F.col("densite_imago_median").isNotNull()
     ph = pres & F.col("niveau_gregarite_dominant").isin(*PHASES)

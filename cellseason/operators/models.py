@@ -458,7 +458,9 @@ def walk_forward_two_stage(df: DataFrame, folds: list[tuple[list[str], str]], ga
             ok = F.col("niveau_gregarite_dominant").isin(*PHASES)
             m = phase().fit(tr.filter(ok))
             phs.append(m.predict(te.filter(ok)).select("campagne_calc", category_code("niveau_gregarite_dominant", PHASES).alias("y_true"), "phase_p"))
-    out = with_global(pres).groupBy("campagne_calc").agg(F.count("*").alias("n_presence"))
+    shown = [test for _, test in folds] + ["GLOBAL"]  # the pooled row counts every labeled presence
+    out = (with_global(pres).groupBy("campagne_calc").agg(F.count("*").alias("n_presence"))
+           .filter(F.col("campagne_calc").isin(shown)))
     if dens:
         u = dens[0]
         for d in dens[1:]:

@@ -202,6 +202,25 @@ def _(v: Views):
     return out.withColumn("densite_pred", r6("densite_pred"))
 
 
+@query("L12_presence_walk_forward")
+def _(v: Views):
+    """Presence folds with the pooled row."""
+    df = clean.labeled_splits(region_stage(v))
+    report, _, _ = models.walk_forward_presence(df, region_folds(df), lambda: models.PresenceModel(rounds=3, depth=3))
+    return report
+
+
+@query("L14_two_stage_walk_forward")
+def _(v: Views):
+    """Density and phase metrics per validation campaign and pooled, with the size gates."""
+    df = clean.labeled_splits(region_stage(v))
+    table = training.split_folds(df)
+    folds = training.fold_list(table.drop("split"))
+    sizes = {r["fold_id"]: (r["fit_density"], r["fit_phase"]) for r in models.fold_sizes(df, table).collect()}
+    gates = {test: sizes[i] for i, (_, test) in enumerate(folds, 1)}
+    return models.walk_forward_two_stage(df, folds, gates, lambda: models.DensityModel(rounds=3, depth=3), lambda: models.PhaseModel(rounds=1, depth=3))
+
+
 @query("L16_model_registry")
 def _(v: Views):
     """Every registered model on one fold, small sizes: levels predicted per model."""

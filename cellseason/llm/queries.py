@@ -8,12 +8,50 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language
+from . import bpe, cross_entropy, decontaminate, language, sharding, token_counts, url_rules, winnow
 from .common import table
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    dealt = sharding.shuffle_into_shards(sized, 8, ("doc_id", "size", "text_crc32"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.compare_edited(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnow.written(winnow.hashes(F.col("marks"))).alias("fingerprint"),
+                        winnow.written(winnow.hashes(F.col("edited_marks"))).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document: some words in the middle, a cut near the start, its own first words once more at the end."""
+    n = F.char_length("text")
+    edit = lambda start, stop, insert: F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), insert.alias("insert"))
+    middle, early, end = F.floor(n / 2), F.floor(n / 10), n + 10
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(
+        edit(middle, middle + 10, F.lit(" put in by 1 edit, ")), edit(early, early + 5, F.lit("")), edit(end, end, F.substring("text", 1, 40))).alias("edits"))
+    return token_counts.count_edited(docs, BYTE_BPE, public_tokenizers.PATTERN)
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return cross_entropy.score(table(spark, sf_dir, "documents"), good)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = language.fit_dictionaries(docs.filter(~language.held_out()))
@@ -29,6 +67,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_sharding": op2_sharding,
+    "op5_fingerprints": op5_fingerprints,
+    "op3_token_counts": op3_token_counts,
+    "op10_lm_scoring": op10_lm_scoring,
     "op4_language_id": op4_language_id,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,

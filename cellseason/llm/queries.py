@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_entropy, decontaminate, language, sharding, token_counts, url_rules, winnow
+from . import bpe, cross_entropy, decontaminate, language, ngram_join, sharding, token_counts, url_rules, winnow
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -58,6 +58,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, known).withColumn("held_out", language.held_out()).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
     "op4_language_id": op4_language_id,
+    "op6_ngram_join": op6_ngram_join,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
 }

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cellseason.llm import bpe, decontaminate, language
+from cellseason.llm import bpe, decontaminate, language, ngram_join
 from cellseason.llm.common import shared_folder, table
 from cellseason.llm.queries import WORD_BPE
 
@@ -18,6 +17,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return language.identify(docs, known, keep=tuple(COLUMNS)).filter("accepted").select(COLUMNS)
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of linked documents the one with the least id stays."""
+    return ngram_join.keep_one_of_each(docs, ngram_join.near_groups(docs)).select(COLUMNS)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: contaminated documents go."""
     return decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS)).filter("not contaminated").select(COLUMNS)
@@ -28,7 +32,8 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, WORD_BPE)
 
 
-STAGES = [("language_id", keep_known_languages), ("benchmark_decontamination", drop_contaminated), ("bpe_encoding", tokenise)]
+STAGES = [("language_id", keep_known_languages), ("ngram_join", keep_one_of_near_copies),
+          ("benchmark_decontamination", drop_contaminated), ("bpe_encoding", tokenise)]
 
 #: Compression, signatures and merges have no SQL form; a test compares the stages with plain versions.
 ORACLE_SQL = None

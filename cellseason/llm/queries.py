@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_entropy, decontaminate, language, ngram_join, sharding, token_counts, url_rules, winnow
+from . import bpe, cross_entropy, decontaminate, html_wrapper, language, ngram_join, sharding, token_counts, url_rules, winnow
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
@@ -80,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": op6_ngram_join,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
+    "op9_html_extraction": op9_html_extraction,
 }
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import map_rows
 
@@ -28,16 +27,14 @@ def letters(text: str | None) -> bytes:
 
 
 def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw-content dictionaries of the languages of labelled rows, from a bounded sample that the smallest text hashes pick.
+    """Raw-content dictionaries of the languages of labelled rows, from a bounded sample: of each remainder of the text hashes the smallest.
 
     Null languages, null texts and texts without a letter teach nothing. Equal texts count once.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("part"))
-    order = Window.partitionBy("lang").orderBy("h")
-    picked = (rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_TEXTS)
-              .groupBy("lang").agg(F.max("h").alias("cut")))
-    sample = rows.join(picked, "lang").filter("h <= cut").groupBy("lang", "h").agg(F.min("part").alias("part")).collect()
+    picked = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("place")).agg(F.min("h").alias("h")).drop("place")
+    sample = rows.join(picked, ["lang", "h"]).groupBy("lang", "h").agg(F.min("part").alias("part")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(sample, key=lambda r: (r.lang, -r.h)):
         out[r.lang] = out.get(r.lang, b"") + letters(r.part) + b" "

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_entropy, decontaminate, html_wrapper, language, ngram_join, sharding, token_counts, url_rules, winnow
+from . import bpe, cross_entropy, decontaminate, html_wrapper, language, ngram_join, oracles, sharding, token_counts, url_rules, winnow
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -86,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_html_extraction": op9_html_extraction,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filter": oracles.URL_FILTER, "op8_decontamination": oracles.DECONTAMINATION}

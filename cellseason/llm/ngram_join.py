@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, map_rows, partitions
 
 GRAM, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 24, 8, 0.9999
+TREES, DEPTH, RECALL = 24, 8, 0.99999
 #: Classes of a block in the verification of a large bucket.
-BLOCK = 200
+BLOCK = 400
 CACHE = 400_000
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint32(0x9E3779B1)
 
 
 def found_share(similarity: float, depth: int, trees: int) -> float:
@@ -65,14 +65,15 @@ class Forest:
 
     def __init__(self, trees: int, depth: int):
         rng = np.random.default_rng(6)
-        self.a = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
+        self.a = rng.integers(0, 1 << 31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
 
     def label(self, found: np.ndarray) -> bytes:
-        least = np.full(len(self.a), 0xFFFFFFFF, dtype=np.uint64)
-        for i in range(0, len(found), 1024):
-            least = np.minimum(least, ((found[i : i + 1024, None] * self.a + self.b) >> np.uint64(32)).min(axis=0))
-        return (least & np.uint64(0xFFFF)).astype(">u2").tobytes()
+        least = np.full(len(self.a), 0xFFFFFFFF, dtype=np.uint32)
+        high = (found >> np.uint64(32)).astype(np.uint32)
+        for i in range(0, len(high), 512):
+            least = np.minimum(least, ((high[i : i + 512, None] ^ self.b) * self.a).min(axis=0))
+        return ((least * _M3) >> np.uint32(16)).astype(">u2").tobytes()
 
 
 def linked_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -179,26 +180,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .select("class", "tree", "prefix", "chunk", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
              .select("class", F.struct("tree", "prefix", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk").alias("seat")))
     seats = cut_lineage(seats)
-    asked = seats.select("class").distinct().join(classes, "class").select("class", "low")
+    asked = seats.select("class").distinct().join(classes, "class")
 
     def unfold():
         known = WordHashes()
 
         def run(batch):
-            out = {"class": [], "shingles": []}
-            for key, text in zip(batch["class"], batch["text"]):
-                found = shingles(text, known, gram).tobytes()
-                if hashlib.blake2b(found, digest_size=16).digest() == key:  # another row may have the same id
-                    out["class"].append(key)
-                    out["shingles"].append(found)
-            return out
+            found = [shingles(t, known, gram).tobytes() for t in batch.pop("text")]
+            # another row may have the same id
+            true = [i for i, f in enumerate(found) if hashlib.blake2b(f, digest_size=16).digest() == batch["class"][i]]
+            return {k: [v[i] for i in true] for k, v in (batch | {"shingles": found}).items()}
 
         return run
 
-    texts = source.join(asked, F.col("id").eqNullSafe(F.col("low"))).select("class", "text")
-    sets = map_rows(texts, unfold, "class binary, shingles binary").dropDuplicates(["class"])
+    texts = source.join(asked, F.col("id").eqNullSafe(F.col("low"))).select("class", "label", "copies", "text")
+    sets = map_rows(texts, unfold, "class binary, label binary, copies long, shingles binary").dropDuplicates(["class"])
     block = ["tree", "prefix", "lo", "hi"]
-    work = (seats.join(sets, "class").join(classes.select("class", "label", "copies"), "class").select("seat.*", "class", "label", "copies", "shingles")
+    work = (seats.join(sets, "class").select("seat.*", "class", "label", "copies", "shingles")
             .repartition(partitions(docs), *block).sortWithinPartitions(*block))
     result = pa.schema([("class", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 

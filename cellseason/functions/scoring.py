@@ -102,7 +102,10 @@ def category_code(c, order) -> Column:
 
 
 def draw(key, seed: int = 0) -> Column:
-    """Reproducible uniform draw in [0, 1) from an integer key (plain integer arithmetic)."""
-    k = F.pmod(_c(key).cast("bigint"), F.lit(1000003)) + 1
-    mixed = F.pmod(k * F.lit(1103515245 + 131074 * seed) + 12345, F.lit(2147483648))
-    return mixed / F.lit(2147483648.0)
+    """Reproducible uniform draw in [0, 1) from an integer key: 52 bits of the digest of key and seed."""
+    return digest_draw(_c(key), F.lit(seed))
+
+
+def digest_draw(key: Column, seed: Column) -> Column:
+    text = F.concat(key.cast("bigint").cast("string"), F.lit(":"), seed.cast("bigint").cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(4503599627370496.0)

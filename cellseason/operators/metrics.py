@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import HORIZONS, PHASES, SEVERITY_LEVELS, THRESHOLDS
 from ..functions.scoring import argmax_without
-from .order import running_before
+from .order import running_before, stored
 
 
 def _c(c) -> Column:
@@ -91,8 +91,15 @@ def auc(df: DataFrame, label: str = "label", score: str = "score", keys=(), digi
 
     Rows collapse to distinct scores; negatives below each score come from bucketed running sums."""
     keys = list(keys)
-    by_score = df.groupBy(*keys, score).agg(
-        F.count_if(_c(label) == 1).alias("pos"), F.count_if(_c(label) == 0).alias("neg"))
+    return _auc_of_counts(score_counts(df, label, score, keys), score, keys, digits)
+
+
+def score_counts(df: DataFrame, label: str, score: str, keys) -> DataFrame:
+    """Positives and negatives of each distinct score."""
+    return df.groupBy(*keys, score).agg(F.count_if(_c(label) == 1).alias("pos"), F.count_if(_c(label) == 0).alias("neg"))
+
+
+def _auc_of_counts(by_score: DataFrame, score: str, keys: list[str], digits: int | None) -> DataFrame:
     ranked = running_before(by_score, score, ["neg"], keys)
     won = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
     value = F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg").cast("double"))
@@ -134,8 +141,11 @@ def best_f1_threshold(df: DataFrame, label: str = "label", score: str = "score",
 
     Scores collapse to 47 grid buckets; the 46 thresholds are then evaluated on those counts."""
     keys = list(keys)
-    b = df.groupBy(*keys, _grid_bucket(score).alias("b")).agg(
-        F.count_if(_c(label) == 1).alias("p"), F.count_if(_c(label) == 0).alias("q"))
+    return _best_f1_of_counts(df.groupBy(*keys, _grid_bucket(score).alias("b")).agg(
+        F.count_if(_c(label) == 1).alias("p"), F.count_if(_c(label) == 0).alias("q")), keys)
+
+
+def _best_f1_of_counts(b: DataFrame, keys: list[str]) -> DataFrame:
     # bucket b is selected by thresholds 1..b; bucket 0 by none, but its positives are missed ones
     used = b.select(*keys, "p", "q", "b", F.explode(F.sequence(F.lit(1), F.lit(len(THRESHOLDS)))).alias("k"))
     on = F.col("b") >= F.col("k")
@@ -149,12 +159,18 @@ def best_f1_threshold(df: DataFrame, label: str = "label", score: str = "score",
 
 def binary_report(df: DataFrame, label: str = "label", score: str = "score", keys=("campagne_calc",)) -> DataFrame:
     """AUC and the metrics at the F1-optimal threshold, per key."""
-    keys = list(keys)
-    t = best_f1_threshold(df, label, score, keys)
-    at = precision_recall(df.join(t, keys), F.col("threshold"), label, score, keys)
-    sizes = df.groupBy(*keys).agg(F.count_if(_c(label) == 1).alias("n_positifs"),
-                                  F.count_if(_c(label) == 0).alias("n_negatifs"))
-    return (sizes.join(auc(df, label, score, keys, 4), keys).join(at, keys)
+    return _binary_report_of_counts(score_counts(df, label, score, keys), score, list(keys))
+
+
+def _binary_report_of_counts(counts: DataFrame, score: str, keys: list[str]) -> DataFrame:
+    """The counts of distinct scores are all that is needed; they are stored once."""
+    counts = stored(counts)
+    t = _best_f1_of_counts(counts.groupBy(*keys, _grid_bucket(score).alias("b")).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q")), keys)
+    hit = _c(score) >= F.col("threshold")
+    total = lambda m, c: F.coalesce(F.sum(F.when(c, F.col(m))), F.lit(0)).cast("double")
+    at = counts.join(t, keys).groupBy(*keys).agg(*[F.round(c, 4).alias(n) for n, c in _prf(total("pos", hit), total("neg", hit), total("pos", ~hit)).items()])
+    sizes = counts.groupBy(*keys).agg(F.sum("pos").alias("n_positifs"), F.sum("neg").alias("n_negatifs"))
+    return (sizes.join(_auc_of_counts(counts, score, keys, 4), keys).join(at, keys)
             .join(t.withColumn("threshold", F.round("threshold", 4)), keys))
 
 
@@ -165,8 +181,12 @@ def with_global(df: DataFrame, campaign: str = "campagne_calc") -> DataFrame:
 
 
 def binary_report_with_global(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Per-campaign rows plus the pooled row, with AUC and threshold recomputed on the pool."""
-    return binary_report(with_global(df), label, score)
+    """Per-campaign rows plus the pooled row, with AUC and threshold recomputed on the pool.
+
+    Rows become counts of distinct scores before they are doubled, so the pooled key is as long as its scores."""
+    counts = with_global(score_counts(df, label, score, ["campagne_calc"]))
+    counts = counts.groupBy("campagne_calc", score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return _binary_report_of_counts(counts, score, ["campagne_calc"])
 
 
 def pooled_counts(df: DataFrame, campaign: str = "campagne_calc") -> DataFrame:
@@ -250,7 +270,7 @@ def gain_lift(df: DataFrame, label: str, score: str, key: str, bins: int = 10, d
     Counts per distinct score give the positives above any score; only the scores that a cut splits go
     back to rows, ranked by key with bucketed running sums."""
     pos = F.count_if(_c(label) == 1)
-    by_score = df.groupBy((-_c(score)).alias("s")).agg(F.count("*").alias("c"), pos.alias("p"))
+    by_score = stored(df.groupBy((-_c(score)).alias("s")).agg(F.count("*").alias("c"), pos.alias("p")))
     ranked = running_before(by_score, "s", ["c", "p"])
     totals = by_score.agg(F.sum("c").alias("n"), F.sum("p").alias("pos"))
     n, total_pos = totals.select("n").scalar(), totals.select("pos").scalar()

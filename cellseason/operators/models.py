@@ -1,8 +1,8 @@
 """Ordinal, binary and two-stage models as Spark ML jobs.
 
 A model is an object with ``fit(train) -> self`` and ``predict(df)``; predictions add ``y_pred`` (severity)
-and ``score`` (presence). Training rows carry ``features`` (vector), ``y`` (severity) and ``class_weight``.
-Drivers only ever see per-class counts, class lists and season lists.
+and ``score`` (presence). Training rows carry ``features`` (vector) and ``y`` (severity); class weights are those of
+the rows a model is fitted on. Drivers only ever see per-class counts, class lists and season lists.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..constants import PHASES, SEVERITY_LEVELS
 from ..functions.scoring import (category_code, draw, presence_from_probabilities, presence_from_score, thresholded_phase,
                                  to_ordinal)
+from ..session import scratch_dir
 from .metrics import best_target_threshold, binary_report_with_global, ordinal_report, phase_report, regression_errors, with_global
 from .order import with_median_fill
 from .training import (fold_list, fold_rows, positive_weight, stratified_holdout, walk_forward_folds, with_class_weight)
@@ -30,17 +31,24 @@ SEED = 42
 
 
 def assemble(df: DataFrame, features: list[str], label: str | None = "severite") -> DataFrame:
-    """Adds the feature vector (NULLs must be filled before) and, for training, ``y`` and class weights."""
+    """Adds the feature vector (NULLs must be filled before) and, for training, ``y``."""
     numeric = df.withColumns({f: F.col(f).cast("double") for f in features})
     out = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(numeric)
     if label is None:
         return out
-    return with_class_weight(out.withColumn("y", F.col(label).cast("int")), "y")
+    return out.withColumn("y", F.col(label).cast("int"))
+
+
+def _level_counts(train: DataFrame) -> dict[int, int]:
+    """Rows of each level of the training rows; more levels than the scale has are an error, never cut."""
+    rows = train.groupBy("y").agg(F.count("*").alias("n")).limit(len(SEVERITY_LEVELS) + 1).collect()
+    if len(rows) > len(SEVERITY_LEVELS):
+        raise ValueError(f"more than {len(SEVERITY_LEVELS)} levels in the training rows")
+    return {r["y"]: r["n"] for r in sorted(rows, key=lambda r: r["y"])}
 
 
 def _classes(train: DataFrame) -> list[int]:
-    """Levels present in the training rows (at most four)."""
-    return sorted(r["y"] for r in train.select("y").distinct().limit(64).collect())
+    return list(_level_counts(train))
 
 
 def _with_code(df: DataFrame, classes: list[int]) -> DataFrame:
@@ -64,6 +72,7 @@ class Ridge:
         self.alpha = alpha
 
     def fit(self, train: DataFrame) -> "Ridge":
+        train = with_class_weight(train, "y")
         w, y = F.col("class_weight"), F.col("y").cast("double")
         s = train.agg(F.sum(w).alias("sw"), F.sum(w * y).alias("swy"), F.sum(w * y * y).alias("swyy")).first()
         sd = max(s["swyy"] / s["sw"] - (s["swy"] / s["sw"]) ** 2, 0.0) ** 0.5
@@ -96,6 +105,7 @@ class AllThresholdLogistic:
         self.classes = _classes(train)
         if len(self.classes) < 2:
             raise ValueError("an ordinal model needs at least two levels")
+        train = with_class_weight(train, "y")
         borders = self.classes[:-1]
         # centring only moves the thresholds, which carry no penalty, and keeps the fit well conditioned
         centre = [float(m) for m in train.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"]]
@@ -144,7 +154,7 @@ class Classifier:
         if self.one_vs_rest and len(self.classes) > 2:
             est = OneVsRest(classifier=est, labelCol="__code", featuresCol="features", parallelism=4)
         if self.weighted:
-            est = est.setWeightCol("class_weight")
+            coded, est = with_class_weight(coded, "y"), est.setWeightCol("class_weight")
         self.model = est.fit(coded)
         return self
 
@@ -174,11 +184,11 @@ class StratifiedRandom:
         self.key, self.seed = key, seed
 
     def fit(self, train: DataFrame) -> "StratifiedRandom":
-        rows = train.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(64).collect()
-        total, acc, self.cdf = sum(r["n"] for r in rows), 0, []
-        for r in rows:
-            acc += r["n"]
-            self.cdf.append((r["y"], acc / total))
+        counts = _level_counts(train)
+        total, acc, self.cdf = sum(counts.values()), 0, []
+        for level, n in counts.items():
+            acc += n
+            self.cdf.append((level, acc / total))
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -313,30 +323,31 @@ def benchmark(df: DataFrame, models: dict[str, ModelSpec], campaign: str = "camp
     """Walk-forward benchmark: ``(detail, predictions)``.
 
     ``df`` is the assembled observed table. The loop runs over models and seasons only; each fit is a
-    distributed job over a filtered view of the one cached table. A model that fails on a fold leaves a
-    row of NULL metrics and the others go on."""
+    distributed job over a filtered view of the one cached table. The predictions of each fold are written
+    as they are made, so a model that fails late, while it predicts, is caught too: it leaves a row of NULL
+    metrics with the reason (``erreur``) and the others go on. No fold gives an empty report."""
     df = df.persist()
-    parts, failed = [], []
-    for train_camps, test_camp in fold_list(walk_forward_folds(df, campaign)):
-        train, test = df.filter(F.col(campaign).isin(train_camps)), df.filter(F.col(campaign) == test_camp)
-        for name, spec in models.items():
-            try:
-                pred = fit_predict(spec, train, test)
-                parts.append(pred.select(F.lit(name).alias("modele"), F.col(campaign).alias("campagne_calc"),
-                                         F.col(row_id).alias("row_id"), F.col("y").alias("y_true"), "y_pred", "score"))
-            except Exception:  # noqa: BLE001 - one model must not stop the benchmark
-                failed.append((name, test_camp))
-    spark = df.sparkSession
-    preds = parts[0] if parts else spark.createDataFrame(
-        [], "modele string, campagne_calc string, row_id bigint, y_true int, y_pred int, score double")
-    for p in parts[1:]:
-        preds = preds.unionByName(p)
-    detail = ordinal_report(preds, ("modele", "campagne_calc")).drop("n")
-    if failed:
-        nulls = spark.createDataFrame([(m, c, None, None) for m, c in failed],
-                                      "modele string, campagne_calc string, qwk double, recall_23 double")
-        detail = detail.unionByName(nulls)
-    return detail, preds
+    spark, folder, written, failed = df.sparkSession, scratch_dir(df.sparkSession, "predictions"), [], []
+    try:
+        for train_camps, test_camp in fold_list(walk_forward_folds(df, campaign)):
+            train, test = df.filter(F.col(campaign).isin(train_camps)), df.filter(F.col(campaign) == test_camp)
+            for name, spec in models.items():
+                path = f"{folder}/{len(written) + len(failed)}"
+                try:
+                    fit_predict(spec, train, test).select(
+                        F.lit(name).alias("modele"), F.col(campaign).alias("campagne_calc"), F.col(row_id).alias("row_id"),
+                        F.col("y").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"),
+                        F.col("score").cast("double").alias("score")).write.mode("overwrite").parquet(path)
+                    written.append(path)
+                except Exception as e:  # noqa: BLE001 - one model must not stop the benchmark
+                    failed.append((name, test_camp, None, None, type(e).__name__))
+    finally:
+        df.unpersist()
+    schema = f"modele string, campagne_calc string, row_id {dict(df.dtypes)[row_id]}, y_true int, y_pred int, score double"
+    preds = spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
+    detail = ordinal_report(preds, ("modele", "campagne_calc")).drop("n").withColumn("erreur", F.lit(None).cast("string"))
+    nulls = spark.createDataFrame(failed, "modele string, campagne_calc string, qwk double, recall_23 double, erreur string")
+    return detail.unionByName(nulls) if failed else detail, preds
 
 
 def predict_target(table: DataFrame, features: list[str], medians: DataFrame, campaign: Column, spec: ModelSpec,
@@ -397,7 +408,7 @@ class PhaseModel:
 
     def fit(self, train: DataFrame) -> "PhaseModel":
         rows = train.withColumn("y", category_code("niveau_gregarite_dominant", PHASES)).filter("y is not null")
-        self.inner.fit(with_class_weight(rows, "y"))
+        self.inner.fit(rows)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -433,11 +444,11 @@ def fold_sizes(df: DataFrame, folds: DataFrame, campaign: str = "campagne_calc")
 
 def walk_forward_presence(df: DataFrame, folds: list[tuple[list[str], str]], make: Callable[[], PresenceModel]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Presence folds: ``(report with GLOBAL row, predictions, importances)``."""
-    preds, imps = None, []
+    preds, imps = df.limit(0).select("campagne_calc", "row_id", "label", F.lit(0.0).alias("score")), []
     for train_camps, test_camp in folds:
         m = make().fit(df.filter(F.col("campagne_calc").isin(train_camps)))
         p = m.predict(df.filter(F.col("campagne_calc") == test_camp)).select("campagne_calc", "row_id", "label", "score")
-        preds = p if preds is None else preds.unionByName(p)
+        preds = preds.unionByName(p)
         imps += [(test_camp, int(i), float(v)) for i, v in enumerate(m.model.featureImportances.toArray())]
     importances = df.sparkSession.createDataFrame(imps, "campagne_calc string, feature_no int, importance double")
     return binary_report_with_global(preds), preds, importances

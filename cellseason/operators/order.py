@@ -8,31 +8,51 @@ the result is exact for any cut.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 _BUCKET = "__bucket"
+#: Rows of a bucket, about; a bucket is ordered by one task.
+BUCKET_ROWS = 500_000
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder: what follows scans it instead of deriving it anew."""
+    path = scratch_dir(df.sparkSession, "order")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _below(cuts: Column, n: int, value: Column) -> Column:
+    """How many of at most ``n`` ascending ``cuts`` are below ``value``, by bisection."""
+    def step(pos: Column, width: Column) -> Column:
+        return F.when(F.get(cuts, pos + width - 1) < value, pos + width).otherwise(pos)
+
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))]), F.lit(0), step)
 
 
 def _with_bucket(df: DataFrame, keys: list[str], order: str, buckets: int) -> DataFrame:
+    """``df`` is stored. Approximate cuts per key; rows of NULL keys meet no cut and fall into the first bucket."""
     cuts = F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 20 * buckets)
-    # reading every column keeps this branch identical to the one that counts, so both share one exchange;
-    # rows it may drop only shift the cut points
-    sample = df.filter(F.hash(*df.columns) != 0)
     if keys:
-        cut = df.join(sample.groupBy(*keys).agg(cuts.alias("__cuts")), keys, "left")
+        cut = df.join(df.groupBy(*keys).agg(cuts.alias("__cuts")), keys, "left")
     else:
-        cut = df.withColumn("__cuts", sample.agg(cuts.alias("c")).scalar())
-    below = F.size(F.filter("__cuts", lambda e: e < F.col(order)))
-    return cut.withColumn(_BUCKET, F.coalesce(below, F.lit(0))).drop("__cuts")
+        cut = df.withColumn("__cuts", df.agg(cuts.alias("c")).scalar())
+    return cut.withColumn(_BUCKET, F.coalesce(_below(F.col("__cuts"), buckets - 1, F.col(order)), F.lit(0))).drop("__cuts")
 
 
-def running_before(df: DataFrame, order: str, measures: list[str], keys: list[str] = (), buckets: int = 64) -> DataFrame:
+def running_before(df: DataFrame, order: str, measures: list[str], keys: list[str] = (), buckets: int | None = None) -> DataFrame:
     """Adds ``<m>_before``: the sum of ``m`` over rows of the same keys with a smaller ``order``.
 
-    ``(keys, order)`` must be unique; aggregate to distinct order values first. NULL keys are dropped
-    by the keyed form (they never match a group)."""
-    keys = list(keys)
+    ``(keys, order)`` must be unique; aggregate to distinct order values first. The number of buckets follows the
+    number of rows. NULL keys are dropped by the keyed form (they never match a group)."""
+    keys, df = list(keys), stored(df)
+    buckets = buckets or 1 + df.count() // BUCKET_ROWS
+    if buckets == 1:
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return (df.dropna(subset=keys) if keys else df).select("*", *[F.coalesce(F.sum(m).over(whole), F.lit(0)).alias(f"{m}_before") for m in measures])
     cut = _with_bucket(df, keys, order, buckets)
     by_bucket = cut.groupBy(*keys, _BUCKET).agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
     w = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -44,13 +64,13 @@ def running_before(df: DataFrame, order: str, measures: list[str], keys: list[st
         *df.columns, *[(F.col(f"__l_{m}") + F.col(f"__o_{m}")).alias(f"{m}_before") for m in measures])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: list[str] = (), buckets: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: list[str] = (), buckets: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key; one column per entry of ``probs``.
 
     Equal values collapse to one counted row before anything is ordered."""
     keys = list(keys)
-    counts = (df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-              .groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n")))
+    counts = stored(df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+                    .groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n")))
     ranked = running_before(counts, "__v", ["__n"], keys, buckets)
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     if keys:
@@ -67,7 +87,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: li
     return ranked.groupBy(*keys).agg(*aggs)
 
 
-def exact_median(df: DataFrame, value: str, keys: list[str] = (), name: str = "median", buckets: int = 64) -> DataFrame:
+def exact_median(df: DataFrame, value: str, keys: list[str] = (), name: str = "median", buckets: int | None = None) -> DataFrame:
     return exact_quantiles(df, value, {name: 0.5}, keys, buckets)
 
 

@@ -50,12 +50,15 @@ def edge_bands(edges: DataFrame, height: float, poly: str = "poly_id") -> DataFr
 def within_areas(points: DataFrame, edges: DataFrame, x: str, y: str, height: float, poly: str = "poly_id") -> DataFrame:
     """Strict point-in-polygon join, one output row per containing polygon.
 
-    A point only meets the polygons that cross its band, by an equi-join; parity of the edges to its
-    right is folded inside the row, so no point is shuffled twice and no pair table is built. Edges are
-    half-open in y; points within rounding of an edge fall on either side. The area side is small in
-    practice and Spark broadcasts it by its measured size; beyond that the same plan is a hash or sort
-    join on the band."""
-    bands = edge_bands(edges, height, poly)
+    A point only meets the polygons that reach into its tile of ``height`` by ``height``, by an equi-join;
+    parity of the edges to its right is folded inside the row, so no point is shuffled twice and no pair
+    table is built. Edges are half-open in y; points within rounding of an edge fall on either side. The area
+    side is small in practice and Spark broadcasts it by its measured size; beyond that the same plan is a
+    hash or sort join on the tile."""
+    tile = F.explode(F.sequence(F.floor(F.col("x_lo") / height), F.floor(F.col("x_hi") / height)))
+    # edges that end left of a tile are right of none of its points
+    reach = F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("tile") * F.lit(height))
+    tiles = edge_bands(edges, height, poly).select("*", tile.alias("tile")).withColumn("edges", reach)
     px, py = F.col(x), F.col(y)
 
     def crosses(e):
@@ -63,10 +66,10 @@ def within_areas(points: DataFrame, edges: DataFrame, x: str, y: str, height: fl
         at = e["x1"] + (py - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
         return spans & (px < at)
 
-    joined = points.withColumn("band", F.floor(py / height)).join(bands, "band")
+    joined = points.withColumns({"band": F.floor(py / height), "tile": F.floor(px / height)}).join(tiles, ["band", "tile"])
     inside = joined.filter(px.between(F.col("x_lo"), F.col("x_hi"))).filter(
         F.size(F.filter("edges", crosses)) % 2 == 1)
-    return inside.drop("band", "edges", "x_lo", "x_hi")
+    return inside.drop("band", "tile", "edges", "x_lo", "x_hi")
 
 
 def clip_to_areas(points: DataFrame, areas: DataFrame, lon: str = "LNG_DD", lat: str = "LAT_DD", height: float = 0.25) -> DataFrame:

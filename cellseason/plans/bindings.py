@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import TEMPERATURE_SCALE, TEMPERATURE_WINDOW, VEGETATION_SCALE, VEGETATION_WINDOW
 from ..functions import calendar as cal
 from ..functions import quality
-from ..functions.scoring import draw, presence, score_records
+from ..functions.scoring import digest_draw, draw, presence, score_records
 from ..operators import clean, composites, cube, features, labels, training
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -39,6 +39,15 @@ class _Duck:
 
 def u(key: str, seed: int) -> str:
     """SQL text of the reproducible draw."""
+    return draw_sql(key, str(seed))
+
+
+def draw_sql(key: str, seed: str) -> str:
+    return f"(CAST(concat('0x', substr(md5(CAST(CAST({key} AS BIGINT) AS VARCHAR) || ':' || CAST({seed} AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496e0)"
+
+
+def noise(key: str, seed: int) -> str:
+    """Noise of the made-up predictions, in arithmetic that both engines read; operators draw by ``scoring.draw``."""
     return f"(((({key} % 1000003) + 1) * {1103515245 + 131074 * seed} + 12345) % 2147483648) / 2147483648e0"
 
 
@@ -102,9 +111,9 @@ def _pred_raw(e) -> str:
     k = "o_orderkey"
     truth = f"CASE WHEN {k} % 7 = 0 THEN 3 WHEN {k} % 5 = 0 THEN 2 WHEN {k} % 2 = 0 THEN 1 ELSE 0 END"
     return f"""
-SELECT id, obs_date, y_true, CAST(CASE WHEN {u('id', 1)} < 0.6e0 THEN y_true
-    ELSE (y_true + 1 + CAST(floor(({u('id', 2)}) * 3e0) AS INT)) % 4 END AS INT) AS y_pred,
-  floor((0.55e0 * ({u('id', 3)}) + 0.15e0 * y_true) * 1000e0) / 1000e0 AS score
+SELECT id, obs_date, y_true, CAST(CASE WHEN {noise('id', 1)} < 0.6e0 THEN y_true
+    ELSE (y_true + 1 + CAST(floor(({noise('id', 2)}) * 3e0) AS INT)) % 4 END AS INT) AS y_pred,
+  floor((0.55e0 * ({noise('id', 3)}) + 0.15e0 * y_true) * 1000e0) / 1000e0 AS score
 FROM (SELECT {k} AS id, CAST(o_orderdate AS DATE) AS obs_date, {truth} AS y_true FROM orders) t"""
 
 
@@ -279,9 +288,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def _draws(key: str, seed: int):
     """Draw whose seed also depends on the model number ``m``."""
-    k = F.pmod(F.col(key), F.lit(1000003)) + 1
-    mult = F.lit(1103515245).cast("bigint") + (F.col("m") + seed) * 131074
-    return F.pmod(k * mult + 12345, F.lit(2147483648)) / F.lit(2147483648.0)
+    return digest_draw(F.col(key), F.col("m") + seed)
 
 
 # --- the same derived views in SQL -------------------------------------------------------------------------
@@ -374,11 +381,10 @@ FROM features_v f LEFT JOIN labels_v s ON s.cell_id = f.cell_id AND s.campagne_c
     "preds_v": f"""
 SELECT id, {camp('obs_date')} AS campagne_calc, {season_decade('obs_date')} AS campagne_decade, y_true, y_pred, score,
   CASE WHEN y_true >= 1 THEN 1 ELSE 0 END AS label FROM pred_raw_v WHERE {camp('obs_date')} IS NOT NULL""",
-    "model_preds_v": """
+    "model_preds_v": f"""
 SELECT concat('model_', m) AS modele, campagne_calc, y_true, CAST(CASE WHEN u1 < 0.35e0 + 0.08e0 * m THEN y_true
   ELSE (y_true + 1 + CAST(floor(u2 * 3e0) AS INTEGER)) % 4 END AS INTEGER) AS y_pred FROM (
-  SELECT *, (((id % 1000003) + 1) * (1103515245 + (m + 11) * 131074) + 12345) % 2147483648 / 2147483648e0 AS u1,
-    (((id % 1000003) + 1) * (1103515245 + (m + 31) * 131074) + 12345) % 2147483648 / 2147483648e0 AS u2
+  SELECT *, {draw_sql('id', '(m + 11)')} AS u1, {draw_sql('id', '(m + 31)')} AS u2
   FROM preds_v CROSS JOIN (SELECT unnest(range(6)) AS m) mm) t""",
     "detail_v": """
 SELECT modele, campagne_calc,

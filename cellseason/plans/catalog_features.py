@@ -352,13 +352,13 @@ def _(v: Views):
 # --- S. incremental ---------------------------------------------------------------------------------------------
 
 UPSERT_SQL = """
-SELECT cell_id, campagne_calc, date_start, coalesce(n.chirps, o.chirps) AS chirps_sum_mean FROM (SELECT cell_id, campagne_calc, date_start, coalesce(chirps_sum_mean, -1) AS chirps FROM cube_v) o
-FULL JOIN (SELECT cell_id, campagne_calc, date_start, coalesce(chirps_sum_mean, -1) + 1000 AS chirps FROM cube_v WHERE decade_ord BETWEEN 1998 * 36 + 10 AND 1998 * 36 + 14) n USING (cell_id, campagne_calc, date_start)"""
+SELECT cell_id, campagne_calc, date_start, coalesce(n.chirps, o.chirps) AS chirps_sum_mean FROM (SELECT cell_id, campagne_calc, date_start, coalesce(chirps_sum_mean, 0) AS chirps FROM cube_v) o
+FULL JOIN (SELECT cell_id, campagne_calc, date_start, coalesce(chirps_sum_mean, 0) + 1000 AS chirps FROM cube_v WHERE decade_ord BETWEEN 1998 * 36 + 10 AND 1998 * 36 + 14) n USING (cell_id, campagne_calc, date_start)"""
 
 
 def batches(v: Views):
     """The cube, and a corrected slice of it as a second batch."""
-    base = v.cube.select("cell_id", "campagne_calc", "date_start", "decade_ord", F.coalesce("chirps_sum_mean", F.lit(-1.0)).alias("chirps_sum_mean"))
+    base = v.cube.select("cell_id", "campagne_calc", "date_start", "decade_ord", F.coalesce("chirps_sum_mean", F.lit(0.0)).alias("chirps_sum_mean"))
     new = cal.slice_month(base, "1998-05", 2).withColumn("chirps_sum_mean", F.col("chirps_sum_mean") + 1000)
     return base.drop("decade_ord"), new.drop("decade_ord")
 
@@ -373,8 +373,8 @@ def _(v: Views):
 def _(v: Views):
     old, new = batches(v)
     path, staging = scratch_dir(v.spark, "cube"), scratch_dir(v.spark, "staging")
-    sinks.write_cube(old, path)
-    sinks.upsert_cube(v.spark, new, path, staging)
+    sinks.upsert_cube(v.spark, old, path, staging + "-0")  # the first batch makes the cube
+    sinks.upsert_cube(v.spark, new, path, staging + "-1")
     out = readers.read_stage(v.spark, path)
     clean.require_empty(clean.duplicate_keys(out, ("cell_id", "date_start")), "duplicate cells after upsert")
     return out.select("cell_id", "campagne_calc", "date_start", "chirps_sum_mean")

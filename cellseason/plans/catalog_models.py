@@ -28,8 +28,14 @@ def stored(v: Views, df, label: str):
     return readers.read_stage(v.spark, path)
 
 
+def row_key():
+    """One integer for each cell and decade, without collisions: columns and rows below 10^6, decades below 10^6."""
+    part = lambda i: F.get(F.split("cell_id", "_"), F.lit(i)).cast("bigint")
+    return (part(0) * 1000000 + part(1)) * 1000000 + F.col("decade_ord")
+
+
 def training_stage(v: Views):
-    return stored(v, v.training.withColumn("row_id", F.pmod(F.xxhash64("cell_id", "decade_ord"), F.lit(2147483647))), "training")
+    return stored(v, v.training.withColumn("row_id", row_key()), "training")
 
 
 FEATURES = ["AIRE_CODE", "campagne_decade", "month", "decade_part", "chirps_sum_mean", "ndvi_mean", "evi_mean", "lst_mean", "pop_consecutive",
@@ -41,7 +47,7 @@ def observed(v: Views):
     """Assembled observed rows with median-filled predictors, as a stage table."""
     t = clean.observed(training_stage(v))
     filled = order.with_median_fill(t, FEATURES, order.column_medians(t, FEATURES))
-    return stored(v, models.assemble(filled, FEATURES).select("row_id", "cell_id", "campagne_calc", "features", "y", "class_weight"), "observed")
+    return stored(v, models.assemble(filled, FEATURES).select("row_id", "cell_id", "campagne_calc", "features", "y"), "observed")
 
 
 def last_fold(df):

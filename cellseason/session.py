@@ -25,9 +25,11 @@ def local_session(cpus: int | str = 8, app: str = "cellseason", memory: str = "1
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """Fresh folder for intermediate tables: in the shared checkpoint folder the cluster names,
-    and in a local temporary folder only when none is configured (tests)."""
+    """Fresh folder for intermediate tables, in the shared checkpoint folder that the cluster names. Where none is named,
+    a temporary folder serves a session that runs in one process; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
     return os.path.join(root, f"{label}-{uuid.uuid4().hex[:12]}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BASELINE_MODEL
+from ..operators.clean import duplicate_keys, range_violations, require_empty
 from ..operators.cube import upsert
 
 
@@ -28,15 +29,32 @@ def replace_partitions(df: DataFrame, path: str, partition: str = "campagne_calc
 
 
 def upsert_cube(spark: SparkSession, incoming: DataFrame, path: str, staging: str,
-                keys=("cell_id", "date_start"), partition: str = "campagne_calc") -> None:
+                keys=("cell_id", "date_start"), partition: str = "campagne_calc", per_date: int | None = None) -> None:
     """Merges new decades into a partitioned cube, rewriting only the campaigns they touch.
 
     The merge is written to ``staging`` first: a partition is never read and overwritten in one job, and
-    either half can be rerun after a lost executor or driver."""
-    touched = incoming.select(partition).distinct()
-    existing = spark.read.parquet(path).join(touched, partition, "left_semi")
-    upsert(existing, incoming, keys).write.mode("overwrite").parquet(staging)
-    replace_partitions(spark.read.parquet(staging), path, partition)
+    either half can be rerun after a lost executor or driver. The first batch makes the cube. What was merged is
+    checked before it replaces anything: keys once, covariates in their ranges, and with ``per_date`` (number of cells) as
+    many rows for each date of the batch; a failed check raises and leaves the cube as it was."""
+    merged = incoming
+    if cube_exists(spark, path):
+        touched = incoming.select(partition).distinct()
+        merged = upsert(spark.read.parquet(path).join(touched, partition, "left_semi"), incoming, keys)
+    merged.write.mode("overwrite").parquet(staging)
+    merged = spark.read.parquet(staging)
+    require_empty(duplicate_keys(merged, keys), "duplicate keys after the merge")
+    require_empty(range_violations(merged, keys), "values out of range after the merge")
+    if per_date is not None:
+        dates = merged.join(incoming.select(keys[-1]).distinct(), keys[-1], "left_semi").groupBy(keys[-1]).agg(F.count("*").alias("n"))
+        require_empty(dates.filter(F.col("n") != per_date), "dates without all cells after the merge")
+    replace_partitions(merged, path, partition)
+
+
+def cube_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a cube to merge into; any other failure to read it is raised."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

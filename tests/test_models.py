@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cellseason.constants import PHASES
-from cellseason.operators import models, panel
+from cellseason.operators import models, panel, training
 
 from .conftest import rows
 
@@ -30,9 +30,26 @@ def agreement(pred):
     return pred.agg(F.avg((F.abs(F.col("y") - F.col("y_pred")) <= 1).cast("double"))).first()[0]
 
 
+def weighted(table):
+    return training.with_class_weight(table, "y").select(vector_to_array("features").alias("x"), "y", "class_weight").collect()
+
+
+def test_weights_are_those_of_the_rows_of_the_fit(table):
+    fold = table.filter("campagne_calc < '2003-2004' and not (y = 3 and f0 < 1.2)")
+    whole = {r["y"]: r["class_weight"] for r in weighted(table)}
+    own = {r["y"]: r["class_weight"] for r in weighted(fold)}
+    assert abs(own[3] - whole[3]) > 0.5
+    test_ridge_equals_the_weighted_normal_equations(fold)
+
+
+def test_more_levels_than_the_scale_has_are_refused(table):
+    with pytest.raises(ValueError, match="levels"):
+        models.StratifiedRandom().fit(table.withColumn("y", F.col("row_id").cast("int")))
+
+
 def test_ridge_equals_the_weighted_normal_equations(table):
     m = models.Ridge(alpha=1.0).fit(table)
-    rowsx = table.select(vector_to_array("features").alias("x"), "y", "class_weight").collect()
+    rowsx = weighted(table)
     x, y, w = np.array([r[0] for r in rowsx]), np.array([r[1] for r in rowsx], float), np.array([r[2] for r in rowsx])
     xm, ym = (w[:, None] * x).sum(0) / w.sum(), (w * y).sum() / w.sum()
     xc = x - xm
@@ -44,7 +61,7 @@ def test_ridge_equals_the_weighted_normal_equations(table):
 def test_all_threshold_model_is_near_the_optimum(table):
     m = models.AllThresholdLogistic().fit(table)
     assert len(m.thresholds) == 3 and m.thresholds == sorted(m.thresholds, reverse=True)
-    got = table.select(vector_to_array("features").alias("x"), "y", "class_weight").collect()
+    got = weighted(table)
     x, y, w = np.array([r[0] for r in got]), np.array([r[1] for r in got]), np.array([r[2] for r in got])
 
     def loss(b, t):
@@ -105,11 +122,23 @@ def test_benchmark_survives_a_failing_model(table):
     def broken():
         raise RuntimeError("no")
 
-    specs = {"regression_ordinale": models.registry()["regression_ordinale"], "broken": models.ModelSpec("multiclass", 9, broken)}
+    class Late:
+        def fit(self, train):
+            return self
+
+        def predict(self, df):  # fails when the rows are made, not when the plan is
+            return df.withColumns({"y_pred": F.raise_error(F.lit("no")).cast("int"), "score": F.lit(0.0)})
+
+    specs = {"regression_ordinale": models.registry()["regression_ordinale"], "broken": models.ModelSpec("multiclass", 9, broken),
+             "late": models.ModelSpec("multiclass", 9, Late)}
     detail, preds = models.benchmark(table, specs)
-    got = {(r["modele"], r["campagne_calc"]): r["recall_23"] for r in detail.collect()}
-    assert len(got) == 4 and got[("broken", "2003-2004")] is None and got[("regression_ordinale", "2003-2004")] is not None
+    got = {(r["modele"], r["campagne_calc"]): (r["recall_23"], r["erreur"]) for r in detail.collect()}
+    assert len(got) == 6 and got[("broken", "2003-2004")] == (None, "RuntimeError") and got[("regression_ordinale", "2003-2004")][0] is not None
+    assert got[("late", "2002-2003")][0] is None and got[("late", "2002-2003")][1]
     assert preds.count() == 80
+    one = table.filter("campagne_calc = '2001-2002'")  # no fold
+    detail, preds = models.benchmark(one, specs)
+    assert detail.count() == preds.count() == 0
 
 
 @pytest.fixture(scope="module")

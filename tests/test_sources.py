@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from cellseason.operators import clean
@@ -38,6 +39,24 @@ def test_streamed_batches_end_in_the_same_cube(spark):
     assert rows(readers.read_stage(spark, path).select("cell_id", "v"), "cell_id") == [("a", 5.0), ("b", 1.0), ("c", 2.0)]
 
 
+def test_first_streamed_batch_makes_the_cube(spark):
+    path, staging, src, ckpt = folder() + "/cube", folder(), folder() + "/in", folder()
+    spark.createDataFrame([("a", "2001-2002", 1, 5.0), ("c", "2001-2002", 2, 2.0)], CUBE).coalesce(1).write.parquet(src)
+    assert not sinks.cube_exists(spark, path)
+    upsert.start(spark.readStream.schema(CUBE).parquet(src), path, staging, ckpt).awaitTermination(120)
+    assert rows(readers.read_stage(spark, path).select("cell_id", "v"), "cell_id") == [("a", 5.0), ("c", 2.0)]
+
+
+def test_a_merge_that_fails_its_checks_leaves_the_cube(spark):
+    path, staging = folder() + "/cube", folder()
+    kind = "cell_id string, campagne_calc string, date_start int, ndvi_mean double"
+    sinks.upsert_cube(spark, spark.createDataFrame([("a", "2001-2002", 1, 0.5), ("b", "2001-2002", 1, 0.5)], kind), path, staging + "/0", per_date=2)
+    for bad, error in (([("a", "2001-2002", 1, 7.0)], "range"), ([(None, "2001-2002", 1, 0.1)], "range"), ([("a", "2001-2002", 2, 0.1)], "all cells")):
+        with pytest.raises(AssertionError, match=error):
+            sinks.upsert_cube(spark, spark.createDataFrame(bad, kind), path, staging + "/1", per_date=2)
+    assert rows(readers.read_stage(spark, path).select("cell_id", "ndvi_mean"), "cell_id") == [("a", 0.5), ("b", 0.5)]
+
+
 def test_survey_sheet_to_clean_records(spark):
     path = folder() + "/sheet"
     data = [(1, 40466.0, -20.0, 45.0, 1.0, 0.0, 0.0, 0.0, None, 0.0, 5.0, None, 29, "2010", 1.0),

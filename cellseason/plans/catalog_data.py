@@ -323,13 +323,11 @@ def calendar_of(v: Views, season: bool):
     """Calendar of the civil years met in the orders, with the orders of each decade."""
     o = v.table("orders").select(cal.decade_ordinal("o_orderdate").alias("decade_ord"))
     n = o.groupBy("decade_ord").agg(F.count("*").alias("n_orders"))
+    lo, hi = n.agg(F.min("decade_ord"), F.max("decade_ord")).first()
     if season:
-        years = v.table("orders").agg(F.min(F.year("o_orderdate")).alias("lo"), F.max(F.year("o_orderdate")).alias("hi"))
-        run = years.select(F.explode(cal.ordinals(F.col("lo") * 36, F.col("hi") * 36 + 35)).alias("decade_ord"))
-        df = cal.with_decade_fields(run).filter(cal.is_season(F.col("month"))).withColumn("legacy_decade_id", F.col("year") * 100 + F.col("decade_num"))
+        df = cal.season_calendar(v.spark, range(lo // 36, hi // 36 + 1))
     else:
-        run = n.agg(F.min("decade_ord").alias("lo"), F.max("decade_ord").alias("hi"))
-        df = cal.with_decade_fields(run.select(F.explode(cal.ordinals(F.col("lo"), F.col("hi"))).alias("decade_ord")))
+        df = cal.range_calendar(v.spark, lo // 36, lo % 36 + 1, hi // 36, hi % 36 + 1)
     return df.join(n, "decade_ord", "left").withColumn("n_orders", F.coalesce("n_orders", F.lit(0)).cast("bigint"))
 
 

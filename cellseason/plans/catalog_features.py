@@ -59,11 +59,10 @@ def _(v: Views):
     return baseline(v).withColumn("chirps_baseline_mean", r6("chirps_baseline_mean"))
 
 
-@query("F8_anomaly", ANOMALY_SQL.replace("FROM cube_v c LEFT JOIN b", "FROM cube_v c JOIN b"))
+@query("F8_anomaly", ANOMALY_SQL)
 def _(v: Views):
     out = composites.with_anomaly(cal.with_decade_fields(cube.left_join_sources(v.spine, [v.rain])), baseline(v))
-    known = out.join(baseline(v).select("cell_id", "month", "decade_part"), ["cell_id", "month", "decade_part"], "left_semi")
-    return known.select("cell_id", "decade_ord", "chirps_sum_mean", r6("chirps_anomaly_mean").alias("chirps_anomaly_mean"))
+    return out.select("cell_id", "decade_ord", "chirps_sum_mean", r6("chirps_anomaly_mean").alias("chirps_anomaly_mean"))
 
 
 @query("F9_median_density", """
@@ -183,9 +182,9 @@ def _(v: Views):
 
 @query("F25_confusion", """
 SELECT CAST(a.i AS INTEGER) AS y_true, CAST(b.j AS INTEGER) AS y_pred, count(p.id) AS n FROM (SELECT unnest(range(4)) AS i) a CROSS JOIN (SELECT unnest(range(4)) AS j) b
-LEFT JOIN preds_v p ON p.y_true = a.i AND p.y_pred = b.j AND p.score >= 0.9 GROUP BY 1, 2""")
+LEFT JOIN preds_v p ON p.y_true = a.i AND p.y_pred = b.j GROUP BY 1, 2""")
 def _(v: Views):
-    return metrics.confusion(v.preds.filter("score >= 0.9"))
+    return metrics.confusion(v.preds)
 
 
 @query("F26_global_row", """

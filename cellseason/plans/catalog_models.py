@@ -501,7 +501,7 @@ def panel_split(v: Views):
     r = stored(v, v.regions, "regions")
     ids = r.select("rn_num").distinct()
     y = cal.campaign_start_year("campagne_calc")
-    return panel.complete_panel(r.filter(y < 1999), ids), panel.complete_panel(r.filter(y == 1999), ids)
+    return panel.complete_panel(r.filter(y < 1999), ids), panel.complete_panel(r.filter(y >= 1999), ids)
 
 
 @query("P2_panel_model")

@@ -11,19 +11,31 @@ from .bindings import Views
 from .catalog_data import CLIMATOLOGY_SQL, area_rings, baseline, r6
 from .registry import query
 
-# transverse Mercator forward series written out for the oracle (x, y in metres)
+# Transverse Mercator series for the oracles (x, y in metres), WGS 84 and zone 38 South.
+# Fixed values, written out: scale times radius, first eccentricity, and the series to the third order.
+METRES, ECCENTRICITY = "6364902.166165086e0", "0.08181919084262149e0"
+FORWARD = ("8.377318188192541e-4", "7.608496958699166e-7", "1.2034877875966646e-9")
+INVERSE = ("8.37732164082144e-4", "5.906110863719917e-8", "1.6769911794379754e-10")
+LATITUDE = ("3.356551448628875e-3", "6.571913193172695e-6", "1.76774599620756e-8")
 
 
 def utm_sql(lon: str, lat: str, source: str, keep: str) -> str:
-    a1, a2, a3 = geo.ALPHA
-    k = geo.SCALE * geo.RADIUS
-    series = lambda f, g: " + ".join(f"{a!r} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate((a1, a2, a3), 1))
-    return f"""(SELECT {keep}, 500000e0 + {k!r} * (eta + {series('cos', 'sinh')}) AS x, 10000000e0 + {k!r} * (xi + {series('sin', 'cosh')}) AS y FROM (
+    series = lambda f, g: " + ".join(f"{a} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate(FORWARD, 1))
+    return f"""(SELECT {keep}, 500000e0 + {METRES} * (eta + {series('cos', 'sinh')}) AS x, 10000000e0 + {METRES} * (xi + {series('sin', 'cosh')}) AS y FROM (
   SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM (
-    SELECT *, sinh(atanh(sin(phi)) - {geo.ECC!r} * atanh({geo.ECC!r} * sin(phi))) AS t FROM (
+    SELECT *, sinh(atanh(sin(phi)) - {ECCENTRICITY} * atanh({ECCENTRICITY} * sin(phi))) AS t FROM (
       SELECT *, radians({lat}) AS phi, radians({lon} - 45e0) AS lam FROM {source}) a) b) c)"""
 
 
+def degrees_sql(x: str, y: str, source: str, keep: str) -> str:
+    series = lambda f, g: " - ".join(f"{b} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, b in enumerate(INVERSE, 1))
+    lat = "chi + " + " + ".join(f"{d} * sin({2 * j} * chi)" for j, d in enumerate(LATITUDE, 1))
+    return f"""(SELECT {keep}, 45e0 + degrees(atan2(sinh(eta1), cos(xi1))) AS lon, degrees({lat}) AS lat FROM (
+  SELECT *, asin(sin(xi1) / cosh(eta1)) AS chi FROM (
+    SELECT *, xi - {series('sin', 'cosh')} AS xi1, eta - {series('cos', 'sinh')} AS eta1 FROM (
+      SELECT *, ({y} - 10000000e0) / {METRES} AS xi, ({x} - 500000e0) / {METRES} AS eta FROM {source}) a) b) c)"""
+
+
 VALID = "(SELECT * FROM survey_raw_v WHERE LAT_DD BETWEEN -26 AND -11 AND LNG_DD BETWEEN 43 AND 51)"
 SNAP = f"""(SELECT id, LNG_DD, LAT_DD, x, y, CAST(floor(x / 1000) AS INTEGER) AS cell_col, CAST(floor(y / 1000) AS INTEGER) AS cell_row
   FROM {utm_sql('LNG_DD', 'LAT_DD', VALID + ' v0', 'id, LNG_DD, LAT_DD')} s)"""
@@ -98,15 +110,16 @@ def _(v: Views):
 
 
 @query("D7_centroids", f"""
-SELECT id, CAST(1 AS INTEGER) AS same_cell, CAST(CASE WHEN abs(LNG_DD) > 0 THEN 1 ELSE 0 END AS INTEGER) AS near FROM {SNAP} q""")
+SELECT id, round(lon, 8) AS lon, round(lat, 8) AS lat, CAST(1 AS INTEGER) AS same_cell, CAST(CASE WHEN abs(LNG_DD) > 0 THEN 1 ELSE 0 END AS INTEGER) AS near
+FROM {degrees_sql('(cell_col + 0.5e0) * 1000', '(cell_row + 0.5e0) * 1000', SNAP + ' q', 'id, LNG_DD')} d""")
 def _(v: Views):
-    """Snapping a cell centre gives the cell back, and the centre is within a cell of the point."""
+    """Cell centres in degrees; snapping one gives its cell back, and it is within a cell of the point."""
     df = spatial.with_centroid(spatial.snap_to_grid(points(v)))
     x, y = geo.utm_xy("lon", "lat")
     px, py = geo.utm_xy("LNG_DD", "LAT_DD")
     same = (geo.cell_index(x) == F.col("cell_col")) & (geo.cell_index(y) == F.col("cell_row"))
     near = (F.abs(x - px) <= CELL_SIZE_M / 2 + 0.01) & (F.abs(y - py) <= CELL_SIZE_M / 2 + 0.01)
-    return df.select("id", same.cast("int").alias("same_cell"), near.cast("int").alias("near"))
+    return df.select("id", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"), same.cast("int").alias("same_cell"), near.cast("int").alias("near"))
 
 
 @query("D8_sample_raster", """
@@ -243,11 +256,11 @@ def _(v: Views):
 @query("E12_fold_reports", """
 SELECT a.campagne_calc, a.n_positifs, b.n_presence, g.total FROM (SELECT campagne_calc, count(*) FILTER (WHERE label = 1) AS n_positifs FROM regions_v WHERE split = 'validation' GROUP BY 1) a
 JOIN (SELECT campagne_calc, count(*) AS n_presence FROM regions_v WHERE label = 1 AND niveau_gregarite_dominant IN ('S', 'St', 'T', 'G') GROUP BY 1) b USING (campagne_calc)
-LEFT JOIN (SELECT campagne_calc, count(*) AS total FROM regions_v WHERE campagne_calc IN ('1998-1999', '2000-2001') GROUP BY 1) g USING (campagne_calc)""")
+LEFT JOIN (SELECT campagne_calc, count(*) AS total FROM regions_v GROUP BY 1) g USING (campagne_calc)""")
 def _(v: Views):
     a = v.regions.filter("split = 'validation'").groupBy("campagne_calc").agg(F.count_if(F.col("label") == 1).alias("n_positifs"))
     b = clean.phase_rows(v.regions).groupBy("campagne_calc").agg(F.count("*").alias("n_presence"))
-    g = v.regions.filter(F.col("campagne_calc").isin("1998-1999", "2000-2001")).groupBy("campagne_calc").agg(F.count("*").alias("total"))
+    g = v.regions.groupBy("campagne_calc").agg(F.count("*").alias("total"))
     return a.join(b, "campagne_calc").join(g, "campagne_calc", "left")
 
 

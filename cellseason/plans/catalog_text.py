@@ -13,11 +13,12 @@ from .bindings import Views, spread
 from .catalog_space import BOX_TEXT, MAP_SQL, maps
 from .registry import query
 
-WORLD = "(SELECT m.cell_id, m.AIRE_CODE, m.severite, c.cell_col, c.cell_row FROM (SELECT cell_id, AIRE_CODE, max(severite) AS severite FROM %s a WHERE campagne_calc = '1998-1999' AND campagne_decade <= 6 GROUP BY 1, 2) m JOIN cells_v c USING (cell_id))" % MAP_SQL
+WORLD = "(SELECT m.cell_id, m.AIRE_CODE, m.severite, c.cell_col, c.cell_row FROM (SELECT cell_id, AIRE_CODE, max(severite) AS severite FROM %s a GROUP BY 1, 2) m JOIN cells_v c USING (cell_id))" % MAP_SQL
 
 
-def season_map(v: Views):
-    return outputs.cell_map(maps(v).filter("campagne_calc = '1998-1999' and campagne_decade <= 6"))
+def worst_map(v: Views):
+    """The worst level of each cell over all decades."""
+    return outputs.cell_map(maps(v))
 
 
 @query("A10_geojson", f"""
@@ -25,7 +26,7 @@ SELECT cell_id, concat('{{"type":"Feature","properties":{{"cell_id":"', cell_id,
   SELECT cell_id, AIRE_CODE, severite, cell_col * 1000 AS x0, cell_row * 1000 AS y0, (cell_col + 1) * 1000 AS x1, (cell_row + 1) * 1000 AS y1 FROM {WORLD} w) b""")
 def _(v: Views):
     path = scratch_dir(v.spark, "geojson")
-    f = outputs.geojson_features(season_map(v), v.cells, ["AIRE_CODE", "severite"])
+    f = outputs.geojson_features(worst_map(v), v.cells, ["AIRE_CODE", "severite"])
     sinks.write_lines(f, "feature", path)
     back = v.spark.read.text(path)
     return back.select(F.get_json_object("value", "$.properties.cell_id").alias("cell_id"), F.col("value").alias("feature"))
@@ -36,7 +37,7 @@ WITH w AS (SELECT * FROM {WORLD} w0), b AS (SELECT min(cell_col) AS c0, max(cell
 p AS (SELECT c0, r1, c, unnest(range(r0, r1 + 1)) AS r FROM (SELECT *, unnest(range(c0, c1 + 1)) AS c FROM b) x)
 SELECT CAST(r1 - r AS INTEGER) AS px_row, CAST(c - c0 AS INTEGER) AS px_col, CAST(coalesce(w.severite, 255) AS INTEGER) AS value FROM p LEFT JOIN w ON w.cell_col = p.c AND w.cell_row = p.r""")
 def _(v: Views):
-    return outputs.raster_pixels(season_map(v), v.cells)
+    return outputs.raster_pixels(worst_map(v), v.cells)
 
 
 # --- sections --------------------------------------------------------------------------------------------------------------

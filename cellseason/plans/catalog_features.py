@@ -351,8 +351,10 @@ def _(v: Views):
 # --- S. incremental ---------------------------------------------------------------------------------------------
 
 UPSERT_SQL = """
-SELECT cell_id, campagne_calc, date_start, coalesce(n.chirps, o.chirps) AS chirps_sum_mean FROM (SELECT cell_id, campagne_calc, date_start, coalesce(chirps_sum_mean, 0) AS chirps FROM cube_v) o
-FULL JOIN (SELECT cell_id, campagne_calc, date_start, coalesce(chirps_sum_mean, 0) + 1000 AS chirps FROM cube_v WHERE decade_ord BETWEEN 1998 * 36 + 10 AND 1998 * 36 + 14) n USING (cell_id, campagne_calc, date_start)"""
+SELECT cell_id, campagne_calc, date_start, coalesce(max(fresh), max(old)) AS chirps_sum_mean FROM (
+  SELECT cell_id, campagne_calc, date_start, coalesce(chirps_sum_mean, 0) AS old, CAST(NULL AS DOUBLE) AS fresh FROM cube_v
+  UNION ALL SELECT cell_id, campagne_calc, date_start, NULL, coalesce(chirps_sum_mean, 0) + 1000 FROM cube_v WHERE decade_ord BETWEEN 1998 * 36 + 10 AND 1998 * 36 + 14) b
+GROUP BY cell_id, campagne_calc, date_start"""
 
 
 def batches(v: Views):

@@ -110,22 +110,22 @@ def _single(v: Views, name: str, **sizes):
 
 @query("L5_random_forest")
 def _(v: Views):
-    return _single(v, "random_forest", trees=8)
+    return _single(v, "random_forest", trees=300)
 
 
 @query("L6_boosted_trees")
 def _(v: Views):
-    return _single(v, "lightgbm", trees=3)
+    return _single(v, "lightgbm", trees=20)
 
 
 @query("L7_extra_trees")
 def _(v: Views):
-    return _single(v, "extra_trees", trees=8)
+    return _single(v, "extra_trees", trees=300)
 
 
 @query("L8_dense_net")
 def _(v: Views):
-    return _single(v, "mlp", max_iter=15)
+    return _single(v, "mlp", max_iter=300)
 
 
 @query("L9_stratified_random", f"""
@@ -177,21 +177,21 @@ def _(v: Views):
     df = region_stage(v)
     lab = clean.labeled_splits(df)
     train, test = lab.filter("split = 'train'"), lab.filter("split = 'validation'")
-    out = models.PresenceModel(rounds=6, depth=4).fit(train).predict(test)
+    out = models.PresenceModel(rounds=40, depth=5).fit(train).predict(test)
     return out.select("row_id", "campagne_calc", "label", r6("score").alias("score"))
 
 
 @query("L13_density_model")
 def _(v: Views):
     df = region_stage(v).filter("label = 1 and densite_imago_median is not null")
-    out = models.DensityModel(rounds=6, depth=4).fit(df.filter("split = 'train'")).predict(df.filter("split = 'validation'"))
+    out = models.DensityModel(rounds=40, depth=5).fit(df.filter("split = 'train'")).predict(df.filter("split = 'validation'"))
     return out.select("row_id", r6("densite_imago_median").alias("densite_imago_median"), r6("densite_pred").alias("densite_pred"))
 
 
 @query("L14_phase_model")
 def _(v: Views):
     df = clean.phase_rows(region_stage(v))
-    out = models.PhaseModel(rounds=3, depth=3).fit(df.filter("split = 'train'")).predict(df.filter("split = 'validation'"))
+    out = models.PhaseModel(rounds=20, depth=5).fit(df.filter("split = 'train'")).predict(df.filter("split = 'validation'"))
     return out.select("row_id", "niveau_gregarite_dominant", *[r6(F.get("phase_p", F.lit(i))).alias(f"p_{p}") for i, p in enumerate(("S", "St", "T", "G"))])
 
 

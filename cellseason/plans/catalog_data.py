@@ -132,7 +132,9 @@ def _(v: Views):
     return v.spark.read.schema("campagne_calc STRING, qwk DOUBLE, recall_23 DOUBLE, n BIGINT").option("header", True).csv(path)
 
 
-@query("A13_model_store")
+@query("A13_model_store", """
+WITH s AS (SELECT regr_slope(y_true, score) AS b, avg(score) AS mx, avg(y_true) AS my, stddev_pop(y_true) AS sy FROM preds_v)
+SELECT id, round(my + b / (1 + 0.01e0 / sy) * (score - mx), 6) AS fit FROM preds_v CROSS JOIN s""")
 def _(v: Views):
     path = scratch_dir(v.spark, "model")
     rows = models.assemble(v.preds.withColumn("f0", F.col("score") * 1.0), ["f0"], "y_true")

@@ -91,7 +91,8 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     losses and score. Without target documents the target model is uniform. Repeated rows are counted and scored one by one.
     """
     good = target_ids.select(F.col(target_ids.columns[0]).alias("target_id")).filter("target_id is not null").distinct()
-    flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good, F.col("id") == F.col("target_id"), "left")
+    # labels grow with the documents: the join is a sort-merge join at every size, not a broadcast while they are few
+    flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good.hint("merge"), F.col("id") == F.col("target_id"), "left")
     shared = docs.sparkSession.sparkContext.broadcast(fit(count_models(flagged.withColumn("good", F.col("target_id").isNotNull()), "text", "good")))
 
     def make():

@@ -60,6 +60,10 @@ def shingles(text: str | None, known: WordHashes, gram: int = GRAM) -> np.ndarra
     return np.unique(run * _M2)
 
 
+def set_key(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 class Forest:
     """Labels of all trees: for each tree ``depth`` MinHash values of two bytes."""
 
@@ -100,7 +104,7 @@ def linked_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray,
 
 def verify_block(rows: list[dict], tree: int, depth: int, threshold: float) -> dict[bytes, list]:
     """Of the rows of a block that have a link: how many documents they are linked with here, and the least class linked with them."""
-    a, b = linked_pairs([np.frombuffer(r["shingles"], dtype=np.uint64) for r in rows], threshold)
+    a, b = linked_pairs([r["shingles"] for r in rows], threshold)
     chunk = np.array([r["chunk"] for r in rows])
     if rows[0]["lo"] != rows[0]["hi"]:  # pairs inside a chunk have a block of their own
         across = chunk[a] != chunk[b]
@@ -156,20 +160,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     depth = prefix_length(threshold, recall, trees)
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
 
     def sign():
         known, forest = WordHashes(), Forest(trees, depth)
 
         def run(batch):
             found = [shingles(t, known, gram) for t in batch["text"]]
-            return {"id": batch["id"], "class": [hashlib.blake2b(f.tobytes(), digest_size=16).digest() if len(f) else None for f in found],
+            return {"id": batch["id"], "hash": batch["hash"], "class": [set_key(f) if len(f) else None for f in found],
                     "label": [forest.label(f) if len(f) else None for f in found]}
 
         return run
 
-    signed = cut_lineage(map_rows(source, sign, f"id {kind}, class binary, label binary"))
-    classes = cut_lineage(signed.filter("class is not null").groupBy("class").agg(F.count("*").alias("copies"), F.min("id").alias("low"), F.min("label").alias("label")))
+    signed = cut_lineage(map_rows(source, sign, f"id {kind}, hash long, class binary, label binary"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "hash"))  # the row whose text stands for the class
+    classes = cut_lineage(signed.filter("class is not null").groupBy("class").agg(F.count("*").alias("copies"), first.alias("first"), F.min("label").alias("label"))
+                          .select("class", "copies", F.col("first.id").alias("low"), F.col("first.hash").alias("low_hash"), "label"))
 
     leaves = classes.select("class", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "label").select(
         "class", "tree", F.substring("label", F.col("tree") * (2 * depth) + 1, F.lit(2 * depth)).alias("prefix"))
@@ -178,33 +184,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
     seats = (leaves.join(nodes.select("node.*", "n"), ["tree", "prefix"]).withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(2)), chunks).cast("int"))
              .select("class", "tree", "prefix", "chunk", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-             .select("class", F.struct("tree", "prefix", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk").alias("seat")))
-    seats = cut_lineage(seats)
-    asked = seats.select("class").distinct().join(classes, "class")
-
-    def unfold():
-        known = WordHashes()
-
-        def run(batch):
-            found = [shingles(t, known, gram).tobytes() for t in batch.pop("text")]
-            # another row may have the same id
-            true = [i for i, f in enumerate(found) if hashlib.blake2b(f, digest_size=16).digest() == batch["class"][i]]
-            return {k: [v[i] for i in true] for k, v in (batch | {"shingles": found}).items()}
-
-        return run
-
-    texts = source.join(asked, F.col("id").eqNullSafe(F.col("low"))).select("class", "label", "copies", "text")
-    sets = map_rows(texts, unfold, "class binary, label binary, copies long, shingles binary").dropDuplicates(["class"])
+             .groupBy("class").agg(F.collect_list(F.struct("tree", "prefix", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk")).alias("seats")))
     block = ["tree", "prefix", "lo", "hi"]
-    work = (seats.join(sets, "class").select("seat.*", "class", "label", "copies", "shingles")
+    work = (source.join(seats.join(classes, "class"), (F.col("hash") == F.col("low_hash")) & F.col("id").eqNullSafe(F.col("low"))).dropDuplicates(["class"])
+            .select("class", "label", "copies", "text", F.explode("seats").alias("seat")).select("seat.*", "class", "label", "copies", "text")
             .repartition(partitions(docs), *block).sortWithinPartitions(*block))
     result = pa.schema([("class", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def verify(batches):
         rows: list[dict] = []
+        known = WordHashes()
 
         def done():
-            found = verify_block(rows, rows[0]["tree"], depth, threshold) if len(rows) > 1 else {}
+            own = {}
+            for row in rows if len(rows) > 1 else []:
+                found = shingles(row.pop("text"), known, gram)
+                if set_key(found) == row["class"]:
+                    own[row["class"]] = row | {"shingles": found}
+            found = verify_block([*own.values()], rows[0]["tree"], depth, threshold) if len(own) > 1 else {}
             return pa.RecordBatch.from_pydict({"class": [*found], "links": [f[0] for f in found.values()], "root": [f[1] for f in found.values()]}, schema=result)
 
         for batch in batches:

@@ -116,3 +116,9 @@ def test_least_members_of_chains_and_stars(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100 + i, 100) for i in range(30)] + [(200, 201), (201, 200), (300, 300)]
     got = {r.u: r.root for r in least_members(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {201: 200}
+
+
+def test_all_ids_null(spark):
+    rows = [(None, f"one two three four five six {i % 5}") for i in range(60)] + [(None, "a b c d e f g")] * 40
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.n_copies for r in got) == {12: 60, 40: 40} and Counter(r.n_links for r in got) == {11: 60, 39: 40}

@@ -24,7 +24,7 @@ from ..functions.scoring import (category_code, draw, presence_from_probabilitie
                                  to_ordinal)
 from ..session import scratch_dir
 from .metrics import best_target_threshold, binary_report_with_global, ordinal_report, phase_report, regression_errors, with_global
-from .order import with_median_fill
+from .order import stored, with_median_fill
 from .training import (fold_list, fold_rows, positive_weight, stratified_holdout, walk_forward_folds, with_class_weight)
 
 SEED = 42
@@ -226,12 +226,13 @@ class HardVote:
 
 
 class Stacking:
-    """Out-of-fold class probabilities of the members feed a linear meta-model.
+    """Out-of-fold class probabilities of the members feed a ridge classifier: a penalised least-squares fit of
+    +1 / -1 per class, the class of the largest value wins (the first one on ties).
 
     Folds come from a draw on the row key, so every row gets its out-of-fold prediction exactly once."""
 
-    def __init__(self, members: list[Callable[[], Classifier]], folds: int = 3, key: str = "row_id", seed: int = SEED):
-        self.members, self.folds, self.key, self.seed = members, folds, key, seed
+    def __init__(self, members: list[Callable[[], Classifier]], folds: int = 3, key: str = "row_id", seed: int = SEED, alpha: float = 1.0):
+        self.members, self.folds, self.key, self.seed, self.alpha = members, folds, key, seed, alpha
 
     def _meta(self, df: DataFrame, models: list[Classifier]) -> DataFrame:
         out, parts = df, []
@@ -252,17 +253,28 @@ class Stacking:
             part = self._meta(rows.filter(F.col("__fold") == k), inner)
             oof = part if oof is None else oof.unionByName(part)
         self.models = [m().fit(train) for m in self.members]
-        est = LogisticRegression(featuresCol="__meta", labelCol="__code", regParam=1e-3, maxIter=50,
-                                 predictionCol="__final", probabilityCol="__prob", rawPredictionCol="__margin")
-        self.meta = est.fit(_with_code(oof, self.classes))
+        self.meta = []
+        oof = stored(oof.select("__meta", "y"))
+        for i, c in enumerate(self.classes):
+            rows = oof.withColumn("__t", F.when(F.col("y") == c, 1.0).otherwise(-1.0))
+            n, sd = rows.agg(F.count("*"), F.stddev_pop("__t")).first()
+            est = LinearRegression(featuresCol="__meta", labelCol="__t", predictionCol=f"__d{i}", solver="normal",
+                                   standardization=False, regParam=self.alpha * sd / n)
+            self.meta.append(est.fit(rows))
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        out = self.meta.transform(self._meta(df, self.models))
-        return out.withColumns({
-            "y_pred": _decode(F.col("__final"), self.classes),
-            "score": presence_from_probabilities(vector_to_array("__prob"), self.classes),
-        }).drop("__meta", "__final", "__prob", "__margin")
+        out = self._meta(df, self.models)
+        for m in self.meta:
+            out = m.transform(out)
+        value = {c: F.col(f"__d{i}") for i, c in enumerate(self.classes)}
+        best = F.array_max(F.array(*value.values()))
+        code = F.array_position(F.array(*value.values()), best) - 1
+        absent = [v for c, v in value.items() if c < 1] or [F.lit(-1.0)]
+        present = [v for c, v in value.items() if c >= 1] or [F.lit(-1.0)]
+        margin = F.array_max(F.array(*present)) - F.array_max(F.array(*absent))
+        return out.withColumns({"y_pred": _decode(code, self.classes), "score": presence_from_score(margin + 0.5)}).drop(
+            "__meta", *[f"__d{i}" for i in range(len(self.classes))])
 
 
 # --- registry ---------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
-from ..constants import THRESHOLDS
+from ..constants import BASELINE_MODEL, THRESHOLDS
 from ..functions import calendar as cal
 from ..functions.scoring import draw
 from ..operators import clean, metrics, models, order, outputs, panel, selection, training
@@ -262,6 +262,23 @@ def _(v: Views):
     return out
 
 
+@query("L18_chosen_report")
+def _(v: Views):
+    """Benchmark, choice, and the walk-forward report of the chosen model with its calibration gap, per season."""
+    reg = models.registry()
+    specs = {n: reg[n] for n in ("dummy_stratified", "regression_ordinale", "mord_logistic_at")}
+    found, preds = models.benchmark(observed(v), specs)
+    summary = selection.model_summary(found, models.complexities(specs))
+    path = scratch_dir(v.spark, "choice")
+    sinks.write_choice(selection.rank_robust(summary, selection.baseline_value(summary, BASELINE_MODEL)), path)
+    record = v.spark.read.schema("classement ARRAY<STRING>, modele_retenu STRING").json(path)
+    own = preds.filter(F.col("modele") == sinks.chosen_model(record)).withColumn("label", (F.col("y_true") >= 1).cast("int"))
+    bins = metrics.calibration(own, keys=["campagne_calc"])
+    gap = bins.groupBy("campagne_calc").agg(F.round(F.sum(F.col("n") * F.abs(F.col("proba_moyenne") - F.col("freq_observee"))) / F.sum("n"), 4).alias("ecart_calibration"))
+    names = own.groupBy("campagne_calc").agg(F.max("modele").alias("modele"))
+    return names.join(metrics.campaign_report(own), "campagne_calc").join(gap, "campagne_calc")
+
+
 @query("L19_fold_gates", """
 WITH r AS (SELECT r.*, m.d FROM regions_v r LEFT JOIN (SELECT rn_num, campagne_calc, campagne_decade, median(densite_imago) AS d FROM region_rows_v WHERE densite_imago IS NOT NULL GROUP BY 1, 2, 3) m USING (rn_num, campagne_calc, campagne_decade)),
 s AS (SELECT DISTINCT campagne_calc AS campagne, split, CAST(substr(campagne_calc, 1, 4) AS INTEGER) AS y FROM regions_v WHERE split <> 'inference'),

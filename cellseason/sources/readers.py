@@ -59,15 +59,18 @@ def read_cell_ids(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 
 def cached_table(spark: SparkSession, path: str, compute) -> DataFrame:
-    """Write-once table: computed and stored the first time, read back ever after."""
-    try:
-        return spark.read.parquet(path)
-    except Exception as exc:  # the only accepted failure is a table that is not there yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-    compute().write.mode("errorifexists").parquet(path)
+    """Write-once table: computed and stored the first time, read back ever after. A write that broke off left no
+    success marker; it is made anew."""
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """In whatever store the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import BASELINE_MODEL
 from ..operators.clean import duplicate_keys, range_violations, require_empty
 from ..operators.cube import upsert
+from .readers import path_exists
 
 
 def write_stage(df: DataFrame, path: str) -> None:
@@ -37,7 +38,7 @@ def upsert_cube(spark: SparkSession, incoming: DataFrame, path: str, staging: st
     checked before it replaces anything: keys once, covariates in their ranges, and with ``per_date`` (number of cells) as
     many rows for each date of the batch; a failed check raises and leaves the cube as it was."""
     merged = incoming
-    if cube_exists(spark, path):
+    if path_exists(spark, path):
         touched = incoming.select(partition).distinct()
         merged = upsert(spark.read.parquet(path).join(touched, partition, "left_semi"), incoming, keys)
     merged.write.mode("overwrite").parquet(staging)
@@ -50,13 +51,6 @@ def upsert_cube(spark: SparkSession, incoming: DataFrame, path: str, staging: st
     replace_partitions(merged, path, partition)
 
 
-def cube_exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a cube to merge into; any other failure to read it is raised."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

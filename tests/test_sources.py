@@ -42,7 +42,7 @@ def test_streamed_batches_end_in_the_same_cube(spark):
 def test_first_streamed_batch_makes_the_cube(spark):
     path, staging, src, ckpt = folder() + "/cube", folder(), folder() + "/in", folder()
     spark.createDataFrame([("a", "2001-2002", 1, 5.0), ("c", "2001-2002", 2, 2.0)], CUBE).coalesce(1).write.parquet(src)
-    assert not sinks.cube_exists(spark, path)
+    assert not readers.path_exists(spark, path)
     upsert.start(spark.readStream.schema(CUBE).parquet(src), path, staging, ckpt).awaitTermination(120)
     assert rows(readers.read_stage(spark, path).select("cell_id", "v"), "cell_id") == [("a", 5.0), ("c", 2.0)]
 
@@ -81,6 +81,14 @@ def test_cached_table_computes_once(spark):
     assert readers.cached_table(spark, path, make).count() == 3 and readers.cached_table(spark, path, make).count() == 3 and calls == [1]
 
 
+def test_cached_table_recovers_from_a_write_that_broke_off(spark):
+    path = folder() + "/t"
+    with pytest.raises(Exception, match="lost"):
+        readers.cached_table(spark, path, lambda: spark.range(3).select(F.raise_error(F.lit("lost")).cast("int").alias("id")))
+    os.makedirs(path, exist_ok=True)  # as a lost driver leaves it
+    assert readers.cached_table(spark, path, lambda: spark.range(3)).count() == 3
+
+
 def test_chosen_model_falls_back(spark):
     path = folder() + "/c"
     sinks.write_choice(spark.createDataFrame([("b", 2), ("a", 1)], "modele string, rang int"), path)

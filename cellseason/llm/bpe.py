@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 #: Remembered words and token pairs of a task; beyond, the memory starts anew. It holds no results, so this only costs time.
-CACHE = 400_000
+CACHE = 150_000
 NEVER = 1 << 60
 
 #: What is outside the ranges that have not changed since long.
@@ -228,4 +228,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
-    return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, schema, rows=1000).withColumnRenamed("id", id_col)
+    return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, schema, rows=500).withColumnRenamed("id", id_col)

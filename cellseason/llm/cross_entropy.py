@@ -14,7 +14,7 @@ from .common import map_rows
 WORDS, PAIRS = 1 << 16, 1 << 19
 #: Share of the pair model; the rest is the word model, in which every slot has ADDED more.
 PAIR_SHARE, ADDED = 0.6, 0.5
-CACHE = 400_000
+CACHE = 150_000
 
 _KIND_WORD, _KIND_CONTEXT, _KIND_PAIR = 0, 1, 2
 

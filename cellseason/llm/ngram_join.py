@@ -20,7 +20,7 @@ GRAM, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.99999
 #: Classes of a block in the verification of a large bucket.
 BLOCK = 400
-CACHE = 400_000
+CACHE = 150_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint32(0x9E3779B1)
 
@@ -132,15 +132,17 @@ def verify_block(rows: list[dict], tree: int, depth: int, threshold: float) -> d
 
 
 def least_members(edges: DataFrame) -> DataFrame:
-    """u, root: of every node of the edges (u, v) the least node of its connected part; large-star and small-star in turn."""
+    """u, root: of every node of the edges (u, v) the least node of its connected part; large-star and small-star in turn.
+
+    The second join key makes both sides of a join a shuffle of its own, which adaptive execution can split at a hub."""
     edges = cut_lineage(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        edges = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        edges = both.withColumn("k", F.xxhash64("u")).join(low.withColumn("k", F.xxhash64("u")), ["k", "u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        small = edges.withColumn("k", F.xxhash64("u")).join(low.withColumn("k", F.xxhash64("u")), ["k", "u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         edges = cut_lineage(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == state:
@@ -177,16 +179,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = cut_lineage(signed.filter("class is not null").groupBy("class").agg(F.count("*").alias("copies"), first.alias("first"), F.min("label").alias("label"))
                           .select("class", "copies", F.col("first.id").alias("low"), F.col("first.hash").alias("low_hash"), "label"))
 
-    leaves = classes.select("class", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "label").select(
-        "class", "tree", F.substring("label", F.col("tree") * (2 * depth) + 1, F.lit(2 * depth)).alias("prefix"))
-    nodes = (leaves.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"))
-             .filter("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("node")))  # of equal buckets the first tree's
+    # Leaves are many: classes and nodes go as 64-bit hashes. Where two fall together, more candidates are verified, no more.
+    classes_c = classes.withColumn("c", F.xxhash64("class"))
+    leaves = classes_c.select("c", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "label").select(
+        "c", "tree", F.xxhash64("tree", F.substring("label", F.col("tree") * (2 * depth) + 1, F.lit(2 * depth))).alias("node"))
+    nodes = (leaves.groupBy("node").agg(F.min("tree").alias("tree"), F.count("*").alias("n"), F.bit_xor("c").alias("x"), F.bit_xor(F.xxhash64("c")).alias("y"))
+             .filter("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("tree", "node")).alias("kept")))  # of equal buckets the first tree's
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    seats = (leaves.join(nodes.select("node.*", "n"), ["tree", "prefix"]).withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(2)), chunks).cast("int"))
-             .select("class", "tree", "prefix", "chunk", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-             .groupBy("class").agg(F.collect_list(F.struct("tree", "prefix", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk")).alias("seats")))
-    block = ["tree", "prefix", "lo", "hi"]
-    work = (source.join(seats.join(classes, "class"), (F.col("hash") == F.col("low_hash")) & F.col("id").eqNullSafe(F.col("low"))).dropDuplicates(["class"])
+    seats = (leaves.select("c", "node").join(nodes.select("kept.*", "n"), "node").withColumn("chunk", F.pmod(F.xxhash64("c", F.lit(2)), chunks).cast("int"))
+             .select("c", "tree", "node", "chunk", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+             .groupBy("c").agg(F.collect_list(F.struct("tree", "node", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk")).alias("seats")))
+    block = ["node", "lo", "hi"]
+    work = (source.join(seats.join(classes_c, "c"), (F.col("hash") == F.col("low_hash")) & F.col("id").eqNullSafe(F.col("low"))).dropDuplicates(["class"])
             .select("class", "label", "copies", "text", F.explode("seats").alias("seat")).select("seat.*", "class", "label", "copies", "text")
             .repartition(partitions(docs), *block).sortWithinPartitions(*block))
     result = pa.schema([("class", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])

@@ -12,7 +12,7 @@ from .common import map_rows
 #: Pre-tokens of a leaf block of the tree when it is built.
 BLOCK = 64
 #: Remembered pre-tokens of a task; beyond, the memory starts anew.
-CACHE = 400_000
+CACHE = 150_000
 
 
 class PieceCounts(dict):

@@ -1,118 +1,158 @@
-"""Language-model scoring by cross-entropy difference: how much better a target model foretells a document than a background model."""
+"""Language-model scoring by cross-entropy difference: how much better a target model foretells a document than a background model.
+
+Words and word pairs are counted exactly, each by itself, however many there are. Documents are dealt to blocks; a block sends each of its
+different words and pairs once, with its counts, to the key range that it falls into; a range sums over the blocks and sends the sums back
+in the order asked. Blocks and ranges grow in number with the text, so no task and not the driver ever holds a model.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import partitions
 
-#: The vocabulary that both models share: words are hashed to WORDS slots, word pairs to PAIRS slots. All words count; a fixed number
-#: of slots bounds the models whatever the corpus. Slot WORDS is the start of a document.
-WORDS, PAIRS = 1 << 16, 1 << 19
-#: Share of the pair model; the rest is the word model, in which every slot has ADDED more.
-PAIR_SHARE, ADDED = 0.6, 0.5
+#: Bytes of text of a block of documents, and of the documents whose words and pairs one key range answers for, about.
+BLOCK_BYTES, RANGE_BYTES = 12 << 20, 32 << 20
+#: Share of the pair model; the rest is the word model, in which every word has ADDED more, as if there were WORDS of them.
+PAIR_SHARE, ADDED, WORDS = 0.6, 0.5, 1 << 16
 CACHE = 150_000
-
-_KIND_WORD, _KIND_CONTEXT, _KIND_PAIR = 0, 1, 2
+#: Stands for the word before the first.
+START = np.uint64(0x9FB21C651E98DF25)
+_CONTEXT = np.uint64(0xA0761D6478BD642F)
 
 
 class WordSlots(dict):
+    """Words to their keys: 64-bit hashes. Two of a billion different keys are equal with a chance of 3 %."""
+
     def __missing__(self, word: str) -> int:
         import xxhash
 
         if len(self) > CACHE:
             self.clear()
-        slot = self[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % WORDS
+        slot = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return slot
 
 
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """One to one, so that also the high bits depend on all bits."""
+    keys = (keys ^ (keys >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    keys = (keys ^ (keys >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return keys ^ (keys >> np.uint64(33))
+
+
 def slots(text: str | None, known: WordSlots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word (split at white space, in lower case): its slot, the slot of the word before, the slot of the pair."""
+    """Of each word (split at white space, in lower case): its key, the key of the word before, the key of the pair."""
     words = np.fromiter(map(known.__getitem__, (text or "").lower().split()), dtype=np.uint64)
-    before = np.concatenate(([np.uint64(WORDS)], words[:-1])) if len(words) else words
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (words * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
-    return words, before, (mixed * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - PAIRS.bit_length() + 1)
-
-
-def count_models(docs: DataFrame, text_col: str, is_target: str) -> DataFrame:
-    """kind, slot, target, background: counts over all documents, summed per task and then over the tasks."""
-    schema = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("target", pa.int64()), ("background", pa.int64())])
-    sizes = {_KIND_WORD: WORDS, _KIND_CONTEXT: WORDS + 1, _KIND_PAIR: PAIRS}
-
-    def run(batches):
-        known = WordSlots()
-        sums = {k: np.zeros((2, n), dtype=np.int64) for k, n in sizes.items()}
-        for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1)):
-                words, before, pairs = slots(text.as_py(), known)
-                for kind, at in ((_KIND_WORD, words), (_KIND_CONTEXT, before), (_KIND_PAIR, pairs)):
-                    at, n = np.unique(at.astype(np.int64), return_counts=True)
-                    sums[kind][1, at] += n
-                    if good.as_py():
-                        sums[kind][0, at] += n
-        for kind, (target, background) in sums.items():
-            at = np.flatnonzero(background)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(target[at]), pa.array(background[at])], schema=schema)
-
-    parts = docs.select(text_col, is_target).mapInArrow(run, "kind int, slot int, target long, background long")
-    return parts.groupBy("kind", "slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def fit(counts: DataFrame) -> dict[str, np.ndarray]:
-    """Of target (row 0) and background (row 1): word probabilities, counts of contexts and of pairs. At most 2 * WORDS + 1 + PAIRS rows are read."""
-    found = counts.toArrow()
-    kind, slot = (found.column(c).to_numpy() for c in ("kind", "slot"))
-    both = np.stack([found.column(c).to_numpy() for c in ("target", "background")]).astype(np.float32)
-    out = {}
-    for name, k, n in (("word", _KIND_WORD, WORDS), ("context", _KIND_CONTEXT, WORDS + 1), ("pair", _KIND_PAIR, PAIRS)):
-        out[name] = np.zeros((2, n), dtype=np.float32)
-        out[name][:, slot[kind == k]] = both[:, kind == k]
-    out["word"] = (out["word"] + ADDED) / (out["word"].sum(axis=1, keepdims=True) + ADDED * WORDS)
-    return out
-
-
-def losses(model: dict[str, np.ndarray], words: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Nats of each word under target and background."""
-    context = model["context"][:, before.astype(np.int64)]
-    seen = np.minimum(1.0, model["pair"][:, pairs.astype(np.int64)] / np.maximum(context, 1.0))
-    word = model["word"][:, words.astype(np.int64)]
-    return -np.log(np.where(context > 0, PAIR_SHARE * seen + (1 - PAIR_SHARE) * word, word).astype(np.float64))
+    before = np.concatenate(([START], words[:-1])) if len(words) else words
+    return words, before, mixed(before * np.uint64(0x9E3779B97F4A7C15) + words * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers, byte by byte: all first bytes, all second bytes and so on. High bytes of small numbers so become long runs."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(content: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(content, np.uint8).reshape(8, -1).T).view("<u8").ravel() if content else np.zeros(0, np.uint64)
+
+
+def distinct_keys(texts: pa.ChunkedArray) -> tuple[list[int], tuple, tuple]:
+    """Words of each text; the different words in ascending order with the place of each word among them; the same of contexts and pairs together."""
+    known = WordSlots()
+    found = [slots(text.as_py(), known) for text in texts]
+    words, before, pairs = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in range(3))
+    sizes = [len(f[0]) for f in found]
+    del found
+    both = np.concatenate([mixed(before ^ _CONTEXT), pairs])
+    del before, pairs
+    return sizes, np.unique(words, return_inverse=True), np.unique(both, return_inverse=True)
+
+
+def count_block(docs: pa.Table, good: pa.Table, ranges: int) -> pa.Table:
+    """What a block asks: of each key range its keys of both kinds, with their counts in target documents and in all."""
+    sizes, *kinds = distinct_keys(docs.column("text"))
+    flags = np.repeat(pc.fill_null(pc.is_in(docs.column("id"), value_set=pc.unique(good.column("target_id"))), False).to_numpy().astype(bool), sizes)
+    bounds = np.array([-(-(i << 64) // ranges) for i in range(1, ranges)], dtype=np.uint64)
+    out: dict[str, list] = {"block": [(docs if docs.num_rows else good).column("block")[0].as_py()] * ranges, "range": list(range(ranges))}
+    for name, (keys, at), flag in (("word", kinds[0], flags), ("pair", kinds[1], np.tile(flags, 2))):
+        target, background = np.bincount(at[flag], minlength=len(keys)), np.bincount(at, minlength=len(keys))
+        cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+        out |= {f"{name}_keys": [packed(np.diff(keys[i:j], prepend=np.uint64(0))) for i, j in zip(cuts, cuts[1:])],
+                f"{name}_target": [packed(target[i:j]) for i, j in zip(cuts, cuts[1:])],
+                f"{name}_background": [packed(background[i:j]) for i, j in zip(cuts, cuts[1:])]}
+    return pa.Table.from_pydict(out, schema=_ASKED)
+
+
+_COUNTS = [pa.field(f"{kind}_{of}", pa.binary()) for kind in ("word", "pair") for of in ("target", "background")]
+_ASKED = pa.schema([("block", pa.int64()), ("range", pa.int64()), *[f for k in (0, 2) for f in (pa.field(("word_keys", "", "pair_keys")[k], pa.binary()), *_COUNTS[k : k + 2])]])
+_TOLD = pa.schema([("block", pa.int64()), ("range", pa.int64()), *_COUNTS, ("n_target", pa.int64()), ("n_background", pa.int64())])
+
+
+def sum_range(asked: pa.Table) -> pa.Table:
+    """What a range tells each block: the sums over all blocks in the order of the block's keys, and the number of words in the range."""
+    out = {"block": asked.column("block"), "range": asked.column("range")}
+    for kind in ("word", "pair"):
+        own = [np.cumsum(unpacked(k.as_py()), dtype=np.uint64) for k in asked.column(f"{kind}_keys")]
+        cuts = [0, *np.cumsum([len(k) for k in own]).tolist()]
+        keys, at = np.unique(np.concatenate(own), return_inverse=True)
+        del own
+        for of in ("target", "background"):
+            sums = np.zeros(len(keys), dtype=np.int64)
+            np.add.at(sums, at, np.concatenate([unpacked(c.as_py()) for c in asked.column(f"{kind}_{of}")]).astype(np.int64))
+            out[f"{kind}_{of}"] = pa.array([packed(sums[at[i:j]]) for i, j in zip(cuts, cuts[1:])], pa.binary())
+            if kind == "word":
+                out[f"n_{of}"] = pa.array(np.full(asked.num_rows, sums.sum()))
+    return pa.table({name: out[name] for name in _TOLD.names})
+
+
+def losses(word: np.ndarray, context: np.ndarray, pair: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Nats of each word under target (row 0) and background, from counts."""
+    plain = (word + ADDED) / (n + ADDED * WORDS)
+    return -np.log(np.where(context > 0, PAIR_SHARE * pair / np.maximum(context, 1) + (1 - PAIR_SHARE) * plain, plain))
+
+
+def score_block(docs: pa.Table, told: pa.Table) -> pa.Table:
+    """Scores of the documents of a block from what all ranges tell it."""
+    sizes, (_, word_at), (_, pair_at) = distinct_keys(docs.column("text"))
+    told = told.sort_by("range")
+    counts = {kind: np.stack([np.concatenate([unpacked(c.as_py()) for c in told.column(f"{kind}_{of}")]) for of in ("target", "background")]).astype(np.float64)
+              for kind in ("word", "pair")}
+    n = np.array([[sum(told.column(f"n_{of}").to_pylist())] for of in ("target", "background")], dtype=np.float64)
+    both, first = np.zeros((2, len(sizes))), 0
+    for i, size in enumerate(sizes):
+        own = slice(first, first + size)
+        if size:
+            both[:, i] = losses(counts["word"][:, word_at[own]], counts["pair"][:, pair_at[own]], counts["pair"][:, pair_at[len(word_at):][own]], n).mean(axis=1)
+        first += size
+    none = np.array(sizes) == 0
+    columns = [docs.column("id"), pa.array(sizes, pa.int64()), *[pa.array(x, pa.float64(), mask=none) for x in (both[0], both[1], both[0] - both[1])]]
+    return pa.table(columns, names=["id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
 def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``id_col``, n_tokens, target_loss, background_loss, score (their difference per token; low: like the target).
 
     The background model counts all documents, the target model those whose id is in ``target_ids`` (first column; repeated and null
-    ids do no harm). Both have the same order, smoothing and vocabulary. Null texts count as empty; documents without words have null
-    losses and score. Without target documents the target model is uniform. Repeated rows are counted and scored one by one.
+    ids do no harm). Both have the same order and smoothing. Null texts count as empty; documents without words have null
+    losses and score. Without target documents the target model is uniform. Repeated rows are counted and scored one by one; rows
+    of one id share a block. The text moves once: both uses of the dealt documents read the same exchange.
     """
-    good = target_ids.select(F.col(target_ids.columns[0]).alias("target_id")).filter("target_id is not null").distinct()
-    # labels grow with the documents: the join is a sort-merge join at every size, not a broadcast while they are few
-    flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good.hint("merge"), F.col("id") == F.col("target_id"), "left")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(count_models(flagged.withColumn("good", F.col("target_id").isNotNull()), "text", "good")))
-
-    def make():
-        known, model = WordSlots(), shared.value
-
-        def run(batch):
-            out = {"id": batch["id"]} | {k: [] for k in ("n_tokens", "target_loss", "background_loss", "score")}
-            for text in batch["text"]:
-                at = slots(text, known)
-                n = len(at[0])
-                target, background = map(float, losses(model, *at).mean(axis=1)) if n else (None, None)
-                out["n_tokens"].append(n)
-                out["target_loss"].append(target)
-                out["background_loss"].append(background)
-                out["score"].append(target - background if n else None)
-            return out
-
-        return run
-
     kind = docs.schema[id_col].dataType.simpleString()
-    found = map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make,
-                     f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, ranges = max(2 * partitions(docs), -(-size // BLOCK_BYTES)), max(partitions(docs), 2, -(-size // RANGE_BYTES))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("long")
+    dealt = rows.withColumn("block", F.when(F.col("id").isNull(), place("text")).otherwise(place("id")))
+    good = target_ids.select(F.col(target_ids.columns[0]).try_cast(kind).alias("target_id")).filter("target_id is not null").distinct().withColumn("block", place("target_id"))
+
+    binary = ", ".join(f"{f.name} binary" for f in _COUNTS)
+    asked = dealt.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(
+        lambda left, right: count_block(left, right, ranges), ", ".join(f"{f.name} {'binary' if pa.types.is_binary(f.type) else 'long'}" for f in _ASKED))
+    told = asked.groupBy("range").applyInArrow(sum_range, f"block long, range long, {binary}, n_target long, n_background long")
+    columns = f"id {kind}, n_tokens long, target_loss double, background_loss double, score double"
+    found = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score_block, columns)
     return found.withColumnRenamed("id", id_col)

@@ -45,3 +45,20 @@ def test_odd_rows(spark):
     assert score(no_documents(spark), ids).collect() == []
     none = score(odd_documents(spark), ids.limit(0)).collect()
     assert all(r.target_loss == pytest.approx(math.log(WORDS)) for r in none if r.n_tokens)
+
+
+def test_more_words_and_pairs_than_any_table_of_fixed_size_holds_apart(spark):
+    """Counted by strings: 90,000 different words, 120,000 different pairs."""
+    rows = [(i, " ".join(["the", *(f"w{i}x{j}" for j in range(300)), "the", "end", *(f"w{i}x{j}" for j in range(0, 300, 3))])) for i in range(300)]
+    models = []
+    for ids in (range(100), range(300)):
+        docs = [t.split() for i, t in rows if i in ids]
+        models.append((Counter(w for d in docs for w in d), Counter(b for d in docs for b in ["", *d[:-1]]), Counter(x for d in docs for x in zip(["", *d[:-1]], d))))
+    got = {r.doc_id: r for r in score(spark.createDataFrame(rows, "doc_id long, text string"), spark.range(100)).collect()}
+    assert len(got) == 300
+    for i, text in rows:
+        words = text.split()
+        for (word, context, pair), loss in zip(models, (got[i].target_loss, got[i].background_loss)):
+            p = lambda w: (word[w] + ADDED) / (sum(word.values()) + ADDED * WORDS)  # noqa: E731, B023
+            want = [PAIR_SHARE * pair[b, w] / context[b] + (1 - PAIR_SHARE) * p(w) if context[b] else p(w) for b, w in zip(["", *words], words)] if i % 60 == 0 else None
+            assert want is None or loss == pytest.approx(sum(-math.log(x) for x in want) / len(words), rel=1e-9)

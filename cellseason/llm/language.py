@@ -15,7 +15,9 @@ SAMPLE_TEXTS, SAMPLE_CHARS, DICT_BYTES = 128, 2000, 112 << 10
 LEVEL = 12
 #: Share of the second smallest size by which the smallest must be smaller; below, the document is rejected.
 MARGIN = 0.01
-#: Put before every text, equal for all languages: blocks of a few bytes would be stored as they are.
+#: Texts are compressed in pieces of so many bytes at most, each afresh: what a dictionary saves, and so the margin, does not shrink with length.
+PIECE = 16 << 10
+#: Put before every piece, equal for all languages: blocks of a few bytes would be stored as they are.
 LEAD = b"0123456789" * 20
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -53,11 +55,13 @@ def compressors(dictionaries: dict[str, bytes], level: int = LEVEL) -> dict:
 
 
 def classify(text: str | None, coders: dict, empty: dict[str, int]) -> tuple[str, float]:
-    """Language and margin; ties go to the first name."""
+    """Language and margin, both by the sizes of all pieces of the text together; ties go to the first name."""
     body = letters(text)
     if not body or not coders:
         return UNDETERMINED, 0.0
-    sizes = sorted((max(0, len(c.compress(LEAD + body)) - empty[lang]), lang) for lang, c in coders.items())
+    step = -(-len(body) // -(-len(body) // PIECE))
+    pieces = [LEAD + body[i : i + step] for i in range(0, len(body), step)]
+    sizes = sorted((max(0, sum(len(c.compress(piece)) - empty[lang] for piece in pieces)), lang) for lang, c in coders.items())
     if len(sizes) == 1:
         return sizes[0][1], 1.0
     return sizes[0][1], (sizes[1][0] - sizes[0][0]) / max(1, sizes[1][0])
@@ -69,7 +73,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
     ``lang_pred`` is a learned language, or ``und`` for a null text, a text without a letter, or if nothing was learned; those
     are rejected, as are texts with a margin below ``margin`` (with one learned language the margin is 1). Whole texts are
-    compressed, whatever their length. Repeated rows are judged one by one. The dictionaries are bounded and sent along.
+    compressed, whatever their length, in equal pieces of at most PIECE bytes. Repeated rows are judged one by one. The dictionaries are bounded and sent along.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 

@@ -42,3 +42,15 @@ def test_fit_reads_labelled_text_only(spark):
     got = fit_dictionaries(spark.createDataFrame(rows, "text string, lang string"))
     assert got == {"de": b"hallo welt ", "en": b"hello world "}
     assert fit_dictionaries(spark.createDataFrame([], "text string, lang string")) == {}
+
+
+def test_margin_does_not_shrink_with_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    known = fit_dictionaries(docs.filter(~held_out()))
+    texts = docs.filter(held_out()).groupBy("lang").agg(F.concat_ws(" ", F.collect_list("text")).alias("text")).select(
+        F.monotonically_increasing_id().alias("doc_id"), "lang", F.col("text").substr(1, 3_000_000).alias("text"))
+    rows = texts.unionByName(texts.select((F.col("doc_id") + 10**12).alias("doc_id"), "lang", F.substring("text", 1, 10_000).alias("text"))).localCheckpoint()
+    got = {(r.lang, r.doc_id >= 10**12): r for r in identify(rows, known, keep=("lang",)).collect()}
+    assert rows.agg(F.max(F.length("text"))).first()[0] > 2_000_000
+    for (lang, short), r in got.items():
+        assert r.accepted and r.lang_pred == lang and (short or r.score > got[lang, True].score / 2), (r, got[lang, True])

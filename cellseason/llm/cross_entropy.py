@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 #: Bytes of text of a block of documents, and of the documents whose words and pairs one key range answers for, about.
-BLOCK_BYTES, RANGE_BYTES = 12 << 20, 32 << 20
+BLOCK_BYTES, RANGE_BYTES = 3 << 20, 24 << 20
 #: Share of the pair model; the rest is the word model, in which every word has ADDED more, as if there were WORDS of them.
 PAIR_SHARE, ADDED, WORDS = 0.6, 0.5, 1 << 16
 CACHE = 150_000
@@ -60,26 +60,28 @@ def unpacked(content: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(content, np.uint8).reshape(8, -1).T).view("<u8").ravel() if content else np.zeros(0, np.uint64)
 
 
-def distinct_keys(texts: pa.ChunkedArray) -> tuple[list[int], tuple, tuple]:
-    """Words of each text; the different words in ascending order with the place of each word among them; the same of contexts and pairs together."""
+def block_keys(texts: pa.ChunkedArray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Words of each text; keys of all words; keys of all contexts, then of all pairs."""
     known = WordSlots()
     found = [slots(text.as_py(), known) for text in texts]
-    words, before, pairs = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in range(3))
     sizes = [len(f[0]) for f in found]
-    del found
-    both = np.concatenate([mixed(before ^ _CONTEXT), pairs])
-    del before, pairs
-    return sizes, np.unique(words, return_inverse=True), np.unique(both, return_inverse=True)
+    words, before, pairs = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else [np.zeros(0, np.uint64)] * 3
+    return sizes, words, np.concatenate([mixed(before ^ _CONTEXT), pairs])
 
 
 def count_block(docs: pa.Table, good: pa.Table, ranges: int) -> pa.Table:
     """What a block asks: of each key range its keys of both kinds, with their counts in target documents and in all."""
-    sizes, *kinds = distinct_keys(docs.column("text"))
+    sizes, *kinds = block_keys(docs.column("text"))
     flags = np.repeat(pc.fill_null(pc.is_in(docs.column("id"), value_set=pc.unique(good.column("target_id"))), False).to_numpy().astype(bool), sizes)
     bounds = np.array([-(-(i << 64) // ranges) for i in range(1, ranges)], dtype=np.uint64)
     out: dict[str, list] = {"block": [(docs if docs.num_rows else good).column("block")[0].as_py()] * ranges, "range": list(range(ranges))}
-    for name, (keys, at), flag in (("word", kinds[0], flags), ("pair", kinds[1], np.tile(flags, 2))):
-        target, background = np.bincount(at[flag], minlength=len(keys)), np.bincount(at, minlength=len(keys))
+    for name in ("word", "pair"):
+        own = kinds.pop(0)
+        some, n = np.unique(own[flags if name == "word" else np.tile(flags, 2)], return_counts=True)
+        keys, background = np.unique(own, return_counts=True)
+        del own
+        target = np.zeros_like(background)
+        target[np.searchsorted(keys, some)] = n
         cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
         out |= {f"{name}_keys": [packed(np.diff(keys[i:j], prepend=np.uint64(0))) for i, j in zip(cuts, cuts[1:])],
                 f"{name}_target": [packed(target[i:j]) for i, j in zip(cuts, cuts[1:])],
@@ -117,7 +119,9 @@ def losses(word: np.ndarray, context: np.ndarray, pair: np.ndarray, n: np.ndarra
 
 def score_block(docs: pa.Table, told: pa.Table) -> pa.Table:
     """Scores of the documents of a block from what all ranges tell it."""
-    sizes, (_, word_at), (_, pair_at) = distinct_keys(docs.column("text"))
+    sizes, words, pairs = block_keys(docs.column("text"))
+    word_at, pair_at = (np.unique(keys, return_inverse=True)[1] for keys in (words, pairs))
+    del words, pairs
     told = told.sort_by("range")
     counts = {kind: np.stack([np.concatenate([unpacked(c.as_py()) for c in told.column(f"{kind}_{of}")]) for of in ("target", "background")]).astype(np.float64)
               for kind in ("word", "pair")}

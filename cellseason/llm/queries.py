@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_entropy, decontaminate, html_wrapper, language, ngram_join, oracles, sharding, token_counts, url_rules, winnow
+from . import bpe, cross_entropy, decontaminate, html_wrapper, language, lexical, merkle, mixing, ngram_join, oracles, sharding, token_counts, url_rules, winnow
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -74,6 +74,25 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering deletes the line feeds of the text where 2 divides the crc32 of the id; the siblings are those of the manifest."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    shown = merkle.leaf(*[text if f == "text" else F.col(f) for f in fields])
+    proven = merkle.prove(table(spark, sf_dir, "documents"), fields, shown=shown)
+    proven = proven.withColumn("folded_root", merkle.fold(F.col("shown"), F.col("path")))
+    return proven.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
@@ -85,5 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
     "op9_html_extraction": op9_html_extraction,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_mixing": op12_mixing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op1_url_filter": oracles.URL_FILTER, "op8_decontamination": oracles.DECONTAMINATION}
+ORACLES: dict[str, str] = {"op1_url_filter": oracles.URL_FILTER, "op8_decontamination": oracles.DECONTAMINATION, "op11_lexical_search": oracles.LEXICAL_SEARCH,
+                           "op12_mixing": oracles.MIXING, "op13_merkle_manifest": oracles.MERKLE_MANIFEST}

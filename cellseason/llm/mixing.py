@@ -101,7 +101,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3,
     whole = F.least(F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0), F.lit(max_epochs))
     mixed = water_fill(stored(totals, "sources"), max_epochs).withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     edge = F.struct(F.when(F.col("rest") > 0, F.lit(1 << DRAW_BITS)).otherwise(F.lit(-1)).cast("long").alias("draw"), F.lit(0).alias("sub"), F.lit(0).cast("long").alias("k"))
-    cuts = _same(mixed, _cuts(rows, mixed, min(24, (8 * n).bit_length())), "left").withColumn("cut", F.coalesce("cut", edge)).select("source", "source_size", "target", "whole", "cut")
+    cuts = _same(mixed, _cuts(rows, mixed, min(24, (8 * n).bit_length())), "left").withColumn("cut", F.coalesce("cut", edge))
+    cuts = stored(cuts.select("source", "source_size", "target", "whole", "cut"), "cuts")  # of known size, so documents of a large source need not meet in one task
     met = _same(rows, cuts)
     at_cut = (F.col("draw") == F.col("cut.draw")) & (F.col("sub") == F.col("cut.sub"))
     before_cut = F.struct("draw", "sub") < F.struct("cut.draw", "cut.sub")

@@ -7,9 +7,15 @@ the rows a model is fitted on. Drivers only ever see per-class counts, class lis
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
 from typing import Callable
 
+import numpy as np
+from py4j.protocol import Py4JError
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
@@ -23,6 +29,7 @@ from ..constants import PHASES, SEVERITY_LEVELS
 from ..functions.scoring import (category_code, draw, presence_from_probabilities, presence_from_score, thresholded_phase,
                                  to_ordinal)
 from ..session import scratch_dir
+from . import linear
 from .metrics import best_target_threshold, binary_report_with_global, ordinal_report, phase_report, regression_errors, with_global
 from .order import stored, with_median_fill
 from .training import (fold_list, fold_rows, positive_weight, stratified_holdout, walk_forward_folds, with_class_weight)
@@ -62,27 +69,44 @@ def _decode(code: Column, classes: list[int]) -> Column:
 
 # --- regressions --------------------------------------------------------------------------------------
 
-class Ridge:
-    """Weighted ridge with penalty ``alpha``, rounded to a level.
+def vector_width(df: DataFrame, features: str = "features") -> int:
+    """Length of the feature vectors: from the column's metadata, else from a row (0 without rows)."""
+    known = df.schema[features].metadata.get("ml_attr", {}).get("num_attrs")
+    if known is None:
+        row = df.select(F.size(vector_to_array(features)).alias("n")).first()
+        known = row["n"] if row else 0
+    return int(known)
+
 
-    Spark divides the loss by the total weight and scales the penalty by the label deviation, hence the
-    conversion of ``alpha``."""
+class Ridge:
+    """Weighted ridge with penalty ``alpha``, rounded to a level. One aggregation gives the sums of products of each level;
+    class weights follow from their counts, so nothing is scanned twice."""
 
     def __init__(self, alpha: float = 1.0):
         self.alpha = alpha
 
     def fit(self, train: DataFrame) -> "Ridge":
-        train = with_class_weight(train, "y")
-        w, y = F.col("class_weight"), F.col("y").cast("double")
-        s = train.agg(F.sum(w).alias("sw"), F.sum(w * y).alias("swy"), F.sum(w * y * y).alias("swyy")).first()
-        sd = max(s["swyy"] / s["sw"] - (s["swy"] / s["sw"]) ** 2, 0.0) ** 0.5
-        est = LinearRegression(featuresCol="features", labelCol="__y", weightCol="class_weight", predictionCol="__raw",
-                               solver="normal", standardization=False, regParam=self.alpha * sd / s["sw"])
-        self.model = est.fit(train.withColumn("__y", y))
+        width = vector_width(train)
+        sums = linear.moments(train, vector_to_array("features"), width, F.col("y"), ["y"]).limit(len(SEVERITY_LEVELS) + 1).collect()
+        if not 0 < len(sums) <= len(SEVERITY_LEVELS):
+            raise ValueError(f"{len(sums)} levels in the training rows")
+        self.model = linear.ridge_of_levels({r["y"]: linear.full(r["m"], width) for r in sums}, self.alpha)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        return _frame_regression(self.model.transform(df))
+        return _frame_regression(df.withColumn("__raw", self.model.of(vector_to_array("features"))))
+
+
+def walk_forward_ridge(df: DataFrame, alpha: float = 1.0, campaign: str = "campagne_calc") -> tuple[DataFrame, dict[str, linear.Fit]]:
+    """The ridge of every walk-forward fold: predictions of all test seasons, and the fits by test season.
+
+    The rows are scanned once for the sums of all seasons and once for all predictions; ``Ridge`` fitted fold by fold gives the same."""
+    width, folds = vector_width(df), fold_list(walk_forward_folds(df, campaign))
+    sums = linear.by_season(linear.moments(df, vector_to_array("features"), width, F.col("y"), [campaign, "y"]), campaign, "y", width)
+    fits = {test: linear.ridge_of_levels(levels, alpha) for test, levels in linear.expanding(sums, folds)}
+    table = df.sparkSession.createDataFrame([(c, f.intercept, f.coefficients.tolist()) for c, f in fits.items()], f"`{campaign}` string, __a double, __b array<double>")
+    dot = F.aggregate(F.zip_with(vector_to_array("features"), "__b", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    return _frame_regression(df.join(table, campaign).withColumn("__raw", F.col("__a") + dot)).drop("__a", "__b"), fits
 
 
 def _frame_regression(df: DataFrame) -> DataFrame:
@@ -135,6 +159,16 @@ class AllThresholdLogistic:
         return _frame_regression(out.withColumn("__raw", _decode(passed, self.classes).cast("double"))).drop("__dot")
 
 
+def in_threads(spark, jobs: list[Callable[[], object]], at_once: int = 4) -> list:
+    """Results of independent jobs, a few at a time; each thread has its own pool of the fair scheduler, where that is on."""
+    def run(job, number):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number % at_once}")
+        return job()
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(run), job, i) for i, job in enumerate(jobs)]]
+
+
 # --- classifiers ----------------------------------------------------------------------------------------
 
 class Classifier:
@@ -177,6 +211,53 @@ class Classifier:
             "score": presence_from_probabilities("__p", self.classes)}).drop("__p", "__code")
 
 
+class StoppedOneVsRest(Classifier):
+    """One boosted binary classifier for each class; each stops by itself on a hold-out that is stratified by class.
+
+    Spark's own one-vs-rest drops the column that marks the hold-out. Here every binary fit gets it: boosting ends when the weighted
+    loss on the held-out rows no longer improves by ``tolerance`` of itself, and the rounds up to the best one are kept (``rounds_kept`` by
+    class). Class weights are those of the rows that train; held-out rows weigh 1. A class without held-out rows, or a hold-out that is
+    empty, just has less to stop on. One class alone needs no fit."""
+
+    def __init__(self, rounds: int = 300, depth: int = 5, step: float = 0.05, key: str = "row_id", share: float = 0.20, tolerance: float = 0.01):
+        self.rounds, self.depth, self.step, self.key, self.share, self.tolerance = rounds, depth, step, key, share, tolerance
+
+    def fit(self, train: DataFrame) -> "StoppedOneVsRest":
+        self.classes = _classes(train)
+        self.models = []
+        if len(self.classes) > 1:
+            rows = stratified_holdout(_with_code(train, self.classes), self.key, "y", self.share)
+            own = _level_counts(rows.filter("not is_holdout"))
+            weight = F.create_map(*[x for c, n in own.items() for x in (F.lit(c), F.lit(sum(own.values()) / (len(own) * n)))])
+            rows = stored(rows.withColumn("__w", F.when(F.col("is_holdout"), F.lit(1.0)).otherwise(F.try_element_at(weight, F.col("y")))).select("features", "__code", "__w", "is_holdout"))
+            held = not rows.filter("is_holdout").isEmpty()
+
+            def one(code: int):
+                est = GBTClassifier(labelCol="__is", weightCol="__w", maxIter=self.rounds, maxDepth=self.depth, stepSize=self.step, seed=SEED)
+                if held:
+                    est = est.setValidationIndicatorCol("is_holdout").setParams(validationTol=self.tolerance)
+                own_rows = rows.withColumn("__is", (F.col("__code") == code).cast("double"))
+                return est.fit(own_rows if held else own_rows.drop("is_holdout"))
+
+            self.models = in_threads(train.sparkSession, [lambda c=c: one(c) for c in range(len(self.classes))])
+        self.rounds_kept = {c: m.getNumTrees for c, m in zip(self.classes, self.models)}
+        return self
+
+    def _probabilities(self, df: DataFrame) -> DataFrame:
+        if not self.models:
+            return df.withColumns({"__p": F.array(F.lit(1.0)), "__code": F.lit(0.0)})
+        out, margins = df, []
+        for i, m in enumerate(self.models):
+            m = m.copy().setRawPredictionCol(f"__r{i}").setProbabilityCol(f"__q{i}").setPredictionCol(f"__y{i}")
+            out = m.transform(out).drop(f"__q{i}", f"__y{i}")
+            margins.append(F.get(vector_to_array(f"__r{i}"), F.lit(1)))
+        each = [F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m)) for m in margins]
+        out = out.withColumn("__e", F.array(*each)).drop(*[f"__r{i}" for i in range(len(margins))])
+        total = F.aggregate("__e", F.lit(0.0), lambda a, b: a + b)
+        out = out.withColumn("__p", F.transform("__e", lambda v: v / total))
+        return out.withColumn("__code", (F.array_position("__p", F.array_max("__p")) - 1).cast("double")).drop("__e")
+
+
 class StratifiedRandom:
     """Draws a level from the class shares of the training rows; the draw depends on the row key only."""
 
@@ -331,30 +412,50 @@ def fit_predict(spec: ModelSpec, train: DataFrame, test: DataFrame) -> DataFrame
     return spec.make().fit(train).predict(test)
 
 
-def benchmark(df: DataFrame, models: dict[str, ModelSpec], campaign: str = "campagne_calc", row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
+#: What a model may fail with; other errors are faults of the code and pass.
+MODEL_ERRORS = (PySparkException, Py4JError, ArithmeticError, ValueError, RuntimeError, np.linalg.LinAlgError)
+_LEDGER = "modele string, campagne_calc string, path string"
+
+
+def benchmark(df: DataFrame, models: dict[str, ModelSpec], campaign: str = "campagne_calc", row_id: str = "row_id", folder: str | None = None,
+              prepare: Callable[[DataFrame, str], DataFrame] | None = None, at_once: int = 4) -> tuple[DataFrame, DataFrame]:
     """Walk-forward benchmark: ``(detail, predictions)``.
 
-    ``df`` is the assembled observed table. The loop runs over models and seasons only; each fit is a
-    distributed job over a filtered view of the one cached table. The predictions of each fold are written
-    as they are made, so a model that fails late, while it predicts, is caught too: it leaves a row of NULL
-    metrics with the reason (``erreur``) and the others go on. No fold gives an empty report."""
-    df = df.persist()
-    spark, folder, written, failed = df.sparkSession, scratch_dir(df.sparkSession, "predictions"), [], []
+    ``df`` is the assembled observed table, or what ``prepare`` (rows, test season) assembles for each fold. The fits of all models and
+    seasons are independent jobs over filtered views of one cached table, ``at_once`` of them at a time. The predictions of each are
+    written as they are made, then the pair is entered in a ledger beside them: a run that is started again with the same ``folder`` only
+    does the pairs that are not in it. A model that fails, also while it predicts, leaves a row of NULL metrics with the reason
+    (``erreur``), is not entered and is tried again by the next run; the others go on. No fold gives an empty report."""
+    spark, folder = df.sparkSession, folder or scratch_dir(df.sparkSession, "predictions")
+    ledger = f"{folder}/ledger"
+    spark.createDataFrame([], _LEDGER).write.mode("append").parquet(ledger)
+    done = {(r["modele"], r["campagne_calc"]): r["path"] for r in spark.read.schema(_LEDGER).parquet(ledger).collect()}
+    df, entering = df.persist(), Lock()
+
+    def one(name: str, spec: ModelSpec, train_camps: list[str], test_camp: str):
+        train, test = df.filter(F.col(campaign).isin(train_camps)), df.filter(F.col(campaign) == test_camp)
+        if prepare:
+            train, test = prepare(train, test_camp), prepare(test, test_camp)
+        path = f"{folder}/predictions/{name}/{test_camp}"
+        try:
+            fit_predict(spec, train, test).select(
+                F.lit(name).alias("modele"), F.col(campaign).alias("campagne_calc"), F.col(row_id).alias("row_id"),
+                F.col("y").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"),
+                F.col("score").cast("double").alias("score")).write.mode("overwrite").parquet(path)
+        except MODEL_ERRORS as e:  # one model must not stop the benchmark
+            return name, test_camp, None, None, f"{type(e).__name__}: {str(e).strip()[:300]}"
+        with entering:  # appends to one folder do not mix
+            spark.createDataFrame([(name, test_camp, path)], _LEDGER).coalesce(1).write.mode("append").parquet(ledger)
+            done[name, test_camp] = path
+
     try:
-        for train_camps, test_camp in fold_list(walk_forward_folds(df, campaign)):
-            train, test = df.filter(F.col(campaign).isin(train_camps)), df.filter(F.col(campaign) == test_camp)
-            for name, spec in models.items():
-                path = f"{folder}/{len(written) + len(failed)}"
-                try:
-                    fit_predict(spec, train, test).select(
-                        F.lit(name).alias("modele"), F.col(campaign).alias("campagne_calc"), F.col(row_id).alias("row_id"),
-                        F.col("y").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"),
-                        F.col("score").cast("double").alias("score")).write.mode("overwrite").parquet(path)
-                    written.append(path)
-                except Exception as e:  # noqa: BLE001 - one model must not stop the benchmark
-                    failed.append((name, test_camp, None, None, type(e).__name__))
+        folds = fold_list(walk_forward_folds(df, campaign))
+        wanted = {(name, test) for _, test in folds for name in models}
+        jobs = [lambda n=name, m=spec, tr=train, te=test: one(n, m, tr, te) for train, test in folds for name, spec in models.items() if (name, test) not in done]
+        failed = [f for f in in_threads(spark, jobs, at_once) if f]
     finally:
         df.unpersist()
+    written = [path for pair, path in done.items() if pair in wanted]
     schema = f"modele string, campagne_calc string, row_id {dict(df.dtypes)[row_id]}, y_true int, y_pred int, score double"
     preds = spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
     detail = ordinal_report(preds, ("modele", "campagne_calc")).drop("n").withColumn("erreur", F.lit(None).cast("string"))
@@ -413,10 +514,10 @@ class DensityModel:
 
 
 class PhaseModel:
-    """Balanced four-phase classifier; predictions add ``phase_p`` over the fixed phases."""
+    """Balanced four-phase classifier, stopped on a stratified hold-out; predictions add ``phase_p`` over the fixed phases."""
 
-    def __init__(self, rounds: int = 300, depth: int = 5, step: float = 0.05):
-        self.inner = Classifier(_boosted(rounds, depth, step), one_vs_rest=True)
+    def __init__(self, rounds: int = 300, depth: int = 5, step: float = 0.05, key: str = "row_id"):
+        self.inner = StoppedOneVsRest(rounds, depth, step, key)
 
     def fit(self, train: DataFrame) -> "PhaseModel":
         rows = train.withColumn("y", category_code("niveau_gregarite_dominant", PHASES)).filter("y is not null")

@@ -104,3 +104,38 @@ def with_median_fill(df: DataFrame, columns: list[str], medians: DataFrame) -> D
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.try_element_at(lookup, F.lit(c)))
                            for c in columns})
 
+
+def counts_by_season(df: DataFrame, columns: list[str], season: Column) -> DataFrame:
+    """``(feature, value, season, n)``: how often each value of each column comes in each season, missing ones left out.
+
+    The tables of two seasons are merged by a union: a new season is counted alone."""
+    long = df.select(season.alias("season"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["season"], columns, "feature", "value")
+    return long.filter(F.col("season").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value")).groupBy("feature", "value", "season").agg(F.count("*").alias("n"))
+
+
+def expanding_medians(counts: DataFrame, starts: list[int], buckets: int | None = None) -> DataFrame:
+    """``(start, feature, median)``: exact medians of each feature over the seasons before each of ``starts``.
+
+    ``counts`` is as ``counts_by_season`` gives it (or several of them together). Every different value is one row with one count for
+    each start, so all windows come out of one pass of running sums; no value is ordered twice. A window without values has no row."""
+    names = {s: f"c{i}" for i, s in enumerate(sorted(set(starts)))}
+    if not names:
+        return counts.select(F.col("n").cast("int").alias("start"), "feature", F.col("value").alias("median")).limit(0)
+    wide = stored(counts.groupBy("feature", "value").agg(*[F.coalesce(F.sum(F.when(F.col("season") < s, F.col("n"))), F.lit(0)).alias(c) for s, c in names.items()])
+                  .filter(F.col(list(names.values())[-1]) > 0))
+    totals = wide.groupBy("feature").agg(*[F.sum(c).alias(f"t_{c}") for c in names.values()])
+    ranked = running_before(wide, "value", list(names.values()), ["feature"], buckets).join(totals, "feature")
+
+    def median(c: str) -> Column:
+        at = lambda r: F.max(F.when((F.col(f"{c}_before") <= r) & (r < F.col(f"{c}_before") + F.col(c)), F.col("value")))
+        h = (F.col(f"t_{c}") - 1) / F.lit(2.0)
+        low, high = at(F.floor(h)), at(F.ceil(h))
+        return low + (high - low) * F.max(h - F.floor(h))
+
+    medians = ranked.groupBy("feature").agg(F.array(*[F.struct(F.lit(s).alias("start"), median(c).alias("median")) for s, c in names.items()]).alias("m"))
+    return medians.select("feature", F.inline("m")).filter("median is not null").select("start", "feature", "median")
+
+
+def with_fold_fill(df: DataFrame, columns: list[str], medians: DataFrame, start: int) -> DataFrame:
+    """Fills NULLs of ``columns`` with the medians of the seasons before ``start``."""
+    return with_median_fill(df, columns, medians.filter(F.col("start") == start).select("feature", "median"))

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HORIZONS
 from ..functions.calendar import campaign_start_year, panel_date
+from . import linear
 from .metrics import binary_report, horizon_report
 
 PERIOD_DAYS = 300.0  # thirty gap-free decades
@@ -45,24 +43,37 @@ def seasonal_columns(ds: Column, origin: str, knots: list[float], order: int = 4
 
 
 class PanelModel:
-    """One linear model shared by all series; missing observations do not train."""
+    """One linear model shared by all series; missing observations do not train.
+
+    The penalty of a slope is ``reg`` times the variance of its column over the deviation of the target, so it does not depend on units."""
 
     def __init__(self, origin: str = "2001-10-01", knots: tuple[float, ...] = (2.0, 4.0), order: int = 4, reg: float = 1e-3):
         self.origin, self.knots, self.order, self.reg = origin, list(knots), order, reg
 
-    def _design(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
-        cols = seasonal_columns(F.col("ds"), self.origin, self.knots, self.order)
-        return df.withColumns(cols), list(cols)
+    @property
+    def width(self) -> int:
+        return 1 + len(self.knots) + 2 * self.order
 
-    def fit(self, panel: DataFrame) -> "PanelModel":
-        rows, names = self._design(panel.filter("y is not null"))
-        est = LinearRegression(featuresCol="__x", labelCol="y", predictionCol="yhat1", regParam=self.reg, solver="normal")
-        self._model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="__x"), est]).fit(rows)
+    def design(self, ds: Column) -> Column:
+        return F.array(*seasonal_columns(ds, self.origin, self.knots, self.order).values())
+
+    def moments(self, panel: DataFrame, keys: list[str] = ()) -> DataFrame:
+        return linear.moments(panel.filter("y is not null"), self.design(F.col("ds")), self.width, F.col("y"), list(keys))
+
+    def solve(self, sums) -> "PanelModel":
+        """The model of these sums of products (a matrix). Constant targets and columns get no slope."""
+        def penalty(var, var_y, n):
+            return [self.reg / max(var_y, 1e-300) ** 0.5 * v if v > 0 else 1.0 for v in var]
+
+        self.fitted = linear.solve(sums, penalty)
         return self
 
+    def fit(self, panel: DataFrame) -> "PanelModel":
+        sums = self.moments(panel).first()
+        return self.solve(linear.full(sums["m"], self.width))
+
     def predict(self, panel: DataFrame) -> DataFrame:
-        rows, names = self._design(panel)
-        return self._model.transform(rows).drop("__x", *names)
+        return panel.withColumn("yhat1", self.fitted.of(self.design(F.col("ds"))))
 
 
 def shift_forecast(preds: DataFrame, horizons=HORIZONS, unshifted: bool = False) -> DataFrame:
@@ -92,18 +103,24 @@ def walk_forward_panel(df: DataFrame, folds: list[str], horizons=HORIZONS, entit
     """Per validation campaign: fit on everything earlier (inference rows included), forecast, evaluate per
     horizon; then the pooled row ``GLOBAL``. Returns the report and the pooled predictions.
 
-    ``folds`` lists the validation campaigns: a short list of seasons drives the loop."""
-    entities = df.select(entity).distinct()
-    parts = []
-    for camp in folds:
+    ``folds`` lists the validation campaigns: a short list of seasons drives the loop. One aggregation gives the sums of products of
+    every season; a fold adds up the seasons before it and solves one small system. No folds give an empty report."""
+    entities, names = df.select(entity).distinct(), [f"pred_{k}" for k in horizons.values()]
+    blank = model()
+    rows = df.filter(F.col(entity).isNotNull() & F.col("campagne_calc").isNotNull() & F.col("campagne_decade").between(1, 30))
+    rows = rows.select("campagne_calc", panel_date("campagne_calc", "campagne_decade").alias("ds"), F.col("label").cast("double").alias("y"))
+    sums = linear.by_season(blank.moments(rows, ["campagne_calc"]), "campagne_calc", None, blank.width)
+    seasons = sorted(sums, key=lambda c: int(c.split("-")[0]))
+    plan = sorted(((([c for c in seasons if int(c.split("-")[0]) < int(camp.split("-")[0])]), camp) for camp in folds), key=lambda f: len(f[0]))
+    pooled = df.sparkSession.createDataFrame([], "ID string, ds date, y double, " + ", ".join(f"{n} double" for n in names) + ", campagne_calc string")
+    for camp, total in linear.expanding(sums, plan):
+        if not total:
+            continue  # nothing earlier was observed
         start = int(camp.split("-")[0])
         train = complete_panel(df.filter(campaign_start_year("campagne_calc") < start), entities, entity)
         val = complete_panel(df.filter((F.col("campagne_calc") == camp) & F.col("split").isin("train", "validation")), entities, entity)
-        preds = rolling_forecast(model().fit(train), train, val, horizons)
-        parts.append(preds.withColumn("campagne_calc", F.lit(camp)))
-    pooled = parts[0]
-    for p in parts[1:]:
-        pooled = pooled.unionByName(p)
+        preds = rolling_forecast(model().solve(total[0]), train, val, horizons)
+        pooled = pooled.unionByName(preds.withColumn("campagne_calc", F.lit(camp)))
     stacked = pooled.select("campagne_calc", F.col("y").cast("int").alias("label"), F.explode(F.array(*[
         F.struct(F.lit(h).alias("horizon"), F.col(f"pred_{k}").alias("score")) for h, k in horizons.items()])).alias("s"))
     stacked = (stacked.select(F.explode(F.array("campagne_calc", F.lit("GLOBAL"))).alias("campagne_calc"), "label", "s.*")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
-from ..constants import BASELINE_MODEL, THRESHOLDS
+from ..constants import BASELINE_MODEL, PHASES, THRESHOLDS
 from ..functions import calendar as cal
 from ..functions.scoring import draw
 from ..operators import clean, metrics, models, order, outputs, panel, selection, training
@@ -17,8 +17,9 @@ from ..session import scratch_dir
 from ..sources import readers, sinks
 from .bindings import MODELS, Views, u
 from .catalog_data import PHASE_AT, PROBS_SQL, REPORT_SQL, detail, probabilities, r6
-from .catalog_features import FIT_SQL, FOLDS_SQL, GAIN_SQL, RANK_SQL, fitted_panel
+from .catalog_features import COVERAGE_SQL, FIT_SQL, FOLDS_SQL, GAIN_SQL, RANK_SQL, fitted_panel
 from .catalog_space import PANEL_SQL
+from .linear_sql import RIDGE, fits_sql, panel_columns
 from .registry import query
 
 
@@ -50,6 +51,19 @@ def observed(v: Views):
     return stored(v, models.assemble(filled, FEATURES).select("row_id", "cell_id", "campagne_calc", "features", "y"), "observed")
 
 
+def observed_by_fold(v: Views):
+    """Observed rows as they are, and what fills those of a fold: the medians of the seasons before its test season, so that no later
+    season reaches a fold. All folds' medians come out of one table of counted values."""
+    t = clean.observed(training_stage(v))
+    starts = [int(test.split("-")[0]) for _, test in training.fold_list(training.walk_forward_folds(t))]
+    found = order.stored(order.expanding_medians(order.counts_by_season(t, FEATURES, cal.campaign_start_year("campagne_calc")), starts))
+
+    def prepare(rows, test_camp: str):
+        return models.assemble(order.with_fold_fill(rows, FEATURES, found, int(test_camp.split("-")[0])), FEATURES).select("row_id", "cell_id", "campagne_calc", "features", "y")
+
+    return t.withColumn("y", F.col("severite").cast("int")), prepare
+
+
 def last_fold(df):
     """Train on all campaigns but the last, test on the last."""
     last = outputs.latest_campaign(df).first()["derniere"]
@@ -97,6 +111,53 @@ def _(v: Views):
     return out.select("row_id", "y_true", "y_pred", r6("score").alias("score"))
 
 
+FOLD_YEARS = """(SELECT DISTINCT CAST(substr(campagne_calc, 1, 4) AS INTEGER) AS s FROM {t} WHERE campagne_calc <> '2023-2024'
+  AND CAST(substr(campagne_calc, 1, 4) AS INTEGER) > (SELECT min(CAST(substr(campagne_calc, 1, 4) AS INTEGER)) FROM {t}))"""
+_YEAR = "CAST(substr(campagne_calc, 1, 4) AS INTEGER)"
+_LEVEL = "CAST(greatest(0, least(3, round_even({raw}, 0))) AS INTEGER)"
+
+
+@query("L3_ridge_folds", f"""
+WITH d AS (SELECT id, campagne_calc, {_YEAR} AS s, y_true AS y, [score, {u('id', 77)}] AS x FROM preds_v),
+f AS (SELECT a.s AS g, d.* FROM {FOLD_YEARS.format(t='preds_v')} a JOIN d ON d.s < a.s),
+c AS (SELECT g, y, count(*) AS n FROM f GROUP BY 1, 2), k AS (SELECT g, count(*) AS k, sum(n) AS n FROM c GROUP BY 1),
+fits AS {fits_sql("SELECT f.g, k.n / CAST(k.k * c.n AS DOUBLE) AS w, x, f.y FROM f JOIN c ON c.g = f.g AND c.y = f.y JOIN k ON k.g = f.g", 2, RIDGE)},
+p AS (SELECT id AS row_id, campagne_calc, d.y AS y_true, a + list_dot_product(b, x) AS raw FROM d JOIN fits ON fits.g = d.s)
+SELECT row_id, campagne_calc, y_true, {_LEVEL.format(raw='raw')} AS y_pred, round(1 / (1 + exp(-(raw - 0.5e0))), 6) AS score FROM p""")
+def _(v: Views):
+    """Every walk-forward fold of the ridge from one scan for the sums of products and one for the predictions."""
+    df = v.preds.select(F.col("id").alias("row_id"), "campagne_calc", "y_true", "score", draw("id", 77).alias("b")).withColumnRenamed("score", "a")
+    return scored(models.walk_forward_ridge(models.assemble(df, ["a", "b"], "y_true"))[0])
+
+
+MEDIANS_OF = ["ndvi_mean", "lst_mean", "chirps_sum_mean", "chirps_sum_mean_lag1d", "severite_lag2"]
+
+
+@query("F16_expanding_medians", f"""
+WITH o AS (SELECT *, {_YEAR} AS s FROM training_v WHERE severite IS NOT NULL), f AS (SELECT a.s AS start, o.* EXCLUDE (s) FROM {FOLD_YEARS.format(t='(SELECT * FROM training_v WHERE severite IS NOT NULL)')} a JOIN o ON o.s < a.s)
+SELECT * FROM (""" + " UNION ALL ".join(f"SELECT start, '{c}' AS feature, round(median({c}), 6) AS median FROM f GROUP BY 1" for c in MEDIANS_OF) + ") q WHERE median IS NOT NULL")
+def _(v: Views):
+    """Medians of each fold's own training seasons."""
+    t = clean.observed(training_stage(v))
+    starts = [int(test.split("-")[0]) for _, test in training.fold_list(training.walk_forward_folds(t))]
+    counts = order.counts_by_season(t, MEDIANS_OF, cal.campaign_start_year("campagne_calc"))
+    return order.expanding_medians(counts, starts).withColumn("median", r6("median"))
+
+
+@query("J12_fold_fill", f"""
+WITH o AS (SELECT *, {_YEAR} AS s FROM training_v WHERE severite IS NOT NULL), l AS (SELECT max(s) AS s FROM {FOLD_YEARS.format(t='(SELECT * FROM training_v WHERE severite IS NOT NULL)')} a),
+m AS (SELECT """ + ", ".join(f"median({c}) AS m_{c}" for c in MEDIANS_OF) + " FROM o, l WHERE o.s < l.s) SELECT campagne_calc, " + ", ".join(
+    f"count(*) FILTER (WHERE {c} IS NULL) AS filled_{c}, round(avg(coalesce({c}, m_{c})), 6) AS {c}" for c in MEDIANS_OF) + " FROM o, m GROUP BY 1")
+def _(v: Views):
+    """Rows of the last fold filled with the medians of its training seasons."""
+    t = clean.observed(training_stage(v))
+    last = max(int(test.split("-")[0]) for _, test in training.fold_list(training.walk_forward_folds(t)))
+    found = order.expanding_medians(order.counts_by_season(t, MEDIANS_OF, cal.campaign_start_year("campagne_calc")), [last])
+    raw = t.select("campagne_calc", *MEDIANS_OF, *[F.col(c).isNull().alias(f"n_{c}") for c in MEDIANS_OF])
+    filled = order.with_fold_fill(raw, MEDIANS_OF, found, last)
+    return filled.groupBy("campagne_calc").agg(*[e for c in MEDIANS_OF for e in (F.count_if(f"n_{c}").alias(f"filled_{c}"), F.round(F.avg(c), 6).alias(c))])
+
+
 @query("L4_all_threshold")
 def _(v: Views):
     train, test = last_fold(observed(v))
@@ -191,10 +252,18 @@ def _(v: Views):
 @query("L14_phase_model")
 def _(v: Views):
     df = clean.phase_rows(region_stage(v))
-    out = models.PhaseModel(rounds=20, depth=5).fit(df.filter("split = 'train'")).predict(df.filter("split = 'validation'"))
+    out = models.PhaseModel(rounds=300, depth=5).fit(df.filter("split = 'train'")).predict(df.filter("split = 'validation'"))
     return out.select("row_id", "niveau_gregarite_dominant", *[r6(F.get("phase_p", F.lit(i))).alias(f"p_{p}") for i, p in enumerate(("S", "St", "T", "G"))])
 
 
+@query("L14_phase_rounds")
+def _(v: Views):
+    """Rounds that each phase keeps out of the 300 allowed, when its held-out loss decides."""
+    model = models.PhaseModel(rounds=300, depth=5).fit(clean.phase_rows(region_stage(v)).filter("split = 'train'"))
+    kept = [(PHASES[c], n, 300) for c, n in model.inner.rounds_kept.items()]
+    return v.spark.createDataFrame(kept, "phase string, rounds int, allowed int")
+
+
 @query("L15_hierarchical")
 def _(v: Views):
     df = region_stage(v)
@@ -262,6 +331,13 @@ def _(v: Views):
     return out
 
 
+@query("L18_all_models")
+def _(v: Views):
+    """All fourteen models on every fold, small sizes, each fold filled with the medians of its own training seasons."""
+    rows, prepare = observed_by_fold(v)
+    return models.benchmark(rows, models.registry(trees=4, boosting_rounds=1, max_iter=5), prepare=prepare)[0]
+
+
 @query("L18_chosen_report")
 def _(v: Views):
     """Benchmark, choice, and the walk-forward report of the chosen model with its calibration gap, per season."""
@@ -294,7 +370,18 @@ def _(v: Views):
     return models.fold_sizes(t, training.split_folds(t))
 
 
-@query("L20_predict_target")
+L20_SQL = f"""
+WITH o AS (SELECT * FROM training_v WHERE severite IS NOT NULL), med AS (SELECT {', '.join(f'median({c}) AS m_{c}' for c in FEATURES)} FROM o),
+x AS (SELECT t.*, [{', '.join(f'CAST(coalesce({c}, m_{c}) AS DOUBLE)' for c in FEATURES)}] AS x FROM training_v t, med),
+c AS (SELECT severite, count(*) AS n FROM o GROUP BY 1), k AS (SELECT count(*) AS k, sum(n) AS n FROM c),
+target AS (SELECT coalesce(max(CASE WHEN couverture >= 0.4 THEN campagne_calc END), max(campagne_calc)) AS target FROM {COVERAGE_SQL} q),
+fits AS {fits_sql("SELECT 0 AS g, k.n / CAST(k.k * c.n AS DOUBLE) AS w, x, x.severite AS y FROM x JOIN c ON c.severite = x.severite, k", len(FEATURES), RIDGE)},
+p AS (SELECT cell_id, AIRE_CODE, campagne_calc, campagne_decade, a + list_dot_product(b, x) AS raw FROM x, fits, target WHERE a_predire AND campagne_calc = target)
+SELECT cell_id, CAST(AIRE_CODE AS DOUBLE) AS AIRE_CODE, campagne_calc, CAST(campagne_decade AS DOUBLE) AS campagne_decade, {_LEVEL.format(raw='raw')} AS severite, round(1 / (1 + exp(-(raw - 0.5e0))), 6) AS proba_presence,
+  CAST({_LEVEL.format(raw='raw')} >= 1 AS INTEGER) AS presence FROM p"""
+
+
+@query("L20_predict_target", L20_SQL)
 def _(v: Views):
     t = training_stage(v)
     medians = order.column_medians(clean.observed(t), FEATURES)
@@ -521,20 +608,39 @@ def panel_split(v: Views):
     return panel.complete_panel(r.filter(y < 1999), ids), panel.complete_panel(r.filter(y >= 1999), ids)
 
 
-@query("P2_panel_model")
+_DAY = "datediff('day', DATE '1994-10-01', ds)"
+_PENALTY = "CASE WHEN var > 0 THEN 1e-3 / sqrt(var_y) * var ELSE 1e0 END"
+_CUT = "DATE '2001-10-01' - 600"
+PANEL_FIT = f"""grid AS MATERIALIZED (SELECT *, {panel_columns(_DAY)} AS x FROM ({PANEL_SQL}) p),
+fits AS {fits_sql(f"SELECT 0 AS g, 1e0 AS w, x, y FROM grid WHERE y IS NOT NULL AND ds < {_CUT}", 11, _PENALTY)},
+hat AS (SELECT ID, ds, y, a + list_dot_product(b, x) AS yhat1 FROM grid, fits)"""
+
+
+@query("P2_panel_model", f"WITH {PANEL_FIT} SELECT ID, ds, y, round(yhat1, 6) AS yhat1 FROM hat WHERE ds >= {_CUT}")
 def _(v: Views):
     train, val = panel_split(v)
     return panel.PanelModel(origin="1994-10-01").fit(train).predict(val).select("ID", "ds", "y", r6("yhat1").alias("yhat1"))
 
 
-@query("P3_rolling_forecast")
+@query("P3_rolling_forecast", f"""WITH {PANEL_FIT}, l AS (SELECT ID, ds, y, round(lag(yhat1, 1) OVER (PARTITION BY ID ORDER BY ds), 6) AS p FROM hat)
+SELECT ID, ds, y, p AS pred_1, p AS pred_3, p AS pred_10 FROM l WHERE ds >= {_CUT}""")
 def _(v: Views):
     train, val = panel_split(v)
     p = panel.rolling_forecast(panel.PanelModel(origin="1994-10-01").fit(train), train, val)
     return p.select("ID", "ds", "y", *[r6(c).alias(c) for c in ("pred_1", "pred_3", "pred_10")])
 
 
-@query("P4_panel_walk_forward")
+P4_SQL = f"""
+WITH grid AS MATERIALIZED (SELECT *, {panel_columns(_DAY)} AS x, CAST(floor((ds - DATE '2001-10-01') / 300e0) AS INTEGER) + 2001 AS s FROM ({PANEL_SQL}) p),
+f AS (SELECT DISTINCT campagne_calc, {_YEAR} AS g FROM regions_v WHERE split = 'validation'),
+fits AS {fits_sql("SELECT f.g, 1e0 AS w, x, y FROM grid JOIN f ON grid.s < f.g WHERE y IS NOT NULL", 11, _PENALTY)},
+hat AS (SELECT f.campagne_calc, ID, ds, y, s = fits.g AS own, lag(a + list_dot_product(b, x), 1) OVER (PARTITION BY fits.g, ID ORDER BY ds) AS score FROM grid JOIN fits ON s <= fits.g JOIN f ON f.g = fits.g),
+pooled AS MATERIALIZED (SELECT unnest([c || '|decadaire', c || '|mensuel', c || '|saisonnier']) AS g, label, score FROM (
+  SELECT unnest([campagne_calc, 'GLOBAL']) AS c, CAST(y AS INTEGER) AS label, score FROM hat WHERE own AND y IS NOT NULL AND score IS NOT NULL) q)
+SELECT split_part(g, '|', 1) AS campagne_calc, split_part(g, '|', 2) AS horizon, * EXCLUDE (g) FROM ({binary_sql('g', 'pooled')}) r"""
+
+
+@query("P4_panel_walk_forward", P4_SQL)
 def _(v: Views):
     r = stored(v, v.regions, "regions")
     folds = [test for _, test in region_folds(r)]

@@ -133,7 +133,7 @@ def test_benchmark_survives_a_failing_model(table):
              "late": models.ModelSpec("multiclass", 9, Late)}
     detail, preds = models.benchmark(table, specs)
     got = {(r["modele"], r["campagne_calc"]): (r["recall_23"], r["erreur"]) for r in detail.collect()}
-    assert len(got) == 6 and got[("broken", "2003-2004")] == (None, "RuntimeError") and got[("regression_ordinale", "2003-2004")][0] is not None
+    assert len(got) == 6 and got[("broken", "2003-2004")] == (None, "RuntimeError: no") and got[("regression_ordinale", "2003-2004")][0] is not None
     assert got[("late", "2002-2003")][0] is None and got[("late", "2002-2003")][1]
     assert preds.count() == 80
     one = table.filter("campagne_calc = '2001-2002'")  # no fold
@@ -141,6 +141,89 @@ def test_benchmark_survives_a_failing_model(table):
     assert detail.count() == preds.count() == 0
 
 
+def test_a_killed_benchmark_goes_on_where_it_stopped(table, tmp_path):
+    calls = []
+
+    def counted(stop_after):
+        class Model(models.Ridge):
+            def fit(self, train):
+                if len(calls) == stop_after:
+                    raise KeyboardInterrupt  # not an error of the model: the run ends
+                calls.append(1)
+                return super().fit(train)
+        return {"a": models.ModelSpec("regression", 1, Model), "b": models.registry()["regression_ordinale"]}
+
+    folder = str(tmp_path / "run")
+    with pytest.raises(KeyboardInterrupt):
+        models.benchmark(table, counted(1), folder=folder, at_once=1)
+    detail, preds = models.benchmark(table, counted(99), folder=folder)
+    assert detail.count() == 4 and preds.count() == 160 and len(calls) == 2  # the finished fold of the first run was not fitted again
+    models.benchmark(table, counted(99), folder=folder)
+    assert len(calls) == 2
+    both = {r["modele"]: r["q"] for r in detail.groupBy("modele").agg(F.sum("qwk").alias("q")).collect()}
+    assert both["a"] == both["b"]
+
+
+def test_faults_of_the_code_pass(table):
+    class Wrong:
+        def fit(self, train):
+            return undefined_name  # noqa: F821
+
+    with pytest.raises(NameError):
+        models.benchmark(table, {"wrong": models.ModelSpec("regression", 1, Wrong)})
+
+
+def test_all_ridge_folds_equal_single_fits(table):
+    preds, fits = models.walk_forward_ridge(table)
+    for train, test in training.fold_list(training.walk_forward_folds(table)):
+        one = models.Ridge().fit(table.filter(F.col("campagne_calc").isin(train)))
+        assert fits[test].intercept == pytest.approx(one.model.intercept, abs=1e-9)
+        assert np.allclose(fits[test].coefficients.toArray(), one.model.coefficients.toArray(), atol=1e-9)
+        a = {r["row_id"]: (r["y_pred"], r["score"]) for r in preds.filter(F.col("campagne_calc") == test).collect()}
+        b = {r["row_id"]: (r["y_pred"], r["score"]) for r in one.predict(table.filter(F.col("campagne_calc") == test)).collect()}
+        assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], abs=1e-9) for k in a)
+
+
+def test_one_scan_gives_the_sums_of_all_seasons(table):
+    from cellseason.operators import linear
+
+    plan = linear.moments(table, vector_to_array("features"), 3, F.col("y"), ["campagne_calc", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("HashAggregate") + plan.count("ObjectHashAggregate") >= 2
+
+
+def test_panel_fit_equals_the_library(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rnd = random.Random(5)
+    data = [(str(e), f"20{y:02d}-{m:02d}-11", rnd.random() + y * 0.1) for e in range(3) for y in range(1, 9) for m in (1, 3, 10, 12)]
+    df = spark.createDataFrame(data, "ID string, d string, y double").select("ID", F.col("d").cast("date").alias("ds"), "y")
+    m = panel.PanelModel(origin="2001-01-01")
+    cols = panel.seasonal_columns(F.col("ds"), m.origin, m.knots, m.order)
+    rowsx = VectorAssembler(inputCols=list(cols), outputCol="x").transform(df.withColumns(cols))
+    lib = LinearRegression(featuresCol="x", labelCol="y", regParam=m.reg, solver="normal").fit(rowsx)
+    assert np.allclose(m.fit(df).fitted.coefficients.toArray(), lib.coefficients.toArray(), atol=1e-8)
+    assert m.fitted.intercept == pytest.approx(lib.intercept, abs=1e-8)
+
+
+def test_noise_stops_each_class_early_on_a_stratified_holdout(spark):
+    rnd = random.Random(3)
+    data = []
+    for i in range(400):
+        x, noise = rnd.random(), rnd.random()
+        data.append((i, x, noise, 0 if x < 0.5 else rnd.choice([1, 2, 2, 2])))  # class 0 is plain, 1 and 2 are noise
+    df = models.assemble(spark.createDataFrame(data, "row_id bigint, x double, z double, y int"), ["x", "z"], None)
+    m = models.StoppedOneVsRest(rounds=60, depth=3).fit(df)
+    assert set(m.rounds_kept) == {0, 1, 2} and m.rounds_kept[0] > 2 * max(m.rounds_kept[1], m.rounds_kept[2]) and max(m.rounds_kept[1], m.rounds_kept[2]) < 60
+    marked = training.stratified_holdout(df, "row_id", "y")
+    for r in marked.groupBy("y").agg(F.count("*").alias("n"), F.count_if("is_holdout").alias("h")).collect():
+        assert r["h"] == round(r["n"] * 0.2)
+    p = m._probabilities(df).select("__p", "__code").collect()
+    assert all(sum(r[0]) == pytest.approx(1) and r[0][int(r[1])] == max(r[0]) for r in p)
+    one = models.StoppedOneVsRest().fit(df.filter("y = 0"))
+    assert one.rounds_kept == {} and one.predict(df).filter("y_pred <> 0").isEmpty()
+
+
 @pytest.fixture(scope="module")
 def regions(spark):
     rnd = random.Random(7)
@@ -178,3 +261,5 @@ def test_panel_is_complete_and_forecasts_shift(spark):
     rep, pooled = panel.walk_forward_panel(df, ["2018-2019"], model=lambda: panel.PanelModel(origin="2016-10-01"))
     assert {(r["campagne_calc"], r["horizon"]) for r in rep.collect()} == {(c, h) for c in ("2018-2019", "GLOBAL") for h in ("decadaire", "mensuel", "saisonnier")}
     assert pooled.count() == 60
+    rep, pooled = panel.walk_forward_panel(df, [])
+    assert rep.count() == pooled.count() == 0

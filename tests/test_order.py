@@ -38,3 +38,26 @@ def test_column_medians_fill(spark):
     assert sorted(rows(out)) == [(1.0, 6.0), (3.0, 5.0), (3.0, 6.0), (10.0, 7.0)] or sorted(rows(out)) == [(1.0, 6.0), (3.0, 5.0), (3.0, 6.0), (10.0, 7.0)]
     assert dict(rows(order.column_medians(df, ["a", "b"]))) == {"a": 3.0, "b": 6.0}
     assert out.filter(F.col("a").isNull()).isEmpty()
+
+
+def test_expanding_medians_against_plain_ones(spark):
+    import random
+    import statistics
+
+    rnd = random.Random(2)
+    data = [(y, rnd.choice([None, float("nan"), 1.0, 2.0, 2.5, rnd.random()]), rnd.randint(0, 9) if y > 2003 else None) for y in range(2001, 2009) for _ in range(rnd.randint(0, 40))]
+    df = spark.createDataFrame(data, "y int, a double, b int")
+    parts = [order.counts_by_season(df.filter(c), ["a", "b"], F.col("y")) for c in ("y <= 2004", "y > 2004")]
+    starts = [2001, 2002, 2005, 2009]
+    for buckets in (None, 5):
+        got = {(r["start"], r["feature"]): r["median"] for r in order.expanding_medians(parts[0].unionByName(parts[1]), starts, buckets).collect()}
+        want = {}
+        for s in starts:
+            for i, c in ((1, "a"), (2, "b")):
+                own = [r[i] for r in data if r[0] < s and r[i] is not None and r[i] == r[i]]
+                if own:
+                    want[s, c] = statistics.median(own)
+        assert got == want
+    assert order.expanding_medians(parts[0], []).collect() == []
+    filled = order.with_fold_fill(df, ["a"], order.expanding_medians(parts[0], [2005]), 2005)
+    assert filled.filter("a is null").isEmpty()

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 WINDOW = 13
-#: An automaton takes windows of so many characters at most; a larger benchmark is scanned by several, one after the other.
-PATTERN_CHARS = 8_000_000
+#: An automaton takes windows of so many characters at most (a benchmark of about 0.6 MB); a larger benchmark is scanned by several, one after
+#: the other, each built once for ROWS documents.
+PATTERN_CHARS, ROWS = 8_000_000, 4096
 
 # Bytes of words stay (A-Z lower-cased), every other byte becomes a space. In UTF-8, non-ASCII characters only have high bytes.
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -59,24 +60,28 @@ def automaton(block: list[tuple[str, int, set[str]]]):
     return a
 
 
-def scan(w: list[bytes], automata) -> tuple[list[tuple[int, int]], set[str]]:
-    """Hit words as disjoint ranges [first, after), and the items with an occurring window."""
+def scan(w: list[bytes], a) -> tuple[list[tuple[int, int]], set[str]]:
+    """Ranges [first, after) of words that an automaton hits, and the items with an occurring window."""
     text = f" {b' '.join(w).decode('latin-1')} "
     ranges, ids, starts = [], set(), None
-    for a in automata:
-        for end, (size, n, own) in a.iter(text):
-            if starts is None:  # of each word in the normalised text
-                starts = list(accumulate((len(x) + 1 for x in w), initial=1))
-            first = bisect_left(starts, end - size + 2)
-            ranges.append((first, first + n))
-            ids |= own
-    merged: list[tuple[int, int]] = []
+    for end, (size, n, own) in a.iter(text):
+        if starts is None:  # of each word in the normalised text
+            starts = list(accumulate((len(x) + 1 for x in w), initial=1))
+        first = bisect_left(starts, end - size + 2)
+        ranges.append((first, first + n))
+        ids |= own
+    return ranges, ids
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint ranges."""
+    out: list[tuple[int, int]] = []
     for first, after in sorted(ranges):
-        if merged and first <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(after, merged[-1][1]))
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(after, out[-1][1]))
         else:
-            merged.append((first, after))
-    return merged, ids
+            out.append((first, after))
+    return out
 
 
 def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
@@ -97,20 +102,29 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     occurrence are hit. ``contaminated``: n_hit > 0 and share * n_hit >= n_words. ``spans`` are the hit passages as code-point
     offsets of the original text. Null and empty texts have no words and are clean; items without words match nothing; a null
     item id counts as one id, written as an empty string. Repeated rows are judged one by one; other columns are ignored.
-    The items are a test set that fits the driver; documents are only mapped over, nothing is shuffled.
+    The items are a test set that fits the driver, as do their windows, about 13 times their size; documents are only mapped over, nothing
+    is shuffled. No documents give no rows, no items clean documents; very long texts are judged whole.
     """
     rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).collect()
     shared = docs.sparkSession.sparkContext.broadcast(blocks(item_windows([(r.i, r.t) for r in rows], window)))
 
     def make():
         parts = shared.value
-        kept = [automaton(parts[0])] if len(parts) == 1 else None
+        kept = automaton(parts[0]) if len(parts) == 1 else None
 
         def judge(batch):
             out = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")}
-            for text in batch.pop("judged_text"):
-                w = words(text)
-                ranges, ids = scan(w, kept or map(automaton, parts)) if w and parts else ([], set())
+            texts = batch.pop("judged_text")
+            found = [([], set()) for _ in texts]
+            for part in parts:
+                a = kept or automaton(part)
+                for text, (ranges, ids) in zip(texts, found):
+                    w = words(text)
+                    more = scan(w, a) if w else ((), ())
+                    ranges += more[0]
+                    ids.update(more[1])
+            for text, (ranges, ids) in zip(texts, found):
+                w, ranges = words(text), merged(ranges)
                 hit = sum(b - a for a, b in ranges)
                 out["n_words"].append(len(w))
                 out["n_hit"].append(hit)
@@ -126,4 +140,4 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return map_rows(docs.select(*[F.col(c) for c in columns], F.col(text_col).alias("judged_text")), make,
                     schema + ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-                    "spans array<struct<start:long,stop:long>>")
+                    "spans array<struct<start:long,stop:long>>", 256 if len(shared.value) < 2 else ROWS)

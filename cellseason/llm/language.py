@@ -35,8 +35,8 @@ def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("part"))
-    picked = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("place")).agg(F.min("h").alias("h")).drop("place")
-    sample = rows.join(picked, ["lang", "h"]).groupBy("lang", "h").agg(F.min("part").alias("part")).collect()
+    least = F.min(F.struct("h", "part")).alias("s")  # kept where the rows are: one row a language, place and task is exchanged
+    sample = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("place")).agg(least).select("lang", "s.*").collect()
     out: dict[str, bytes] = {}
     for r in sorted(sample, key=lambda r: (r.lang, -r.h)):
         out[r.lang] = out.get(r.lang, b"") + letters(r.part) + b" "

@@ -151,14 +151,16 @@ def least_members(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD,
-                trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """One row a document: ``id_col``, class_id, copy_id, n_copies, n_links.
+                trees: int = TREES, recall: float = RECALL, hashes: bool = False) -> DataFrame:
+    """One row a document: ``id_col``, class_id, copy_id, n_copies, n_links; with ``hashes`` also text_hash and class_hash, the hash of
+    its text and of the text that stands for its group, so that rows of one id and unlike texts are told apart.
 
     Two documents are linked if the Jaccard similarity of their sets of word n-grams is ``threshold`` or more. ``n_links``: with how
     many other documents (rows) it is linked; ``class_id``: the least id that it is connected with by links, its own if none;
     ``copy_id``, ``n_copies``: least id and number of the documents with its very set. Null and empty texts have no n-gram and no link.
     A null id is no least id unless there is no other. Repeated rows count as copies. Copies are counted, never paired; pairs of
     different texts are counted inside tasks. A pair at the threshold is missed with a chance of at most 1 - ``recall``.
+    No documents give no rows; other columns are ignored; whole texts count, however long.
     """
     depth = prefix_length(threshold, recall, trees)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -220,17 +222,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     linked = cut_lineage(work.mapInArrow(verify, "class binary, links long, root binary"))
     roots = least_members(linked.select(F.col("class").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "class")
-    counted = classes.select("class", "copies", "low").join(linked.groupBy("class").agg(F.sum("links").alias("links")), "class", "left").join(roots, "class", "left")
+    counted = classes.select("class", "copies", "low", "low_hash").join(linked.groupBy("class").agg(F.sum("links").alias("links")), "class", "left").join(roots, "class", "left")
     counted = counted.filter("copies > 1 or links is not null").withColumn("root", F.coalesce("root", "class"))
-    lows = counted.groupBy("root").agg(F.min("low").alias("class_id"))
-    table = counted.join(lows, "root").select("class", "class_id", F.col("low").alias("copy_id"), F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    lone = signed.select("id", F.coalesce("class", F.encode(F.concat(F.lit("no words "), F.coalesce(F.col("id").cast("string"), F.lit(""))), "utf-8")).alias("class"))
+    lows = counted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "low_hash")).alias("least"))
+    lows = lows.select("root", F.col("least.low").alias("class_id"), F.col("least.low_hash").alias("class_hash"))
+    table = counted.join(lows, "root").select("class", "class_id", "class_hash", F.col("low").alias("copy_id"), F.col("copies").alias("n_copies"),
+                                              (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    lone = signed.select("id", "hash", F.coalesce("class", F.encode(F.concat(F.lit("no words "), F.coalesce(F.col("id").cast("string"), F.lit(""))), "utf-8")).alias("class"))
+    more = [F.col("hash").alias("text_hash"), F.coalesce("class_hash", "hash").alias("class_hash")] if hashes else []
     return lone.join(table, "class", "left").select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"),
-        F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *more)
 
 
 def keep_one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the least of their group. Of repeated rows (same id and text, null ids too) one stays."""
-    gone = groups.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col, text_col])
+    """One document of each group of ``groups`` (``near_groups`` with hashes): the one that stands for it, known by its id and the hash of
+    its text, so rows of one id and unlike texts stay or go by themselves. Documents without words all stay. Of repeated rows (same
+    id and text, null ids too) one stays."""
+    stays = F.col(id_col).eqNullSafe(F.col("class_id")) & F.col("text_hash").eqNullSafe(F.col("class_hash"))
+    gone = groups.filter(~stays).select(F.col(id_col).alias("gone_id"), "text_hash").distinct()
+    meets = F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_col) == F.col("text_hash"))
+    return docs.join(gone, meets, "left_anti").dropDuplicates([id_col, text_col])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut_lineage, partitions, rank_in
+from .common import partitions, rank_in, stored
 
 #: Cells of the matrix at most: it is drawn on the driver, and its side does not depend on the rows.
 MATRIX_CELLS = 1 << 24
@@ -77,24 +77,27 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, keep: tuple[str, ...] =
 
     Shard sizes are at most one row apart, the first shards are the larger ones. Every row is dealt by itself: repeated and equal
     rows spread over all shards, nulls do not matter, no rows give no rows, fewer rows than shards leave shards empty. ``keep``
-    names what travels; it is written once to the shared checkpoint folder, so a repeated task deals as before.
-    Sources and blocks follow the number of shuffle partitions; the matrix of their counts is bounded by MATRIX_CELLS.
+    names what travels; other columns are ignored. A source is a partition of ``df`` (at most as many as there are shuffle partitions): it
+    permutes its rows where they are and is written once to the shared folder, so a repeated task deals as before. Rows, texts
+    included, are then exchanged once, by block. Blocks follow the number of shuffle partitions; the matrix of counts is bounded by MATRIX_CELLS.
     """
     n = partitions(df)
     blocks = shards * -(-n // shards)
     if n * blocks > MATRIX_CELLS:
         raise ValueError(f"{n} sources by {blocks} blocks exceed {MATRIX_CELLS} cells")
     own = F.monotonically_increasing_id()
-    rows = cut_lineage(df.select(F.struct(*keep).alias("row"), own.alias("at")).withColumn("source", F.pmod("at", F.lit(n)).cast("int")))
+    local = df.select(F.struct(*keep).alias("row")).coalesce(n).withColumn("at", own).withColumn("source", F.spark_partition_id())
+    local = local.sortWithinPartitions(F.xxhash64(F.lit(seed + 1), "at"), "at").withColumn("n", own.bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = stored(local, "sharding")
     counts = sorted((r.source, r["count"]) for r in rows.groupBy("source").count().collect())
     sizes = [split_evenly(size, blocks // shards) for size in split_evenly(sum(c for _, c in counts), shards)]
     matrix = communication_matrix([c for _, c in counts], [b for own_blocks in sizes for b in own_blocks], seed)
-    dealt = df.sparkSession.createDataFrame([(s, [int(x) for x in np.cumsum(line)]) for (s, _), line in zip(counts, matrix)], "source int, upto array<long>")
+    spark = df.sparkSession
+    dealt = spark.createDataFrame([(s, [int(x) for x in np.cumsum(line)]) for (s, _), line in zip(counts, matrix)], "source int, upto array<long>")
     first = [sum(own_blocks[:i]) for own_blocks in sizes for i in range(len(own_blocks))]
+    starts = spark.createDataFrame([(b, b // (blocks // shards), x) for b, x in enumerate(first)], "block int, shard int, first long")
 
-    turn = lambda by, salt: Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed + salt), "at"), "at")
-    return (rows.withColumn("n", F.row_number().over(turn("source", 1)).cast("long")).join(dealt, "source")
-            .select("row", "at", rank_in(F.col("upto"), blocks, F.col("n") - 1).alias("block"))
-            .withColumn("n", F.row_number().over(turn("block", 2)))
-            .select("row.*", F.floor(F.col("block") / F.lit(blocks // shards)).cast("int").alias("shard"),
-                    (F.get(F.array(*[F.lit(x).cast("long") for x in first]), F.col("block")) + F.col("n") - 1).alias("slot")))
+    turn = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 2), "at"), "at")
+    placed = rows.join(dealt, "source").select("row", "at", rank_in(F.col("upto"), blocks, F.col("n")).alias("block"))
+    return (placed.withColumn("n", F.row_number().over(turn)).join(starts, "block")
+            .select("row.*", "shard", (F.col("first") + F.col("n") - 1).alias("slot")))

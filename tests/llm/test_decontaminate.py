@@ -54,6 +54,19 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, docs, items)[1] == brute(docs, items)
 
 
+def test_each_automaton_is_built_once_for_many_documents(spark, monkeypatch):
+    import time
+
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(300)]
+    docs = [(i, items[i % 300][1] if i % 7 == 0 else "plain words " * 20) for i in range(600)]
+    monkeypatch.setattr(decontaminate, "PATTERN_CHARS", 300_000)
+    assert len(decontaminate.blocks(decontaminate.item_windows(items), 300_000)) > 3
+    start = time.time()
+    got = {r.doc_id for r in find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect() if r.contaminated}
+    assert got == {i for i in range(600) if i % 7 == 0} and time.time() - start < 60
+
+
 def test_spans_are_of_the_original_text(spark):
     item = " ".join(f"w{i}" for i in range(13))
     doc = "Ünï -- códe: " + item.upper().replace(" ", " - ") + "! tail é"

@@ -87,7 +87,7 @@ def test_odd_rows(spark):
 
 def test_one_of_each_group_stays(spark):
     docs = odd_documents(spark)
-    kept = keep_one_of_each(docs, near_groups(docs))
+    kept = keep_one_of_each(docs, near_groups(docs, hashes=True))
     assert kept.columns == docs.columns or set(kept.columns) == set(docs.columns)
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 2, 3, 4, None, None, 5, 6, 7], key=repr)
 
@@ -122,3 +122,10 @@ def test_all_ids_null(spark):
     rows = [(None, f"one two three four five six {i % 5}") for i in range(60)] + [(None, "a b c d e f g")] * 40
     got = near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(r.n_copies for r in got) == {12: 60, 40: 40} and Counter(r.n_links for r in got) == {11: 60, 39: 40}
+
+
+def test_rows_of_one_id_and_unlike_texts_stay_by_themselves(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = clashing(spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (None, b + " more"), (None, c), (7, None), (7, ""), (8, None)], "doc_id long, text string"))
+    got = ngram_join.keep_one_of_each(docs, ngram_join.near_groups(docs, hashes=True)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, a), (5, b), (None, c), (7, None), (7, ""), (8, None)], key=repr)

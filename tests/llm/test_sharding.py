@@ -51,3 +51,11 @@ def test_odd_rows(spark):
     got = shuffle_into_shards(odd_documents(spark), 3, ("doc_id", "text")).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in odd_documents(spark).collect())
     assert shuffle_into_shards(no_documents(spark)).collect() == []
+
+
+def test_documents_arrive_whole(spark):
+    from cellseason.llm.queries import op2_sharding
+
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "octet_length(text) + 1 as size", "crc32(text) as crc").collect()}
+    got = op2_sharding(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(docs) and all((r["size"], r.text_crc32) == (docs[r.doc_id]["size"], docs[r.doc_id].crc) for r in got)

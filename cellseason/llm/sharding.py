@@ -98,6 +98,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, keep: tuple[str, ...] =
     starts = spark.createDataFrame([(b, b // (blocks // shards), x) for b, x in enumerate(first)], "block int, shard int, first long")
 
     turn = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 2), "at"), "at")
-    placed = rows.join(dealt, "source").select("row", "at", rank_in(F.col("upto"), blocks, F.col("n")).alias("block"))
-    return (placed.withColumn("n", F.row_number().over(turn)).join(starts, "block")
+    # both tables are bounded by MATRIX_CELLS and go to all tasks, so rows are exchanged by block only
+    placed = rows.join(F.broadcast(dealt), "source").select("row", "at", rank_in(F.col("upto"), blocks, F.col("n")).alias("block"))
+    return (placed.withColumn("n", F.row_number().over(turn)).join(F.broadcast(starts), "block")
             .select("row.*", "shard", (F.col("first") + F.col("n") - 1).alias("slot")))

@@ -57,6 +57,24 @@ def climatology(decade_sums: DataFrame, value: str = "chirps_sum_mean", years=CL
             .groupBy("cell_id", "month", "decade_part").agg(F.avg(value).alias(name)))
 
 
+def climatology_state(decade_sums: DataFrame, value: str = "chirps_sum_mean") -> DataFrame:
+    """Sum and count of the decade sums per cell and decade of the year; states of different years are merged by adding."""
+    f = cal.decade_fields("decade_ord")
+    return (decade_sums.select("cell_id", f["month"].alias("month"), f["decade_part"].alias("decade_part"), value).groupBy("cell_id", "month", "decade_part")
+            .agg(F.sum(value).alias("total"), F.count(value).alias("n")))
+
+
+def merge_climatology(*states: DataFrame) -> DataFrame:
+    both = states[0]
+    for s in states[1:]:
+        both = both.unionByName(s)
+    return both.groupBy("cell_id", "month", "decade_part").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def climatology_of(state: DataFrame, name: str = "chirps_baseline_mean") -> DataFrame:
+    return state.select("cell_id", "month", "decade_part", F.try_divide("total", "n").alias(name))
+
+
 def with_anomaly(df: DataFrame, baseline: DataFrame) -> DataFrame:
     """Adds value minus climatology; NULL when either is missing."""
     keys = ["cell_id", "month", "decade_part"]

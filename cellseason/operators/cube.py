@@ -54,10 +54,11 @@ def with_calendar(df: DataFrame) -> DataFrame:
 
 
 def keep_latest(rows: DataFrame, keys=("cell_id", "date_start"), version: str = "batch_no") -> DataFrame:
-    """Newest version of each key. An aggregate, not a window: versions are reduced before the shuffle."""
+    """Newest version of each key; of equal versions the greatest row (columns compared from left to right, NULL least), whatever the
+    order of arrival. An aggregate, not a window: versions are reduced before the shuffle."""
     keys = list(keys)
     rest = [c for c in rows.columns if c not in keys and c != version]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r"))
+    best = rows.groupBy(*keys).agg(F.max(F.struct(version, *rest)).alias("r"))
     return best.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
@@ -69,8 +70,14 @@ def keep_first(rows: DataFrame, keys, order: str) -> DataFrame:
     return best.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys=("cell_id", "date_start")) -> DataFrame:
-    """Existing rows overlaid by incoming ones with the same key."""
+def upsert(existing: DataFrame, incoming: DataFrame, keys=("cell_id", "date_start"), version: str | None = None) -> DataFrame:
+    """Existing rows overlaid by incoming ones with the same key.
+
+    ``version`` names a column that says how new a row is (NULL is oldest): a key keeps its newest row, so a batch that comes late does
+    not undo a newer one. Of equal versions the incoming row wins, and of several incoming ones the greatest."""
     both = (existing.withColumn("batch_no", F.lit(0))
             .unionByName(incoming.withColumn("batch_no", F.lit(1)), allowMissingColumns=True))
-    return keep_latest(both, keys)
+    if version is None:
+        return keep_latest(both, keys)
+    newest = keep_latest(both.withColumn("batch_no", F.struct(F.col(version).alias("v"), "batch_no")), keys)
+    return newest.select(*[c for c in both.columns if c != "batch_no"])

@@ -10,6 +10,7 @@ from ..operators import clean, composites, cube, features, labels, metrics, orde
 from ..operators import text as kit
 from ..session import scratch_dir
 from ..sources import readers, sinks
+from ..streaming import upsert
 from .bindings import MODELS, Views, u
 from .catalog_data import CLIMATOLOGY_SQL, baseline, detail, r6
 from .catalog_space import ANOMALY_SQL, MAP_SQL, maps
@@ -381,6 +382,19 @@ def _(v: Views):
     return out.select("cell_id", "campagne_calc", "date_start", "chirps_sum_mean")
 
 
+@query("S1_late_batches", UPSERT_SQL)
+def _(v: Views):
+    """The correction comes first, the old rows late and twice: versions decide, not the order of arrival."""
+    old, new = batches(v)
+    old, new = old.withColumn("version", F.lit(1)), new.withColumn("version", F.lit(2))
+    path, staging = scratch_dir(v.spark, "cube"), scratch_dir(v.spark, "staging")
+    merge = upsert.cube_upserter(path, staging, version="version")
+    for number, batch in enumerate((new, old.withColumn("chirps_sum_mean", F.col("chirps_sum_mean") - 1).unionByName(old), old)):
+        merge(batch, number)
+    merge(new.withColumn("chirps_sum_mean", F.lit(-1.0)).withColumn("version", F.lit(9)), 0)  # a replay of batch 0 is left out
+    return readers.read_stage(v.spark, path).select("cell_id", "campagne_calc", "date_start", "chirps_sum_mean")
+
+
 @query("S2_month_update", "SELECT cell_id, decade_ord, chirps_sum_mean, pop_consecutive, chirps_sum_mean_lag2d FROM features_v WHERE decade_ord BETWEEN 1998 * 36 + 12 AND 1998 * 36 + 14")
 def _(v: Views):
     """Features of one month from the slice that holds its campaign so far (lags need only two decades)."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import BASELINE_MODEL
+from ..constants import BASELINE_MODEL, CLIMATOLOGY_YEARS
+from ..functions.calendar import decade_fields
 from ..operators.clean import duplicate_keys, range_violations, require_empty
+from ..operators.composites import climatology_of, climatology_state, merge_climatology
 from ..operators.cube import upsert
 from .readers import path_exists
 
@@ -30,17 +32,18 @@ def replace_partitions(df: DataFrame, path: str, partition: str = "campagne_calc
 
 
 def upsert_cube(spark: SparkSession, incoming: DataFrame, path: str, staging: str,
-                keys=("cell_id", "date_start"), partition: str = "campagne_calc", per_date: int | None = None) -> None:
+                keys=("cell_id", "date_start"), partition: str = "campagne_calc", per_date: int | None = None, version: str | None = None) -> None:
     """Merges new decades into a partitioned cube, rewriting only the campaigns they touch.
 
     The merge is written to ``staging`` first: a partition is never read and overwritten in one job, and
     either half can be rerun after a lost executor or driver. The first batch makes the cube. What was merged is
     checked before it replaces anything: keys once, covariates in their ranges, and with ``per_date`` (number of cells) as
-    many rows for each date of the batch; a failed check raises and leaves the cube as it was."""
-    merged = incoming
+    many rows for each date of the batch; a failed check raises and leaves the cube as it was. ``version`` is that of ``upsert``: with it,
+    rows of one key inside a batch and batches that come late are decided by the column."""
+    merged = upsert(incoming.limit(0), incoming, keys, version) if version else incoming
     if path_exists(spark, path):
         touched = incoming.select(partition).distinct()
-        merged = upsert(spark.read.parquet(path).join(touched, partition, "left_semi"), incoming, keys)
+        merged = upsert(spark.read.parquet(path).join(touched, partition, "left_semi"), incoming, keys, version)
     merged.write.mode("overwrite").parquet(staging)
     merged = spark.read.parquet(staging)
     require_empty(duplicate_keys(merged, keys), "duplicate keys after the merge")
@@ -51,6 +54,31 @@ def upsert_cube(spark: SparkSession, incoming: DataFrame, path: str, staging: st
     replace_partitions(merged, path, partition)
 
 
+def update_climatology(spark: SparkSession, decade_sums: DataFrame, path: str, value: str = "chirps_sum_mean", years=CLIMATOLOGY_YEARS) -> DataFrame:
+    """Adds the years of ``decade_sums`` to the stored climatology and returns it.
+
+    The state holds sum and count of each cell and decade of the year, so a new year is counted alone and merged; no earlier year is read
+    again. A ledger beside it names the state in force and the years in it: a year that is already in does not count twice, and a
+    merge that broke off is not in the ledger, so it is made anew."""
+    ledger, kinds = f"{path}/ledger", "number int, years array<int>"
+    spark.createDataFrame([], kinds).write.mode("append").parquet(ledger)
+    last = spark.read.schema(kinds).parquet(ledger).agg(F.max(F.struct("number", "years")).alias("r")).first()["r"]
+    number, known = (last["number"], list(last["years"])) if last else (0, [])
+    year = decade_fields("decade_ord")["year"]
+    fresh = decade_sums.filter(year.between(*years) & ~year.isin(known or [-1]))
+    new = sorted(r[0] for r in fresh.select(year.cast("int")).distinct().collect())
+    if new:
+        state = climatology_state(fresh, value)
+        if known:
+            state = merge_climatology(spark.read.parquet(f"{path}/state-{number}"), state)
+        state.write.mode("overwrite").parquet(f"{path}/state-{number + 1}")
+        spark.createDataFrame([(number + 1, sorted(known + new))], kinds).coalesce(1).write.mode("append").parquet(ledger)
+        number += 1
+    if not number:
+        return climatology_of(climatology_state(fresh, value))
+    return climatology_of(spark.read.parquet(f"{path}/state-{number}"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

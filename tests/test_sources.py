@@ -47,6 +47,44 @@ def test_first_streamed_batch_makes_the_cube(spark):
     assert rows(readers.read_stage(spark, path).select("cell_id", "v"), "cell_id") == [("a", 5.0), ("c", 2.0)]
 
 
+def test_versions_decide_ties_late_batches_and_replays(spark):
+    path, staging = folder() + "/cube", folder()
+    kind = "cell_id string, campagne_calc string, date_start int, ndvi_mean double, seen int"
+    merge = upsert.cube_upserter(path, staging, per_date=2, version="seen")
+    frame = lambda *data: spark.createDataFrame(data, kind)
+    merge(frame(("a", "2001-2002", 1, 0.5, 3), ("a", "2001-2002", 1, 0.4, 2), ("a", "2001-2002", 1, 0.6, 3), ("b", "2001-2002", 1, 0.1, None)), 0)
+    want = [("a", 0.6, 3), ("b", 0.1, None)]
+    read = lambda: rows(readers.read_stage(spark, path).select("cell_id", "ndvi_mean", "seen"), "cell_id")
+    assert read() == want
+    merge(frame(("a", "2001-2002", 1, 0.9, 1), ("b", "2001-2002", 1, 0.2, 1)), 1)  # late for a, new for b
+    assert read() == [("a", 0.6, 3), ("b", 0.2, 1)]
+    merge(frame(("a", "2001-2002", 1, 0.0, 99)), 1)  # a replay of a committed batch
+    assert read() == [("a", 0.6, 3), ("b", 0.2, 1)]
+    with pytest.raises(AssertionError, match="all cells"):
+        merge(frame(("a", "2001-2002", 2, 0.3, 5)), 2)
+    assert read() == [("a", 0.6, 3), ("b", 0.2, 1)]
+    merge(frame(("a", "2001-2002", 2, 0.3, 5), ("b", "2001-2002", 2, 0.3, 5)), 2)  # the batch that failed is done again
+    assert len(read()) == 4
+
+
+def test_adding_years_to_the_climatology_equals_a_recount(spark):
+    import random
+
+    from cellseason.operators import composites
+
+    rnd = random.Random(1)
+    data = [(f"c{c}", y * 36 + d, rnd.choice([None, rnd.random() * 50])) for c in range(4) for y in range(2001, 2006) for d in range(36) if rnd.random() < 0.7]
+    sums = spark.createDataFrame(data, "cell_id string, decade_ord int, chirps_sum_mean double")
+    path, span = folder() + "/clim", (2001, 2005)
+    year = lambda *ys: sums.filter((F.col("decade_ord") / 36).cast("int").isin(*ys))
+    assert sinks.update_climatology(spark, sums.limit(0), path, years=span).collect() == []
+    for part in (year(2001), year(2003, 2002), year(2002), year(2004, 2005, 2001)):
+        out = sinks.update_climatology(spark, part, path, years=span)
+    got = {r[:3]: r[3] for r in rows(out)}
+    want = {r[:3]: r[3] for r in rows(composites.climatology(sums, years=span).select("cell_id", "month", "decade_part", "chirps_baseline_mean"))}
+    assert got.keys() == want.keys() and all(got[k] == want[k] if want[k] is None else got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_a_merge_that_fails_its_checks_leaves_the_cube(spark):
     path, staging = folder() + "/cube", folder()
     kind = "cell_id string, campagne_calc string, date_start int, ndvi_mean double"

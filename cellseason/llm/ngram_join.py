@@ -240,6 +240,8 @@ def keep_one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id",
     its text, so rows of one id and unlike texts stay or go by themselves. Documents without words all stay. Of repeated rows (same
     id and text, null ids too) one stays."""
     stays = F.col(id_col).eqNullSafe(F.col("class_id")) & F.col("text_hash").eqNullSafe(F.col("class_hash"))
-    gone = groups.filter(~stays).select(F.col(id_col).alias("gone_id"), "text_hash").distinct()
-    meets = F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_col) == F.col("text_hash"))
-    return docs.join(gone, meets, "left_anti").dropDuplicates([id_col, text_col])
+    gone = groups.filter(~stays).select(F.col(id_col).alias("gone_id"), F.xxhash64(id_col, "text_hash").alias("gone_key")).distinct()
+    # one key, so that texts are exchanged once for both steps; ids are compared beside it
+    keyed = docs.withColumn("row_key", F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
+    same = F.coalesce(F.col(id_col) == F.col("gone_id"), F.col(id_col).isNull() & F.col("gone_id").isNull())
+    return keyed.join(gone, (F.col("row_key") == F.col("gone_key")) & same, "left_anti").dropDuplicates(["row_key", id_col, text_col]).drop("row_key")

@@ -85,8 +85,12 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def keyword_index(docs: DataFrame, key: str = "doc_id", text: str = "text", keywords=KEYWORDS) -> DataFrame:
     """Hits per (keyword, document) plus the total per keyword (``key`` NULL), in one grouped pass."""
     counts = F.array(*[F.struct(F.lit(k).alias("keyword"), tx.occurrences(text, k).alias("n")) for k in keywords])
-    long = docs.select(key, F.inline(counts)).filter("n > 0")
-    return (long.groupingSets([[F.col("keyword"), F.col(key)], [F.col("keyword")]], F.col("keyword"), F.col(key))
+    return keyword_totals(docs.select(key, F.inline(counts)).filter("n > 0"), key)
+
+
+def keyword_totals(counts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(keyword, key, n)`` to hits per (keyword, document) and per keyword (``key`` NULL)."""
+    return (counts.groupingSets([[F.col("keyword"), F.col(key)], [F.col("keyword")]], F.col("keyword"), F.col(key))
             .agg(F.sum("n").alias("total"), F.count("*").alias("n_documents")))
 
 

@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import outputs
 from ..operators import text as kit
 from ..session import scratch_dir
-from ..sources import sinks
+from ..sources import postings, sinks
 from .bindings import Views, spread
 from .catalog_space import BOX_TEXT, MAP_SQL, maps
 from .registry import query
@@ -107,15 +107,33 @@ def _(v: Views):
     return kit.with_metadata(kit.section_pages(kit.sections(v.markdown))).drop("content")
 
 
-@query("T5_search", """
+SEARCH_SQL = """
 SELECT doc_id, n AS occurrences, trim(concat(CASE WHEN a > 0 THEN '...' ELSE '' END, substr(text, a + 1, z - a), CASE WHEN z < length(text) THEN '...' ELSE '' END), concat(' ', chr(10))) AS preview FROM (
   SELECT doc_id, text, n, greatest(0, pos - 100) AS a, least(length(text), pos + 5 + 100) AS z FROM (
-    SELECT doc_id, text, CAST((length(text) - length(replace(lower(text), 'eleau', ''))) // 5 AS INTEGER) AS n, strpos(lower(text), 'eleau') - 1 AS pos FROM documents) x WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 10) y""")
+    SELECT doc_id, text, CAST((length(text) - length(replace(lower(text), 'eleau', ''))) // 5 AS INTEGER) AS n, strpos(lower(text), 'eleau') - 1 AS pos FROM documents) x WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 10) y"""
+
+
+@query("T5_search", SEARCH_SQL)
 def _(v: Views):
     docs = v.documents.select("doc_id", F.col("text").alias("content"), F.lit(1).alias("section_no"))
     return kit.search_sections(docs, "eLeau").select("doc_id", "occurrences", "preview")
 
 
+def stored_postings(v: Views) -> str:
+    """A word index of all documents that has been updated: the even documents first with other texts, then all with their own."""
+    path = scratch_dir(v.spark, "index")
+    even = v.documents.filter("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("eleau tion NDVI "), F.reverse("text")).alias("text"))
+    postings.update_postings(v.spark, even, path)
+    postings.update_postings(v.spark, v.documents, path)
+    return path
+
+
+@query("T5_search_postings", SEARCH_SQL)
+def _(v: Views):
+    """The same search from the stored index: no text is scanned for hits."""
+    return postings.search_postings(v.spark, stored_postings(v), v.documents, "eLeau")
+
+
 CHUNKS_SQL = """
 WITH RECURSIVE c AS (
   SELECT doc_id, text, 1 AS chunk_id, 0 AS a, z FROM (SELECT doc_id, text, {end0} AS z FROM documents WHERE length(text) > 0) s
@@ -138,13 +156,23 @@ def _(v: Views):
 WORDS = ("eau", "tion", "ment", "the", "und", "NDVI")
 
 
-@query("T7_keyword_index", f"""
+KEYWORDS_SQL = f"""
 SELECT keyword, doc_id, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_documents FROM (SELECT k AS keyword, doc_id, (length(text) - length(replace(lower(text), lower(k), ''))) // length(k) AS n
-  FROM documents CROSS JOIN (SELECT unnest({list(WORDS)!r}) AS k) w) q WHERE n > 0 GROUP BY GROUPING SETS ((keyword, doc_id), (keyword))""")
+  FROM documents CROSS JOIN (SELECT unnest({list(WORDS)!r}) AS k) w) q WHERE n > 0 GROUP BY GROUPING SETS ((keyword, doc_id), (keyword))"""
+
+
+@query("T7_keyword_index", KEYWORDS_SQL)
 def _(v: Views):
     return kit.keyword_index(v.documents, keywords=WORDS)
 
 
+@query("T7_keyword_postings", KEYWORDS_SQL)
+def _(v: Views):
+    """The same counts from the stored index: only the buckets of matching terms are read."""
+    counts = postings.string_counts(v.spark, stored_postings(v), list(WORDS))
+    return kit.keyword_totals(counts.select(F.col("query").alias("keyword"), "doc_id", F.col("occurrences").alias("n")))
+
+
 @query("T7_document_stats", f"""
 SELECT doc_id, CAST(length(text) AS INTEGER) AS characters, CAST(len(list_filter(regexp_split_to_array(text, '[{B}]+'), lambda w: w <> '')) AS INTEGER) AS words,
   CAST(len(string_split(text, chr(10))) - 1 AS INTEGER) AS line_feeds, CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{RX}'))) AS INTEGER) AS sections FROM md_v""")

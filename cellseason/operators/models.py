@@ -20,7 +20,7 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ from ..functions.scoring import (category_code, draw, presence_from_probabilitie
 from ..session import scratch_dir
 from . import linear
 from .metrics import best_target_threshold, binary_report_with_global, ordinal_report, phase_report, regression_errors, with_global
-from .order import stored, with_median_fill
+from .order import exact_median, stored, with_median_fill
 from .training import (fold_list, fold_rows, positive_weight, stratified_holdout, walk_forward_folds, with_class_weight)
 
 SEED = 42
@@ -496,21 +496,72 @@ class PresenceModel:
                 .drop("rawPrediction", "probability", "prediction"))
 
 
+class AbsoluteBoosting:
+    """Boosted trees on absolute error: each tree is grown on the signs of the residuals, and each of its leaves then gives the exact
+    median of the residuals in it. Starts from the median of the label.
+
+    With a hold-out column the error on its rows is followed: after ``patience`` rounds without a better one the boosting stops and
+    keeps the rounds up to the best. Rows without a label are left out; without rows that is an error. Each round starts from a
+    stored table, so lineage stays short; the driver sees the medians of at most 2^depth leaves."""
+
+    def __init__(self, rounds: int = 300, depth: int = 5, step: float = 0.05, patience: int = 30):
+        self.rounds, self.depth, self.step, self.patience = rounds, depth, step, patience
+
+    def fit(self, train: DataFrame, label: str, holdout: str | None = None) -> "AbsoluteBoosting":
+        held = F.coalesce(F.col(holdout), F.lit(False)) if holdout else F.lit(False)
+        rows = stored(train.select("features", F.col(label).cast("double").alias("__y"), held.alias("__held")).filter("__y is not null"))
+        first = exact_median(rows.filter("not __held"), "__y").first()
+        if first is None or first["median"] is None:
+            raise ValueError("no rows to fit")
+        self.start, self.trees, self.errors = first["median"], [], []
+        state = rows.withColumn("__f", F.lit(self.start))
+        error = F.avg(F.when(F.col("__held"), F.abs(F.col("__y") - F.col("__f"))))
+        best, kept = state.agg(error.alias("e")).first()["e"], 0
+        grower = DecisionTreeRegressor(labelCol="__sign", predictionCol="__p", leafCol="__leaf", maxDepth=self.depth, seed=SEED)
+        for _ in range(self.rounds):
+            signs = state.withColumn("__sign", F.signum(F.col("__y") - F.col("__f")))
+            tree = grower.fit(signs.filter("not __held"))
+            leaves = tree.transform(signs).withColumn("__r", F.col("__y") - F.col("__f")).select("features", "__y", "__held", "__f", "__leaf", "__r")
+            medians = {int(r["__leaf"]): r["median"] for r in exact_median(leaves.filter("not __held"), "__r", ["__leaf"]).collect()}
+            if not any(medians.values()):
+                break  # no leaf moves its rows any more
+            self.trees.append((tree, medians))
+            state = stored(leaves.withColumn("__f", F.col("__f") + self._shift(medians)).drop("__leaf", "__r"))
+            if best is None:
+                continue
+            self.errors.append(state.agg(error.alias("e")).first()["e"])
+            if self.errors[-1] < best:
+                best, kept = self.errors[-1], len(self.trees)
+            elif len(self.trees) - kept >= self.patience:
+                break
+        if best is not None:
+            self.trees = self.trees[:kept]
+        return self
+
+    def _shift(self, medians: dict[int, float]) -> Column:
+        values = F.create_map(*[F.lit(x) for leaf, m in sorted(medians.items()) for x in (leaf, self.step * m)])
+        return F.coalesce(F.try_element_at(values, F.col("__leaf").cast("int")), F.lit(0.0))
+
+    def predict(self, df: DataFrame, to: str) -> DataFrame:
+        out = df.withColumn("__f", F.lit(self.start))
+        for tree, medians in self.trees:
+            out = tree.transform(out).withColumn("__f", F.col("__f") + self._shift(medians)).drop("__p", "__leaf")
+        return out.withColumnRenamed("__f", to)
+
+
 class DensityModel:
-    """Boosted density regressor on absolute error, over presence rows with a density."""
+    """Boosted density regressor on absolute error, over presence rows with a density; a fifth of the rows stops it."""
 
     def __init__(self, rounds: int = 300, depth: int = 5, key: str = "row_id", step: float = 0.05):
         self.rounds, self.depth, self.key, self.step = rounds, depth, key, step
 
     def fit(self, train: DataFrame) -> "DensityModel":
         rows = train.withColumn("is_holdout", draw(self.key, SEED) < 0.2)
-        self.model = GBTRegressor(labelCol="densite_imago_median", lossType="absolute", validationIndicatorCol="is_holdout",
-                                  predictionCol="densite_pred", maxIter=self.rounds, maxDepth=self.depth,
-                                  stepSize=self.step, seed=SEED).fit(rows)
+        self.inner = AbsoluteBoosting(self.rounds, self.depth, self.step).fit(rows, "densite_imago_median", "is_holdout")
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df)
+        return self.inner.predict(df, "densite_pred")
 
 
 class PhaseModel:

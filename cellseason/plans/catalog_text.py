@@ -119,19 +119,23 @@ def _(v: Views):
     return kit.search_sections(docs, "eLeau").select("doc_id", "occurrences", "preview")
 
 
+#: Buckets of the index in the queries, few because each is a folder with files of its own.
+BUCKETS = 8
+
+
 def stored_postings(v: Views) -> str:
     """A word index of all documents that has been updated: the even documents first with other texts, then all with their own."""
     path = scratch_dir(v.spark, "index")
     even = v.documents.filter("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("eleau tion NDVI "), F.reverse("text")).alias("text"))
-    postings.update_postings(v.spark, even, path)
-    postings.update_postings(v.spark, v.documents, path)
+    postings.update_postings(v.spark, even, path, buckets=BUCKETS)
+    postings.update_postings(v.spark, v.documents, path, buckets=BUCKETS)
     return path
 
 
 @query("T5_search_postings", SEARCH_SQL)
 def _(v: Views):
     """The same search from the stored index: no text is scanned for hits."""
-    return postings.search_postings(v.spark, stored_postings(v), v.documents, "eLeau")
+    return postings.search_postings(v.spark, stored_postings(v), v.documents, "eLeau", buckets=BUCKETS)
 
 
 CHUNKS_SQL = """
@@ -169,7 +173,7 @@ def _(v: Views):
 @query("T7_keyword_postings", KEYWORDS_SQL)
 def _(v: Views):
     """The same counts from the stored index: only the buckets of matching terms are read."""
-    counts = postings.string_counts(v.spark, stored_postings(v), list(WORDS))
+    counts = postings.string_counts(v.spark, stored_postings(v), list(WORDS), buckets=BUCKETS)
     return kit.keyword_totals(counts.select(F.col("query").alias("keyword"), "doc_id", F.col("occurrences").alias("n")))
 
 

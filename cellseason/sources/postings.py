@@ -2,7 +2,7 @@
 
 Three partitioned tables under one path: ``postings`` (term, key, positions) by bucket of the term, ``grams`` (gram, term), which finds
 the terms that hold a string, by bucket of the gram, and ``words`` (key, buckets), which knows what an update has to touch, by bucket
-of the document. Words are runs of letters, digits and underscores of the text in lower case; a position is the number of the word in its
+of the document. The number of buckets is the same in all calls on one index. Words are runs of letters, digits and underscores of the text in lower case; a position is the number of the word in its
 document, from 0. Null and empty texts have no word. Keys are unique and not null.
 """
 
@@ -26,18 +26,18 @@ def bucket_of(c: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
 
-def postings_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def postings_of(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """``(term, key, positions, bucket)`` of every different word of every document."""
     words = docs.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(f"[{tx.WORD}]+"), F.lit(0))).alias("at", "term"))
     return (words.groupBy("term", key).agg(F.sort_array(F.collect_list("at")).alias("positions"))
-            .withColumn("bucket", bucket_of(F.col("term"))))
+            .withColumn("bucket", bucket_of(F.col("term"), buckets)))
 
 
-def _grams(terms: DataFrame) -> DataFrame:
+def _grams(terms: DataFrame, buckets: int) -> DataFrame:
     """Every run of three characters of a term, and the shorter ones at its end."""
     starts = F.sequence(F.lit(1), F.length("term"))
     grams = terms.select("term", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("term", i, F.lit(GRAM))))).alias("gram"))
-    return grams.select("gram", "term", bucket_of(F.col("gram")).alias("bucket"))
+    return grams.select("gram", "term", bucket_of(F.col("gram"), buckets).alias("bucket"))
 
 
 def _replace(spark: SparkSession, rows: DataFrame, path: str, touched: list[int], spread: str) -> None:
@@ -62,29 +62,31 @@ def _merge(spark: SparkSession, fresh: DataFrame, path: str, touched: list[int],
 
 
 def _buckets(df: DataFrame) -> list[int]:
-    """Buckets of the rows: at most ``BUCKETS`` numbers."""
+    """Buckets of the rows: short numbers, as many as the index has."""
     return sorted(r[0] for r in df.select("bucket").distinct().collect())
 
 
-def update_postings(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> list[int]:
+def update_postings(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> list[int]:
     """Enters ``docs``, new ones or new versions, and returns the buckets of ``postings`` that were rewritten; the others stay untouched.
 
     The first update makes the index. A null text takes a document out. Documents without a word leave nothing but their key. An
     update that broke off is made again with the same documents: ``words`` is extended before and cut down after ``postings`` changes."""
-    fresh = stored(postings_of(docs, key, text))
+    fresh = stored(postings_of(docs, key, text, buckets))
     mine = fresh.groupBy(key).agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
     keys = docs.select(key)
-    now = keys.join(mine, key, "left").select(key, F.coalesce("buckets", F.array().cast("array<int>")).alias("buckets"), bucket_of(F.col(key)).alias("bucket"))
+    now = keys.join(mine, key, "left").select(key, F.coalesce("buckets", F.array().cast("array<int>")).alias("buckets"), bucket_of(F.col(key), buckets).alias("bucket"))
     touched, terms = _buckets(fresh), fresh.select("term").distinct()
     homes = _buckets(now)
     if path_exists(spark, f"{path}/words"):
         known = spark.read.schema(now.schema).parquet(f"{path}/words").filter(F.col("bucket").isin(homes)).join(keys, key, "left_semi")
         old = [r[0] for r in known.select(F.explode("buckets")).distinct().collect()]
         touched = sorted(set(touched) | set(old))
-        terms = terms.join(spark.read.schema("gram string, term string, bucket int").parquet(f"{path}/grams").select("term"), "term", "left_anti")
         before = now.unionByName(known).groupBy(key, "bucket").agg(F.array_distinct(F.flatten(F.collect_list("buckets"))).alias("buckets")).select(now.columns)
         _merge(spark, before, f"{path}/words", homes, keys, [key], key)
-    grams = stored(_grams(terms))
+    grams = _grams(terms, buckets)
+    if path_exists(spark, f"{path}/grams"):
+        grams = grams.join(spark.read.schema("gram string, term string, bucket int").parquet(f"{path}/grams"), ["bucket", "gram", "term"], "left_anti").select(grams.columns)
+    grams = stored(grams)
     _merge(spark, grams, f"{path}/grams", _buckets(grams), None, [], "term")
     _merge(spark, fresh, f"{path}/postings", touched, keys, [key], key)
     _merge(spark, now, f"{path}/words", homes, keys, [key], key)
@@ -96,42 +98,43 @@ def is_word(query: str) -> bool:
     return bool(query) and all(c == "_" or c.isalnum() for c in query)
 
 
-def matching_terms(spark: SparkSession, path: str, strings: list[str]) -> DataFrame:
+def matching_terms(spark: SparkSession, path: str, strings: list[str], buckets: int = BUCKETS) -> DataFrame:
     """``(query, term, hits, bucket)``: the terms that hold each string, and how often. Only the buckets of their first grams are read; strings
     shorter than a gram look through all terms."""
     low = [s.lower() for s in strings]
     grams = spark.read.schema("gram string, term string, bucket int").parquet(f"{path}/grams").filter("term is not null")
     if all(len(s) >= GRAM for s in low):
         first = sorted({s[:GRAM] for s in low})
-        homes = [r[0] for r in spark.createDataFrame([(g,) for g in first], "gram string").select(bucket_of(F.col("gram"))).distinct().collect()]
+        homes = [r[0] for r in spark.createDataFrame([(g,) for g in first], "gram string").select(bucket_of(F.col("gram"), buckets)).distinct().collect()]
         grams = grams.filter(F.col("bucket").isin(homes) & F.col("gram").isin(first))
     rows = F.array(*[F.struct(F.lit(s).alias("query"), tx.occurrences("term", s).alias("hits")) for s in strings])
     return (grams.select("term").distinct().select("term", F.inline(rows)).filter("hits > 0")
-            .select("query", "term", "hits", bucket_of(F.col("term")).alias("bucket")))
+            .select("query", "term", "hits", bucket_of(F.col("term"), buckets).alias("bucket")))
 
 
-def string_counts(spark: SparkSession, path: str, strings: list[str], key: str = "doc_id") -> DataFrame:
+def string_counts(spark: SparkSession, path: str, strings: list[str], key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
     """``(query, key, occurrences)``: case-insensitive, non-overlapping hits of strings of word characters, from the index alone."""
     if not all(is_word(s) for s in strings):
         raise ValueError("a string with other than word characters may reach over words")
-    terms = stored(matching_terms(spark, path, strings))
+    terms = stored(matching_terms(spark, path, strings, buckets))
     table = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(_buckets(terms)) & F.col("term").isNotNull())
     return (table.join(terms.drop("bucket"), "term").groupBy("query", key)
             .agg(F.sum(F.size("positions") * F.col("hits")).cast("int").alias("occurrences")))
 
 
-def search_postings(spark: SparkSession, path: str, docs: DataFrame, query: str, top: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+def search_postings(spark: SparkSession, path: str, docs: DataFrame, query: str, top: int = 10, key: str = "doc_id", text: str = "text",
+                    buckets: int = BUCKETS) -> DataFrame:
     """Documents that hold the string, most hits first (a top-k report; equal ones by key), with a preview of the first hit.
 
     A string inside words is counted from the index; texts are read for the ``top`` previews only. Any other string is counted in the texts of
     the documents that hold its longest word, and in all texts if it has none."""
     if is_word(query):
-        counted = string_counts(spark, path, [query], key)
+        counted = string_counts(spark, path, [query], key, buckets)
     else:
         pieces = "".join(c if is_word(c) else " " for c in query).split()
         held = docs
         if pieces:
-            held = docs.join(string_counts(spark, path, [max(pieces, key=len)], key).select(key), key, "left_semi")
+            held = docs.join(string_counts(spark, path, [max(pieces, key=len)], key, buckets).select(key), key, "left_semi")
         counted = held.select(key, tx.occurrences(text, query).alias("occurrences")).filter("occurrences > 0")
     best = {r[key]: r["occurrences"] for r in counted.orderBy(F.desc("occurrences"), key).limit(top).select(key, "occurrences").collect()}
     shown = docs.filter(F.col(key).isin(list(best))) if best else docs.limit(0)

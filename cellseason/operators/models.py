@@ -30,7 +30,7 @@ from ..functions.scoring import (category_code, draw, presence_from_probabilitie
                                  to_ordinal)
 from ..session import scratch_dir
 from . import linear
-from .metrics import best_target_threshold, binary_report_with_global, ordinal_report, phase_report, regression_errors, with_global
+from .metrics import best_f1_threshold, best_target_threshold, binary_report_with_global, ordinal_report, phase_report, regression_errors, with_global
 from .order import exact_median, stored, with_median_fill
 from .training import (fold_list, fold_rows, positive_weight, stratified_holdout, walk_forward_folds, with_class_weight)
 
@@ -591,6 +591,22 @@ def predict_hierarchical(df: DataFrame, presence: PresenceModel, density: Densit
                          F.when(here, name).alias("phase_pred"))
 
 
+def searched_thresholds(train: DataFrame, held: DataFrame, presence: Callable[[], PresenceModel], phase: Callable[[], PhaseModel]) -> tuple[float, float]:
+    """``(presence, G)``: the thresholds of the chain, searched on rows that the models were not fitted on.
+
+    The one of presence has the best F1 on the labeled ``held`` rows, the one of G the best recall at a macro F1 of 0.30 or more on their
+    presence rows with a phase. Without such rows, or without two classes to fit, the defaults of the searches stand."""
+    seen = presence().fit(train).predict(held)
+    threshold = best_f1_threshold(seen.filter("label is not null")).first()["threshold"]
+    known = F.col("niveau_gregarite_dominant").isin(*PHASES) & (F.col("label") == 1)
+    rows = train.filter(known)
+    if rows.select("niveau_gregarite_dominant").distinct().count() < 2:
+        scored = held.limit(0).select(F.array(*[F.lit(0.0) for _ in PHASES]).alias("phase_p"), F.lit(0).alias("y_true"))
+    else:
+        scored = phase().fit(rows).predict(held.filter(known)).withColumn("y_true", category_code("niveau_gregarite_dominant", PHASES))
+    return threshold, best_target_threshold(scored, "phase_p").first()["threshold_G"]
+
+
 def fold_sizes(df: DataFrame, folds: DataFrame, campaign: str = "campagne_calc") -> DataFrame:
     """Row and class counts per fold and the gates for the density and phase fits."""
     pres = F.col("label") == 1
@@ -606,15 +622,18 @@ def fold_sizes(df: DataFrame, folds: DataFrame, campaign: str = "campagne_calc")
                       "fit_phase": (F.col("ph_train") >= 10) & (F.col("ph_val") >= 2) & (F.col("ph_classes") >= 2)}))
 
 
-def walk_forward_presence(df: DataFrame, folds: list[tuple[list[str], str]], make: Callable[[], PresenceModel]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Presence folds: ``(report with GLOBAL row, predictions, importances)``."""
+def walk_forward_presence(df: DataFrame, folds: list[tuple[list[str], str]], make: Callable[[], PresenceModel],
+                          features: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Presence folds: ``(report with GLOBAL row, predictions, importances)``; ``features`` names the entries of the vector in the
+    importances ``(campagne_calc, feature, importance)``, which are called by their numbers without it."""
     preds, imps = df.limit(0).select("campagne_calc", "row_id", "label", F.lit(0.0).alias("score")), []
     for train_camps, test_camp in folds:
         m = make().fit(df.filter(F.col("campagne_calc").isin(train_camps)))
         p = m.predict(df.filter(F.col("campagne_calc") == test_camp)).select("campagne_calc", "row_id", "label", "score")
         preds = preds.unionByName(p)
-        imps += [(test_camp, int(i), float(v)) for i, v in enumerate(m.model.featureImportances.toArray())]
-    importances = df.sparkSession.createDataFrame(imps, "campagne_calc string, feature_no int, importance double")
+        weights = m.model.featureImportances.toArray()
+        imps += [(test_camp, n, float(v)) for n, v in zip(features or map(str, range(len(weights))), weights, strict=True)]
+    importances = df.sparkSession.createDataFrame(imps, "campagne_calc string, feature string, importance double")
     return binary_report_with_global(preds), preds, importances
 
 

@@ -269,11 +269,13 @@ def _(v: Views):
     df = region_stage(v)
     lab = clean.labeled_splits(df)
     pres = lab.filter("label = 1")
+    low, low_g = models.searched_thresholds(lab.filter("split = 'train'"), lab.filter("split = 'validation'"),
+                                            lambda: models.PresenceModel(rounds=4, depth=3), lambda: models.PhaseModel(rounds=2, depth=3))
     m1 = models.PresenceModel(rounds=4, depth=3).fit(lab)
     m2 = models.DensityModel(rounds=4, depth=3).fit(pres.filter("densite_imago_median is not null"))
     m3 = models.PhaseModel(rounds=2, depth=3).fit(clean.phase_rows(lab))
     keys = ["rn_num", "rn_nom", "campagne_calc", "campagne_decade"]
-    out = models.predict_hierarchical(df.filter("split = 'inference'"), m1, m2, m3, 0.5, 0.15, keys)
+    out = models.predict_hierarchical(df.filter("split = 'inference'"), m1, m2, m3, low, low_g, keys)
     return out.withColumn("densite_pred", r6("densite_pred"))
 
 
@@ -285,6 +287,14 @@ def _(v: Views):
     return report
 
 
+@query("F22_fold_importances")
+def _(v: Views):
+    """Importance of each feature in the presence model, mean and deviation over the walk-forward folds."""
+    df = clean.labeled_splits(region_stage(v))
+    _, _, importances = models.walk_forward_presence(df, region_folds(df), lambda: models.PresenceModel(rounds=3, depth=3), REGION_FEATURES)
+    return selection.importance_summary(importances)
+
+
 @query("L14_two_stage_walk_forward")
 def _(v: Views):
     """Density and phase metrics per validation campaign and pooled, with the size gates."""

@@ -263,3 +263,26 @@ def test_panel_is_complete_and_forecasts_shift(spark):
     assert pooled.count() == 60
     rep, pooled = panel.walk_forward_panel(df, [])
     assert rep.count() == pooled.count() == 0
+
+
+def test_thresholds_are_searched_on_held_rows(regions):
+    train, held = regions.filter("row_id % 3 > 0"), regions.filter("row_id % 3 = 0")
+    make = (lambda: models.PresenceModel(rounds=3, depth=2), lambda: models.PhaseModel(rounds=2, depth=2))
+    low, low_g = models.searched_thresholds(train, held, *make)
+    scored = [(r["score"], r["label"]) for r in make[0]().fit(train).predict(held).collect()]
+
+    def f1(t):
+        tp, fp, fn = (sum(1 for s, y in scored if (s >= t, y) == c) for c in ((True, 1), (True, 0), (False, 1)))
+        return 2 * tp / (2 * tp + fp + fn) if tp + fp else -1
+
+    assert f1(low) == max(f1(0.05 + 0.01 * i + 1e-9) for i in range(46)) and 0.05 <= low <= 0.5 and 0.05 <= low_g <= 0.5
+    assert models.searched_thresholds(train.filter("label = 0 or niveau_gregarite_dominant = 'G'"), held, *make)[1] == 0.15
+
+
+def test_importances_of_folds_carry_names(regions):
+    df = regions.withColumn("campagne_calc", F.when(F.col("row_id") % 2 == 0, "2001-2002").otherwise("2002-2003"))
+    _, _, imp = models.walk_forward_presence(df, [(["2001-2002"], "2002-2003")], lambda: models.PresenceModel(rounds=2, depth=2), ["x", "z"])
+    got = {r["feature"]: r["importance"] for r in imp.collect()}
+    assert set(got) == {"x", "z"} and got["x"] > got["z"] >= 0 and abs(sum(got.values()) - 1) < 1e-9
+    with pytest.raises(ValueError):
+        models.walk_forward_presence(df, [(["2001-2002"], "2002-2003")], lambda: models.PresenceModel(rounds=1, depth=1), ["x"])

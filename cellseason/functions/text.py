@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BLANK = r"\t-\r\x1c-\x20\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
 HEADING = r"^(#{1,6})[%s]+(.+)$" % BLANK
+#: Bounds of chunks that are copied at a step.
+_RUN = 256
 
 
 def _c(c) -> Column:
@@ -93,30 +95,47 @@ def links(text) -> Column:
     return F.arrays_zip(F.regexp_extract_all(t, rx, F.lit(1)).alias("label"), F.regexp_extract_all(t, rx, F.lit(2)).alias("target"))
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def chunks(text, size: int = 1000, overlap: int = 200) -> Column:
-    """Overlapping chunks as an array of ``{start, end}`` (0-based): each chunk ends at its last line feed
+    """Overlapping chunks as an array of ``{start, end, text}`` (0-based): each chunk ends at its last line feed
     when that lies past the middle and text remains. ``end`` may pass the end of the text.
 
-    A per-row fold over the chunk number; the state is the list of bounds and the next start."""
+    The text is cut once into pieces of ``size`` characters, so a window lies in two neighbouring pieces and no step looks at the text
+    before it. A per-row fold over the chunk number finds the bounds; its state is the bounds and the next start. Bounds are
+    kept in runs of at most ``_RUN``, so that a step copies one run and not all of them."""
     if size // 2 + 1 <= overlap:
         raise ValueError("overlap must stay below half the chunk size, or a chunk might not advance")
     t = _c(text)
     steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(t) / F.lit(size // 2 + 1 - overlap)).cast("int")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    # the length is taken once and carried along: inside the fold it would be recounted at every step
-    state = F.struct(empty.alias("out"), F.lit(0).alias("at"), F.length(t).alias("n"))
-
-    def advance(s, _):
-        at, n = s["at"], s["n"]
-        stop = at + size
-        tail = F.reverse(F.substring(t, at + 1, F.lit(size)))
-        # distance of the last line feed from the end of the window, 0 when there is none
-        gap = F.get(F.transform(F.array(F.when(stop < n, F.locate("\n", tail)).otherwise(0)),
-                                lambda g: F.when((g > 0) & (size - g > size // 2), g).otherwise(0)), F.lit(0))
-        end = stop - gap
-        grown = F.get(F.transform(F.array(end.cast("int")), lambda e: F.struct(
-            F.concat(s["out"], F.array(F.struct(at.cast("int").alias("start"), e.alias("end")))).alias("out"),
-            (e - overlap).cast("int").alias("at"), n.alias("n"))), F.lit(0))
-        return F.when(at < n, grown).otherwise(s)
-
-    return F.aggregate(steps, state, advance, lambda s: s["out"])
+    bounds = "array<struct<start:int,end:int>>"
+
+    def window(pieces: Column, at: Column, width: Column) -> Column:
+        k = F.floor(at / F.lit(size)).cast("int")
+        both = F.concat(F.get(pieces, k), F.coalesce(F.get(pieces, k + 1), F.lit("")))
+        return F.substring(both, at - k * size + 1, width)
+
+    def fold(pieces: Column) -> Column:
+        state = F.struct(F.array().cast(f"array<{bounds}>").alias("full"), F.array().cast(bounds).alias("run"), F.lit(0).alias("at"), F.length(t).alias("n"))
+
+        def advance(s, _):
+            at, n = s["at"], s["n"]
+            # distance of the last line feed from the end of the window, 0 when there is none
+            gap = F.when(at + size < n, F.locate("\n", F.reverse(window(pieces, at, F.lit(size))))).otherwise(0)
+            end = _once(gap, lambda g: (at + size - F.when((g > 0) & (size - g > size // 2), g).otherwise(0)).cast("int"))
+            grown = _once(end, lambda e: _once(F.struct(at.alias("start"), e.alias("end")), lambda span: F.struct(
+                F.when(F.size(s["run"]) >= _RUN, F.concat(s["full"], F.array(s["run"]))).otherwise(s["full"]).alias("full"),
+                F.when(F.size(s["run"]) >= _RUN, F.array(span)).otherwise(F.concat(s["run"], F.array(span))).alias("run"),
+                (e - overlap).cast("int").alias("at"), n.alias("n"))))
+            return F.when(at < n, grown).otherwise(s)
+
+        return F.aggregate(steps, state, advance, lambda s: F.concat(F.flatten(s["full"]), s["run"]))
+
+    def cut(pieces: Column) -> Column:
+        return F.transform(fold(pieces), lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), window(pieces, s["start"], s["end"] - s["start"]).alias("text")))
+
+    return _once(F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % size), F.lit(0)), cut)

@@ -75,11 +75,10 @@ def search_sections(pages: DataFrame, query: str, top: int = 10, key: str = "doc
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
     """Chunks ``(key, chunk_id, text, start, end, end_clamped, length)`` over the whole text."""
-    spans = docs.select(key, F.col(text).alias("__t"), F.posexplode(tx.chunks(text, size, overlap)).alias("p", "s"))
-    body = F.substring("__t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    return spans.select(key, (F.col("p") + 1).alias("chunk_id"), body.alias("text"), F.col("s.start").alias("start"),
-                        F.col("s.end").alias("end"), F.least(F.col("s.end"), F.length("__t")).alias("end_clamped"),
-                        F.length(body).alias("length"))
+    spans = docs.select(key, F.length(text).alias("__n"), F.posexplode(tx.chunks(text, size, overlap)).alias("p", "s"))
+    return spans.select(key, (F.col("p") + 1).alias("chunk_id"), F.col("s.text").alias("text"), F.col("s.start").alias("start"),
+                        F.col("s.end").alias("end"), F.least(F.col("s.end"), F.col("__n")).alias("end_clamped"),
+                        F.length("s.text").alias("length"))
 
 
 def keyword_index(docs: DataFrame, key: str = "doc_id", text: str = "text", keywords=KEYWORDS) -> DataFrame:

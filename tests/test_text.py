@@ -53,6 +53,13 @@ def test_chunks_against_the_loop(spark):
     assert [(r["text"], r["start"]) for r in small] == [(p, s) for p, s, _, _ in brute_chunks("abc\ndefghijkl", 6, 1)]
 
 
+def test_chunks_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(tx, "_RUN", 3)
+    t = ("é🦗 mot" * 7 + "\n") * 900
+    got = kit.chunk_documents(docs(spark, t, None), size=100, overlap=30).orderBy("chunk_id").collect()
+    assert [(r["text"], r["start"], r["end"], r["length"]) for r in got] == brute_chunks(t, 100, 30)
+
+
 def test_overlap_must_let_chunks_advance():
     try:
         tx.chunks("t", 100, 60)

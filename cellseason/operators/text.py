@@ -46,6 +46,7 @@ def section_index(secs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def section_pages(secs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Stand-alone section texts: header, body and navigation block."""
+    # The French phrases of header and navigation.
     no, doc = F.col("section_no"), F.col(key).cast("string")
     head = F.concat(F.lit("# Section "), no.cast("string"), F.lit(": "), F.col("title"), F.lit("\n\n> Extrait de: "), doc,
                     F.lit(".md\n> Niveau: "), F.col("level").cast("string"), F.lit("\n> Position: ligne "),

@@ -436,8 +436,12 @@ def _(v: Views):
     return v.surveys.select("id", scoring.density_class("densite_imago").alias("classe"))
 
 
-POTENTIAL_SQL = f"""CASE WHEN niveau_gregarite = 'absent' THEN 0 ELSE
-  CAST(substr(CASE niveau_gregarite WHEN 'S' THEN '01122333' WHEN 'St' THEN '01223333' WHEN 'T' THEN '02223334' WHEN 'G' THEN '02233345' END, {CLASS_SQL} + 1, 1) AS INTEGER) END"""
+# Potential by level and density class 0 to 7.
+POTENTIAL_SQL = f"""CASE WHEN niveau_gregarite = 'absent' THEN 0 ELSE (SELECT m.potential[{CLASS_SQL} + 1] FROM (VALUES
+  ('S', [0, 1, 1, 2, 2, 3, 3, 3]),
+  ('St', [0, 1, 2, 2, 3, 3, 3, 3]),
+  ('T', [0, 2, 2, 2, 3, 3, 3, 4]),
+  ('G', [0, 2, 2, 3, 3, 3, 4, 5])) m(level, potential) WHERE m.level = niveau_gregarite) END"""
 
 
 @query("J4_potential", f"SELECT id, {POTENTIAL_SQL} AS potentiel_acridien FROM surveys_v")

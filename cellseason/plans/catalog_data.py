@@ -212,17 +212,23 @@ def _(v: Views):
     return clean.keep_columns(raw, {"chirps_sum": "chirps_sum_mean"}, keep).unionByName(empty)
 
 
-@query("B6_predictors", """
-SELECT unnest(['AIRE_CODE', 'campagne_decade', 'month', 'decade_part', 'chirps_sum_mean', 'ndvi_mean', 'evi_mean', 'lst_mean', 'pop_consecutive',
- 'chirps_sum_mean_lag1d', 'chirps_sum_mean_lag2d', 'ndvi_mean_lag1d', 'ndvi_mean_lag2d', 'evi_mean_lag1d', 'evi_mean_lag2d', 'lst_mean_lag1d', 'lst_mean_lag2d',
- 'chirps_cumul_2d', 'chirps_cumul_3d', 'severite_lag1', 'severite_lag2']) AS feature, (SELECT count(*) FROM training_v) AS n_rows""")
+def _columns(view: str) -> str:
+    """The column names of a view, as rows."""
+    return f"(SELECT name FROM (UNPIVOT (SELECT COUNT(COLUMNS(*)) AS '\\0' FROM {view}) ON COLUMNS(*) INTO NAME name VALUE n) c0)"
+
+
+@query("B6_predictors", f"""
+SELECT name AS feature, (SELECT count(*) FROM training_v) AS n_rows FROM {_columns("training_v")} c
+WHERE name NOT IN ('cell_id', 'decade_ord', 'year', 'date_start', 'date_end', 'campagne_calc', 'severite', 'intensite', 'effort_prospection', 'binaire', 'a_predire')""")
 def _(v: Views):
     t = clean.cube_columns(v.training)
     names = training.predictors(t)
     return t.agg(F.count("*").alias("n_rows")).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"), "n_rows")
 
 
-@query("B7_region_predictors", "SELECT unnest(['chirps_sum_mean', 'niveau_gregarite_dominant']) AS feature, unnest(['both', 'presence']) AS models, (SELECT count(*) FROM regions_v) AS n_rows")
+@query("B7_region_predictors", f"""
+SELECT name AS feature, CASE WHEN name IN ('niveau_gregarite_dominant', 'densite_imago_median') THEN 'presence' ELSE 'both' END AS models, (SELECT count(*) FROM regions_v) AS n_rows
+FROM {_columns("regions_v")} c WHERE name NOT IN ('rn_num', 'rn_nom', 'campagne_calc', 'campagne_decade', 'split', 'effort_prospection', 'label', 'date_start', 'k')""")
 def _(v: Views):
     one, two = training.region_predictors(v.regions), training.region_predictors(v.regions, with_targets=True)
     rows = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit("both" if n in two else "presence").alias("models")) for n in one])

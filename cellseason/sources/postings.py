@@ -1,9 +1,11 @@
 """A stored word index of documents: which word stands where in which document.
 
-Three partitioned tables under one path: ``postings`` (term, key, positions) by bucket of the term, ``grams`` (gram, term), which finds
-the terms that hold a string, by bucket of the gram, and ``words`` (key, buckets), which knows what an update has to touch, by bucket
-of the document. The number of buckets is the same in all calls on one index. Words are runs of letters, digits and underscores of the text in lower case; a position is the number of the word in its
-document, from 0. Null and empty texts have no word. Keys are unique and not null.
+Three partitioned tables under one path: ``postings`` (term, key, positions) by bucket of the term; ``grams`` (gram, term), which finds
+the terms that hold a string, by bucket of the gram; ``words`` (key, buckets), which knows what an update has to touch, by bucket of
+the document. The number of buckets is the same in all calls on one index.
+
+Words are runs of letters, digits and underscores of the text in lower case; a position is the number of the word in its document,
+from 0. Null and empty texts have no word. Keys are unique and not null.
 """
 
 from __future__ import annotations

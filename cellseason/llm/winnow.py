@@ -73,6 +73,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, text, marks, next_text and next_marks: of the next document by ascending id, after the last the first.
 
+    Ids are whole numbers (or can be cast to them); other ids are an error of the cast. No documents give no rows; other columns go.
+
     Null texts count as empty, a null id comes first, rows of equal ids follow the hash of their text. Ids are dealt out to blocks
     by cuts that are ids themselves; the first row of a block is also laid at the end of the block before it, so every block finds its
     successors by itself and texts move once.

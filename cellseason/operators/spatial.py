@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CELL_SIZE_M
 from ..functions import geo
-from .order import running_before
+from .order import running_before, stored
 
 AREA_ATTRIBUTES = ("AIRE_CODE", "SECT_NO", "AIRE_NOM")
+#: Edges that a cell of a polygon's cover may hold before it is quartered, and how often it may be.
+EDGES_PER_CELL, LEVELS = 256, 16
+#: Slack for rounding, in cells: an edge that close to a cell is entered there too, which changes no answer.
+SLACK = 1e-6
+_EDGE = ("x1", "y1", "x2", "y2")
+_EDGE_TYPE = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 
 def snap_to_grid(df: DataFrame, lon: str = "LNG_DD", lat: str = "LAT_DD", size: float = CELL_SIZE_M) -> DataFrame:
@@ -20,7 +28,7 @@ def snap_to_grid(df: DataFrame, lon: str = "LNG_DD", lat: str = "LAT_DD", size:
 
 
 def rings_to_edges(areas: DataFrame, ring: str = "ring", metric: bool = False, poly: str = "poly_id") -> DataFrame:
-    """One row per polygon edge ``(poly_id, attributes, x1, y1, x2, y2)`` from rings of ``{lon, lat}``.
+    """One row per polygon edge ``(poly_id, attributes, x1, y1, x2, y2)`` from rings of ``{lon, lat}``, level ones too.
 
     Holes and further parts are further rows with the same ``poly_id``: parity counts them right."""
     keep = [poly, *[a for a in AREA_ATTRIBUTES if a in areas.columns]]
@@ -33,43 +41,146 @@ def rings_to_edges(areas: DataFrame, ring: str = "ring", metric: bool = False, p
         x1, y1 = geo.utm_xy("x1", "y1")
         x2, y2 = geo.utm_xy("x2", "y2")
         edges = edges.select(*keep, x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-    return edges.filter("y1 <> y2")
-
-
-def edge_bands(edges: DataFrame, height: float, poly: str = "poly_id") -> DataFrame:
-    """Edges grouped by horizontal band: one row per (polygon, band) with the edges that cross it."""
-    keep = [poly, *[a for a in AREA_ATTRIBUTES if a in edges.columns]]
-    lo = F.floor(F.least("y1", "y2") / height)
-    hi = F.floor(F.greatest("y1", "y2") / height)
-    return (edges.withColumn("band", F.explode(F.sequence(lo, hi)))
-            .groupBy(*keep, "band").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
-                                        F.max(F.greatest("x1", "x2")).alias("x_hi"),
-                                        F.min(F.least("x1", "x2")).alias("x_lo")))
-
-
-def within_areas(points: DataFrame, edges: DataFrame, x: str, y: str, height: float, poly: str = "poly_id") -> DataFrame:
+    return edges
+
+
+def _cut(y):
+    """Abscissa of the edge (x1, y1, x2, y2) at height ``y``, kept between its ends; of a level edge one of its ends."""
+    x1, y1, x2, y2 = (F.col(c) for c in _EDGE)
+    at = x1 + (y - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0))
+    return F.least(F.greatest(at, F.least(x1, x2)), F.greatest(x1, x2))
+
+
+def _beyond(y, left):
+    """Whether the crossing of the edge with the upright line at ``left`` lies below ``y``, for edges that cross it."""
+    right = F.when(F.col("x1") > F.col("x2"), F.col("y1")).otherwise(F.col("y2"))  # height of the end on the right
+    return (right <= y) != (_spans(y) & (_cut(y) > left))
+
+
+def _spans(y):
+    return (F.col("y1") <= y) != (F.col("y2") <= y)
+
+
+def _straddles(left):
+    return (F.col("x1") <= left) != (F.col("x2") <= left)
+
+
+def _flips(x, y, left, low):
+    """Whether the edge parts the point (x, y) from the corner (left, low) of its cell: on the way along the left side and then to the right.
+
+    Both halves of the way use the same abscissa at height ``y``, so they agree to the last bit and the parity is that of
+    a ray to the right over all edges, however the cells are cut."""
+    along_side = _straddles(left) & (_beyond(y, left) != _beyond(low, left))
+    return along_side != (_spans(y) & (_cut(y) > left) & (_cut(y) <= x))
+
+
+def _touched(size: float, row):
+    """First and last column of ``size`` that the edge touches in a row of cells, with a little slack for rounding."""
+    y1, y2 = F.col("y1"), F.col("y2")
+    lowest, highest = F.least("y1", "y2"), F.greatest("y1", "y2")
+    a = F.when(y1 == y2, F.col("x1")).otherwise(_cut(F.greatest(lowest, row * F.lit(size))))
+    b = F.when(y1 == y2, F.col("x2")).otherwise(_cut(F.least(highest, (row + 1) * F.lit(size))))
+    return F.floor(F.least(a, b) / size - SLACK), F.floor(F.greatest(a, b) / size + SLACK)
+
+
+def _base_cells(edges: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """Cells of ``size`` between the first and the last touched one of each row, with the parity ``odd`` of their lower left corner, and
+    the edges by the cells that they touch."""
+    rows = F.sequence(F.floor(F.least("y1", "y2") / size - SLACK), F.floor(F.greatest("y1", "y2") / size + SLACK))
+    first, last = _touched(size, F.col("row"))
+    pieces = (edges.withColumn("row", F.explode(rows)).withColumn("col", F.explode(F.sequence(first, last)))
+              .select("shape", "row", "col", *_EDGE))
+    # a cut of the row's lower side lies right of the corners of all cells up to ``col``
+    low = F.col("row") * F.lit(size)
+    near = F.ceil(F.col("at") / size) - 1
+    exact = near + F.when((near + 1) * F.lit(size) < F.col("at"), 1).when(near * F.lit(size) >= F.col("at"), -1).otherwise(0)
+    cuts = (edges.filter("y1 <> y2").withColumn("row", F.explode(rows)).filter(_spans(low)).withColumn("at", _cut(low))
+            .select("shape", "row", exact.alias("col"), F.lit(1).alias("cuts")))
+    width = pieces.groupBy("shape", "row").agg(F.min("col").alias("first"), F.max("col").alias("last"))
+    cells = width.select("shape", "row", F.explode(F.sequence("first", "last")).alias("col"), F.lit(0).alias("cuts"))
+    to_right = Window.partitionBy("shape", "row").orderBy(F.desc("col"))
+    return (cells.union(cuts).groupBy("shape", "row", "col").agg(F.sum("cuts").alias("cuts"), F.min("cuts").alias("cell"))
+            .withColumn("odd", F.sum("cuts").over(to_right) % 2 == 1).filter("cell = 0").select("shape", "row", "col", "odd"), pieces)
+
+
+def _quarter(cells: DataFrame, pieces: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """The four quarters of each cell, which are of ``size``, and the edges by the quarters that they touch."""
+    rows = F.array(F.col("row") * 2, F.col("row") * 2 + 1)
+    columns = F.array(F.col("col") * 2, F.col("col") * 2 + 1)
+    parts = (pieces.join(cells, ["shape", "row", "col"])
+             .withColumns({"left": F.col("col") * F.lit(2 * size), "low": F.col("row") * F.lit(2 * size), "col": F.explode(columns), "rows": rows})
+             .withColumn("row", F.explode("rows")))
+    first, last = _touched(size, F.col("row"))
+    touches = ((F.least("y1", "y2") / size - SLACK < F.col("row") + 1) & (F.greatest("y1", "y2") / size + SLACK >= F.col("row"))
+               & F.col("col").between(first, last))
+    flips = _flips(F.col("col") * F.lit(size), F.col("row") * F.lit(size), F.col("left"), F.col("low"))
+    keys = ["shape", "row", "col"]
+    quarters = parts.groupBy(*keys).agg((F.first("odd") != (F.count_if(flips) % 2 == 1)).alias("odd"))
+    return quarters, parts.filter(touches).select(*keys, *_EDGE)
+
+
+def _cover(edges: DataFrame, size: float, poly: str, most: int, levels: int) -> tuple[DataFrame, int]:
+    """``tile_cover`` and its deepest level."""
+    keys = ["shape", "row", "col"]
+    edges = edges.select(F.struct(poly, *[a for a in AREA_ATTRIBUTES if a in edges.columns]).alias("shape"), *_EDGE)
+    cells, pieces = _base_cells(edges, size)
+    found, level = [], 0
+
+    def entries(cells: DataFrame, pieces: DataFrame) -> DataFrame:
+        return cells.select(F.lit(level).alias("level"), *keys, "odd", F.lit(None).cast(_EDGE_TYPE).alias("edge")).union(
+            pieces.select(F.lit(level), *keys, F.lit(None).cast("boolean"), F.struct(*_EDGE)))
+
+    # a shape of few edges has no full cell
+    few = edges.groupBy("shape").count().filter(F.col("count") > most).isEmpty()
+    while not few and level < levels:
+        full = pieces.groupBy(*keys).count().filter(F.col("count") > most).select(*keys)
+        if full.isEmpty():
+            break
+        full, cells, pieces = stored(full), stored(cells), stored(pieces)
+        found.append(entries(cells.join(full, keys, "left_anti"), pieces.join(full, keys, "left_anti")))
+        level += 1
+        cells, pieces = _quarter(cells.join(full, keys, "left_semi"), pieces.join(full, keys, "left_semi"), size / 2**level)
+    found.append(entries(cells, pieces))
+    left, low = (F.col(c) * F.lit(size) / F.pow(F.lit(2.0), F.col("level")) for c in ("col", "row"))
+    entry = lambda c: F.when(F.col("x1").isNotNull() & (F.greatest("x1", "x2") > left), c)  # edges left of the cell part nothing
+    # (right end at or below y) for each edge with ends right of the side; what two edges share is no change
+    tops = F.sort_array(F.flatten(F.collect_list(entry(F.array(F.when(F.col("x1") > left, F.col("y1")), F.when(F.col("x2") > left, F.col("y2")))))))
+    once = lambda seen, v: F.when(F.try_element_at(seen, F.lit(-1)) == v, F.slice(seen, 1, F.size(seen) - 1)).otherwise(F.concat(seen, F.array(v)))
+    cover = (reduce(DataFrame.union, found).select("level", *keys, "odd", "edge.*").groupBy("level", *keys)
+             .agg((F.max("odd") != (F.count_if(_straddles(left) & _beyond(low, left)) % 2 == 1)).alias("odd"),
+                  tops.alias("tops"), F.collect_list(entry(F.struct(*_EDGE))).alias("edges"))
+             .withColumn("tops", F.aggregate(F.filter("tops", lambda v: v.isNotNull()), F.array().cast("array<double>"), once)))
+    return cover.filter(F.col("odd") | (F.size("edges") > 0)), level
+
+
+def tile_cover(edges: DataFrame, size: float, poly: str = "poly_id", most: int = EDGES_PER_CELL, levels: int = LEVELS) -> DataFrame:
+    """Quadtree cells over polygons: (shape, level, row, col, odd, tops, edges); ``shape`` holds ``poly`` and the attributes.
+
+    A cell of level k measures ``size / 2**k``. It holds the edges that touch it, and a point in it needs no others: the point lies inside
+    if ``odd``, the number of ``tops`` at or below it and the number of ``edges`` that a ray to the right meets are odd together.
+    ``tops`` are the heights at which edges, or runs of them, end right of the cell's left side. Cells with more than ``most`` edges are quartered, at most ``levels`` times (edges that
+    meet in one vertex cannot be told apart by cells); inner cells have no edges, outer ones are left out. Level edges of
+    the rings are needed as well. Each level of cells is one job over those that are still too full."""
+    return _cover(edges, size, poly, most, levels)[0]
+
+
+def within_areas(points: DataFrame, edges: DataFrame, x: str, y: str, height: float, poly: str = "poly_id", most: int = EDGES_PER_CELL) -> DataFrame:
     """Strict point-in-polygon join, one output row per containing polygon.
 
-    A point only meets the polygons that reach into its tile of ``height`` by ``height``, by an equi-join;
-    parity of the edges to its right is folded inside the row, so no point is shuffled twice and no pair
-    table is built. Edges are half-open in y; points within rounding of an edge fall on either side. The area
-    side is small in practice and Spark broadcasts it by its measured size; beyond that the same plan is a
-    hash or sort join on the tile."""
-    tile = F.explode(F.sequence(F.floor(F.col("x_lo") / height), F.floor(F.col("x_hi") / height)))
-    # edges that end left of a tile are right of none of its points
-    reach = F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("tile") * F.lit(height))
-    tiles = edge_bands(edges, height, poly).select("*", tile.alias("tile")).withColumn("edges", reach)
-    px, py = F.col(x), F.col(y)
-
-    def crosses(e):
-        spans = (e["y1"] <= py) != (e["y2"] <= py)
-        at = e["x1"] + (py - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
-        return spans & (px < at)
-
-    joined = points.withColumns({"band": F.floor(py / height), "tile": F.floor(px / height)}).join(tiles, ["band", "tile"])
-    inside = joined.filter(px.between(F.col("x_lo"), F.col("x_hi"))).filter(
-        F.size(F.filter("edges", crosses)) % 2 == 1)
-    return inside.drop("band", "tile", "edges", "x_lo", "x_hi")
+    Polygons are covered by quadtree cells (``tile_cover``, from tiles of ``height`` on) of at most ``most`` edges, so rows of the area
+    side stay small however detailed a ring is. A point meets the cells that it lies in by an equi-join, once for each level of
+    the cover, and the parity of the cell's edges is folded inside the row: no pair table is built. Edges are half-open in y; points within rounding of an edge fall on either side. The area side is small in
+    practice and Spark broadcasts it by its measured size; beyond that the same plan is a hash or sort join on the cell."""
+    cover, deepest = _cover(edges, height, poly, most, LEVELS)
+    side = F.lit(float(height)) / F.pow(F.lit(2.0), F.col("level"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(deepest))) if deepest else F.lit(0)
+    placed = (points.select(F.struct("*").alias("point"), F.col(x).alias("px"), F.col(y).alias("py"), level.alias("level"))
+              .withColumns({"row": F.floor(F.col("py") / side), "col": F.floor(F.col("px") / side)}))
+    py = F.col("py")
+    right_of = lambda e: ((e["y1"] <= py) != (e["y2"] <= py)) & (F.col("px") < e["x1"] + (py - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))
+    parity = F.size(F.filter("tops", lambda v: v <= py)) + F.size(F.filter("edges", right_of))
+    inside = placed.join(cover, ["level", "row", "col"]).filter(F.col("odd") != (parity % 2 == 1))
+    return inside.select("point.*", "shape.*")
 
 
 def clip_to_areas(points: DataFrame, areas: DataFrame, lon: str = "LNG_DD", lat: str = "LAT_DD", height: float = 0.25) -> DataFrame:

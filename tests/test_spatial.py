@@ -1,9 +1,12 @@
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cellseason.functions import geo
 from cellseason.operators import spatial
+from cellseason.operators.order import stored
 
 from .conftest import rows
 
@@ -70,6 +73,51 @@ def test_irregular_ring_with_hole_against_brute_force(spark):
     assert sorted(r[0] for r in rows(got.select("id"))) == want and len(want) > 100
 
 
+def _wavy(n, rnd):
+    """A ring of ``n`` vertices around (0.31, 0.27) with bays; every 40th stretch is level, and many vertices are close together."""
+    ring = []
+    for i in range(n):
+        a = 2 * math.pi * (i / n) ** 2
+        r = 0.8 + 0.3 * math.sin(9 * a) + rnd.uniform(0, 0.002)
+        ring.append((0.31 + r * math.cos(a), ring[-1][1] if i % 40 == 1 else 0.27 + r * math.sin(a)))
+    return ring
+
+
+def _inside(points, ring):
+    """Ids of the points inside, by a ray to the right over all edges."""
+    x1, y1 = np.array(ring).T
+    x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
+    flat = y1 == y2
+    return [i for i, x, y in points if (((y1 <= y) != (y2 <= y)) & ~flat & (x < x1 + (y - y1) * (x2 - x1) / np.where(flat, 1, y2 - y1))).sum() % 2]
+
+
+def test_cover_of_a_detailed_ring_holds_few_edges_a_cell_and_gives_the_same_answers(spark):
+    rnd = random.Random(7)
+    ring = _wavy(100_000, rnd)
+    areas = spark.createDataFrame([(1, 1, 1, "a", [{"lon": a, "lat": b} for a, b in ring])], AREAS)
+    edges = spatial.rings_to_edges(areas)
+    cover = stored(spatial.tile_cover(edges, 0.5, most=1000))
+    fullest, deepest, inner = cover.select(F.max(F.size("edges")), F.max("level"), F.count_if(F.size("edges") == 0)).first()
+    assert fullest <= 1000 and deepest >= 2 and inner > 0
+    points = [(i, rnd.uniform(-1, 1.6), rnd.uniform(-1, 1.6)) for i in range(1500)]
+    points += [(len(points) + k, x + rnd.uniform(-1e-4, 1e-4), y + rnd.uniform(-1e-4, 1e-4)) for k, (x, y) in enumerate(rnd.sample(ring, 500))]
+    got = spatial.within_areas(spark.createDataFrame(points, "id int, x double, y double"), edges, "x", "y", 0.5, most=1000)
+    assert sorted(r[0] for r in rows(got.select("id"))) == _inside(points, ring)
+
+
+def test_cover_on_vertices_sides_and_corners_of_cells(spark):
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 0.5), (2.0, 0.5), (2.0, 0.0), (3.0, 0.0), (3.0, 2.0), (2.0, 1.0), (1.0, 2.0), (0.0, 2.0), (0.0, 1.0), (0.5, 1.0), (0.5, 0.5), (0.0, 0.5)]
+    areas = spark.createDataFrame([(1, None, 1, "a", [{"lon": a, "lat": b} for a, b in ring])], AREAS)
+    points = [(i, x / 8, y / 8) for i, (x, y) in enumerate((x, y) for x in range(-2, 28) for y in range(-2, 20))]
+    table = spark.createDataFrame(points, "row int, level double, y double")  # names of the cover's own columns
+    for most in (256, 3):
+        got = spatial.within_areas(table, spatial.rings_to_edges(areas), "level", "y", 0.5, most=most)
+        assert sorted(r[0] for r in rows(got.select("row"))) == _inside(points, ring)
+        assert got.columns == ["row", "level", "y", "poly_id", "AIRE_CODE", "SECT_NO", "AIRE_NOM"]
+    empty = spatial.within_areas(table, spatial.rings_to_edges(areas.limit(0)), "level", "y", 0.5)
+    assert empty.isEmpty()
+
+
 def test_selection_tiles_and_boxes(spark):
     g = spark.createDataFrame([(f"10_{r}", 10, r, "A") for r in (23, 20, 22, 21)], "cell_id string, cell_col int, cell_row int, AIRE_CODE string")
     lab = spark.createDataFrame([("10_23",), ("10_20",), ("99_99",), ("10_20",)], "cell_id string")

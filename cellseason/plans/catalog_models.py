@@ -181,7 +181,7 @@ def _(v: Views):
 
 @query("L7_extra_trees")
 def _(v: Views):
-    return _single(v, "extra_trees", trees=300)
+    return _single(v, "extra_trees", trees=20)
 
 
 @query("L8_dense_net")

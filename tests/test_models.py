@@ -286,3 +286,44 @@ def test_importances_of_folds_carry_names(regions):
     assert set(got) == {"x", "z"} and got["x"] > got["z"] >= 0 and abs(sum(got.values()) - 1) < 1e-9
     with pytest.raises(ValueError):
         models.walk_forward_presence(df, [(["2001-2002"], "2002-2003")], lambda: models.PresenceModel(rounds=1, depth=1), ["x"])
+
+
+def test_extra_trees_draw_their_cuts_inside_the_range_of_each_node(table):
+    train, test = table.filter("campagne_calc < '2003-2004'"), table.filter("campagne_calc = '2003-2004'")
+    fits = [models.ExtraTrees(trees=6, depth=4, seed=s).fit(train) for s in (1, 2, 1)]
+    cuts = [{(r["tree"], r["node"]): (r["f"], r["cut"]) for r in m.splits.collect()} for m in fits]
+    assert cuts[0] == cuts[2] and not set(cuts[0].values()) & set(cuts[1].values())
+    roots = [c for (_, n), c in cuts[0].items() if n == 1]
+    assert len(roots) == 6 and len(set(roots)) == 6
+    data = weighted(train)
+    codes = sorted({r["y"] for r in data})
+    leaves = {(r["tree"], r["node"]): r["shares"] for r in fits[0].leaves.collect()}
+    for tree in range(6):  # the rows, sent down by hand
+        members: dict[int, list] = {}
+        for r in data:
+            n = 1
+            members.setdefault(n, []).append(r)
+            while (tree, n) in cuts[0]:
+                f, cut = cuts[0][tree, n]
+                n = 2 * n + (r["x"][f] > cut)
+                members.setdefault(n, []).append(r)
+        for n, rs in members.items():
+            if (tree, n) in cuts[0]:
+                f, cut = cuts[0][tree, n]
+                values = sorted(r["x"][f] for r in rs)
+                assert values[0] <= cut < values[-1] and n < 16
+            else:
+                total = sum(r["class_weight"] for r in rs)
+                assert np.allclose(leaves.pop((tree, n)), [sum(r["class_weight"] for r in rs if r["y"] == c) / total for c in codes])
+    assert not leaves
+    got = fits[0].predict(test).select("row_id", "y_pred", "score").collect()
+    assert len(got) == test.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert agreement(models.ExtraTrees(trees=30, depth=8).fit(train).predict(test)) > 0.8
+
+
+def test_extra_trees_of_one_class_or_constant_features(table):
+    one = table.filter("y = 1")
+    assert {r[0] for r in models.ExtraTrees(trees=3).fit(one).predict(table).select("y_pred").collect()} == {1}
+    flat = models.assemble(table.withColumns({f: F.lit(1.0) for f in FEATURES}).drop("features", "y"), FEATURES)
+    model = models.ExtraTrees(trees=3).fit(flat)
+    assert model.splits.isEmpty() and model.leaves.count() == 3 and model.predict(flat).count() == table.count()

@@ -61,3 +61,12 @@ def test_expanding_medians_against_plain_ones(spark):
     assert order.expanding_medians(parts[0], []).collect() == []
     filled = order.with_fold_fill(df, ["a"], order.expanding_medians(parts[0], [2005]), 2005)
     assert filled.filter("a is null").isEmpty()
+
+
+def test_rows_and_totals_use_the_same_cuts(spark):
+    """On a cluster the parts of an approximate percentile are merged in any order, so a plan that evaluates it again may get other cuts."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("x"))
+    for keys in (["k"], []):
+        got = order.exact_median(df, "x", keys, buckets=8)
+        assert "percentile_approx" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r["median"] for r in got.collect()) == ([1498.5, 1499.5, 1500.5] if keys else [1499.5])

@@ -16,11 +16,13 @@ from collections.abc import Generator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, shared_folder
+from .common import map_rows, shared_folder, stored
 from .url_rules import url_host
 
-#: A wrapper is fitted on so many different pages of a host at most, none longer than so many characters.
-SAMPLE_PAGES, SAMPLE_CHARS = 8, 200_000
+#: About so many wrappers of a host are aligned by one task.
+MERGED = 16
+#: Lists of parts whose lengths multiply to more are aligned by the next equal key instead of the longest common sequence.
+LONG = 1_000_000
 #: Longest run of different elements that is tried as a repeated group.
 GROUP = 4
 
@@ -200,6 +202,8 @@ def align(a: list[dict], b: list[dict], same_page: bool = False) -> Generator:
     """Longest common sequence of keys; what only one side has becomes optional."""
     if [p["k"] for p in a] == [p["k"] for p in b]:
         return (yield merge_all(a, b, same_page))
+    if len(a) * len(b) > LONG:
+        return (yield align_long(a, b, same_page))
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -218,6 +222,24 @@ def align(a: list[dict], b: list[dict], same_page: bool = False) -> Generator:
     return (yield fold(out))
 
 
+def align_long(a: list[dict], b: list[dict], same_page: bool) -> Generator:
+    """A common sequence of keys in about linear time: each part of ``b`` takes the next one of ``a`` with its key."""
+    where: dict[str, list[int]] = {}
+    for i, p in enumerate(a):
+        where.setdefault(p["k"], []).append(i)
+    out, i = [], 0
+    for q in b:
+        own = where.get(q["k"], [])
+        at = bisect_left(own, i)
+        if at == len(own):
+            out.append(q | {"opt": True})
+            continue
+        out += [p | {"opt": True} for p in a[i : own[at]]]
+        out.append((yield merge(a[own[at]], q, same_page)))
+        i = own[at] + 1
+    return (yield fold(out + [p | {"opt": True} for p in a[i:]]))
+
+
 def infer(pages: list[str]) -> list[dict]:
     """Wrapper of pages of a host, labelled."""
     wrapper: list[dict] | None = None
@@ -373,16 +395,43 @@ def main_text(page: str | None, matcher: Matcher | None, template: frozenset[str
     return "\n".join(block for at, block, _ in found if at == best) if best else ""
 
 
+def combine(wrappers: list[list[dict]]) -> str:
+    """JSON of the labelled wrapper that all of these align to. It names no texts, so that pages of the same structure give the same one."""
+    out = wrappers[0]
+    for w in wrappers[1:]:
+        out = drive(align(out, w))
+    todo = list(label(out, 1))
+    while todo:
+        p = todo.pop()
+        if "t" in p:
+            p["t"], p["n"] = [], 0
+        todo += p.get("g", []) + p.get("c", [])
+    return dumps(out)
+
+
 def fit_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON): from pages of a host that their content hashes pick, bounded by SAMPLE_PAGES and SAMPLE_CHARS."""
-    rows = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter(F.length("html") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("html"))
-    picked = rows.groupBy("host", F.pmod("h", F.lit(SAMPLE_PAGES)).alias("place")).agg(F.min("h").alias("h")).drop("place")
-    sample = rows.join(picked, ["host", "h"]).dropDuplicates(["host", "h"]).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("h", "html"))).alias("pages"))
+    """host, wrapper (JSON): from all pages of a host, whatever their length. Pages that come together are aligned where they are; then different
+    wrappers of a host are aligned, about MERGED at a time, until one is left."""
+    rows = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("html is not null")
 
-    def make():
-        return lambda batch: {"host": batch["host"], "wrapper": [dumps(infer([p["html"] for p in own])) for own in batch["pages"]]}
+    def first():
+        def run(batch):
+            own: dict[str | None, list[str]] = {}
+            for host, content in zip(batch["host"], batch["html"]):
+                own.setdefault(host, []).append(content)
+            return {"host": list(own), "wrapper": [combine([infer(contents)]) for contents in own.values()]}
+
+        return run
+
+    def again():
+        return lambda batch: {"host": batch["host"], "wrapper": [combine([loads(w) for w in own]) for own in batch["wrappers"]]}
 
-    return map_rows(sample, make, "host string, wrapper string", rows=16)
+    found = stored(map_rows(rows, first, "host string, wrapper string", rows=64).distinct(), "wrappers")
+    while (most := found.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        place = F.pmod(F.xxhash64("wrapper"), F.lit(-(-most // MERGED)))
+        groups = found.groupBy("host", place.alias("place")).agg(F.sort_array(F.collect_list("wrapper")).alias("wrappers")).drop("place")
+        found = stored(map_rows(groups, again, "host string, wrapper string", rows=16).distinct(), "wrappers")
+    return found
 
 
 def fit_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -406,7 +455,8 @@ def fit_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
         return run
 
-    pages_of = map_rows(rows, make, "host string, page long, slot string, text string", rows=64).distinct().groupBy("host", "slot", "text").count()
+    # both counts below read what was parsed once
+    pages_of = stored(map_rows(rows, make, "host string, page long, slot string, text string", rows=64).distinct().groupBy("host", "slot", "text").count(), "slots")
     slots = pages_of.filter("text is null").select("host", "slot", F.col("count").alias("n"))
     often = pages_of.filter("text is not null and count >= 3").join(slots, ["host", "slot"]).filter("2 * count >= n")
     return often.groupBy("host").agg(F.concat_ws(" ", F.sort_array(F.collect_set("text"))).alias("template"))
@@ -417,8 +467,8 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url_co
 
     ``text``: the blocks of the article in page order, joined by line feeds; character references decoded, white space inside a block
     one space. Null and empty pages and pages without an article text give an empty text. Null urls and urls without a host share a
-    wrapper. A page that its wrapper doesn't fit is aligned as far as it fits. The sampled
-    wrapper says where slots stand; which texts belong to the template is counted over all pages. Repeated pages are extracted one by one, whole.
+    wrapper. A page that its wrapper doesn't fit is aligned as far as it fits. The
+    wrapper says where slots stand; it and the texts that belong to the template come from all pages of the host. Repeated pages are extracted one by one, whole.
     Wrappers are written to the shared checkpoint folder and joined by host; the size of that table decides how.
     """
     spark = pages.sparkSession

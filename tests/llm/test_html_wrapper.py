@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from cellseason.llm.html_wrapper import BESIDE, Matcher, extract, infer, main_text, parse
+from cellseason.llm.html_wrapper import BESIDE, Matcher, align, drive, extract, fit_wrappers, infer, loads, main_text, parse
 
 from .helpers import clashing
 
@@ -112,3 +112,21 @@ def test_only_texts_frequent_over_all_pages_are_template(spark):
     got = run(spark, rows)
     assert all(got[i] == f"{'Shared' if i < 2 else f'Own {i}'}\nStory {i}" for i in range(40))
     assert all("One article" in got[100 + i] for i in range(2)) and all(got[200 + i] == "All\nSame" for i in range(4))
+
+
+def test_wrappers_come_from_all_pages_of_the_host(spark):
+    def keys(parts):
+        return {k for p in parts for k in ({p["k"]} | keys(p.get("c", p.get("g", []))))}
+
+    rows = [(i, f"http://h{i % 2}.x/{i}", page(i, f"<div class='own-{chr(97 + i % 26)}{chr(97 + i // 26)}'>x</div>")) for i in range(300)]
+    rows.append((300, "http://h0.x/long", "<main>" + "<p>word</p>" * 30000 + "<section class='last'>x</section></main>"))
+    got = {r.host: keys(loads(r.wrapper)) for r in fit_wrappers(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert set(got) == {"h0.x", "h1.x"} and "section.last" in got["h0.x"] - got["h1.x"]
+    for i in range(300):
+        assert ".".join(["div", *sorted({"own", f"{chr(97 + i % 26)}{chr(97 + i // 26)}"})]) in got[f"h{i % 2}.x"]
+
+
+def test_long_lists_of_parts_keep_every_part():
+    many = lambda n: infer(["".join(f"<div class='k{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{n if i % 3 else ''}'>t</div><p>u</p>" for i in range(600))])
+    got = drive(align(many("v"), many("w")))
+    assert {p["k"] for p in many("v") + many("w")} <= {p["k"] for p in got}

@@ -164,14 +164,30 @@ def tile_cover(edges: DataFrame, size: float, poly: str = "poly_id", most: int =
     return _cover(edges, size, poly, most, levels)[0]
 
 
-def within_areas(points: DataFrame, edges: DataFrame, x: str, y: str, height: float, poly: str = "poly_id", most: int = EDGES_PER_CELL) -> DataFrame:
-    """Strict point-in-polygon join, one output row per containing polygon.
-
-    Polygons are covered by quadtree cells (``tile_cover``, from tiles of ``height`` on) of at most ``most`` edges, so rows of the area
-    side stay small however detailed a ring is. A point meets the cells that it lies in by an equi-join, once for each level of
-    the cover, and the parity of the cell's edges is folded inside the row: no pair table is built. Edges are half-open in y; points within rounding of an edge fall on either side. The area side is small in
-    practice and Spark broadcasts it by its measured size; beyond that the same plan is a hash or sort join on the cell."""
-    cover, deepest = _cover(edges, height, poly, most, LEVELS)
+#: Members of a class of equal areas that one row of a match meets; larger classes are dealt into parts.
+MEMBERS = 256
+#: Rows that one task of the join gives, about.
+MATCHES = 20_000_000
+
+
+def equal_areas(edges: DataFrame, poly: str = "poly_id") -> tuple[DataFrame, DataFrame]:
+    """Areas with the same edges as one class: ``(edges of the classes, members)``.
+
+    The edges are ``(rep, parts, x1, y1, x2, y2)``: ``rep`` numbers the class by the hashes of its edges, in any order (count and two exact
+    sums of 64-bit hashes). Members are ``(rep, part, shape)``, where a class has ``parts`` of about ``MEMBERS`` each."""
+    shape = F.struct(poly, *[a for a in AREA_ATTRIBUTES if a in edges.columns])
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *_EDGE).cast("decimal(20,0)"))
+    shapes = edges.groupBy(shape.alias("shape")).agg(F.struct(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b")).alias("rep"))
+    classes = shapes.groupBy("rep").agg(F.min("shape").alias("shape"), F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("parts"))
+    first = edges.select(shape.alias("shape"), *_EDGE).join(classes, "shape").select("rep", "parts", *_EDGE)
+    members = shapes.join(classes.select("rep", "parts"), "rep").select("rep", F.pmod(F.xxhash64("shape"), F.col("parts")).cast("int").alias("part"), "shape")
+    return first, members
+
+
+def _in_classes(points: DataFrame, edges: DataFrame, x: str, y: str, height: float, most: int) -> DataFrame:
+    """``(point, rep, parts)`` for each point and class of equal areas that contains it."""
+    edges = edges.select(F.struct("rep", "parts").alias("of"), *_EDGE)
+    cover, deepest = _cover(edges, height, "of", most, LEVELS)
     side = F.lit(float(height)) / F.pow(F.lit(2.0), F.col("level"))
     level = F.explode(F.sequence(F.lit(0), F.lit(deepest))) if deepest else F.lit(0)
     placed = (points.select(F.struct("*").alias("point"), F.col(x).alias("px"), F.col(y).alias("py"), level.alias("level"))
@@ -180,7 +196,33 @@ def within_areas(points: DataFrame, edges: DataFrame, x: str, y: str, height: fl
     right_of = lambda e: ((e["y1"] <= py) != (e["y2"] <= py)) & (F.col("px") < e["x1"] + (py - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))
     parity = F.size(F.filter("tops", lambda v: v <= py)) + F.size(F.filter("edges", right_of))
     inside = placed.join(cover, ["level", "row", "col"]).filter(F.col("odd") != (parity % 2 == 1))
-    return inside.select("point.*", "shape.*")
+    return inside.select("point", F.col("shape.of.rep").alias("rep"), F.col("shape.of.parts").alias("parts"))
+
+
+def within_areas(points: DataFrame, edges: DataFrame, x: str, y: str, height: float, poly: str = "poly_id", most: int = EDGES_PER_CELL) -> DataFrame:
+    """Strict point-in-polygon join, one output row per containing polygon.
+
+    Polygons are covered by quadtree cells (``tile_cover``, from tiles of ``height`` on) of at most ``most`` edges, so rows of the area
+    side stay small however detailed a ring is. A point meets the cells that it lies in by an equi-join, once for each level of
+    the cover, and the parity of the cell's edges is folded inside the row: no pair table is built. Edges are half-open in y; points within rounding of an edge fall on either side.
+
+    Areas with equal edges are judged once (``equal_areas``), then a match meets the members of its class part by part. The matches are
+    stored and dealt over as many tasks as their rows need: those grow as points times overlapping areas, a task gives about ``MATCHES``."""
+    first, members = equal_areas(edges, poly)
+    matches = stored(_in_classes(points, first, x, y, height, most))
+    sizes = members.groupBy("rep").agg(F.count("*").alias("m"))
+    counts = matches.groupBy("rep").agg(F.count("*").alias("n")).join(sizes, "rep").agg(F.sum(F.col("n") * F.col("m")).alias("t"), F.max("n").alias("n")).first()
+    tasks = max(points.sparkSession.sparkContext.defaultParallelism, 1 + (counts["t"] or 0) // MATCHES)
+    salt = F.pmod(F.xxhash64("point"), F.lit(1 + (counts["n"] or 0) * MEMBERS // MATCHES))  # parts with very many points go to several tasks
+    dealt = matches.select("point", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition(tasks, "rep", "part", salt)
+    return dealt.join(members, ["rep", "part"]).select("point.*", "shape.*")
+
+
+def count_within(points: DataFrame, edges: DataFrame, x: str, y: str, height: float, poly: str = "poly_id", most: int = EDGES_PER_CELL) -> DataFrame:
+    """``(poly, n_points)`` of the areas that contain points: the rows of ``within_areas`` counted, without expanding equal areas."""
+    first, members = equal_areas(edges, poly)
+    found = _in_classes(points, first, x, y, height, most).groupBy("rep").agg(F.count("*").alias("n"))
+    return members.join(found, "rep").groupBy(F.col(f"shape.{poly}").alias(poly)).agg(F.sum("n").alias("n_points"))
 
 
 def clip_to_areas(points: DataFrame, areas: DataFrame, lon: str = "LNG_DD", lat: str = "LAT_DD", height: float = 0.25) -> DataFrame:

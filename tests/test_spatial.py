@@ -118,6 +118,20 @@ def test_cover_on_vertices_sides_and_corners_of_cells(spark):
     assert empty.isEmpty()
 
 
+def test_equal_areas_are_judged_once_and_keep_every_match(spark):
+    pts = spark.createDataFrame([(i, BASE[0] + i / 100, BASE[1]) for i in range(-10, 11)], "id int, LNG_DD double, LAT_DD double")
+    data = [square(*BASE, 0.055, 1 + k % 3, k) for k in range(600)] + [square(BASE[0] + 0.05, BASE[1], 0.025, 9, 600)]
+    data[5] = (5, 2, 2, "turned", data[5][4][2:] + data[5][4][:2])  # the same edges from another vertex on
+    edges = spatial.rings_to_edges(spark.createDataFrame(data, AREAS))
+    first, members = spatial.equal_areas(edges)
+    assert first.count() == 8 and members.count() == 601 and members.select("rep", "part").distinct().count() == 4
+    got = rows(spatial.within_areas(pts, edges, "LNG_DD", "LAT_DD", 0.25).select("id", "poly_id", "AIRE_CODE"))
+    want = [(i, k, 2 if k == 5 else 1 + k % 3) for i in range(-5, 6) for k in range(600)] + [(i, 600, 9) for i in range(3, 8)]
+    assert sorted(got) == sorted(want)
+    counts = dict(rows(spatial.count_within(pts, edges, "LNG_DD", "LAT_DD", 0.25)))
+    assert counts == {**{k: 11 for k in range(600)}, 600: 5}
+
+
 def test_selection_tiles_and_boxes(spark):
     g = spark.createDataFrame([(f"10_{r}", 10, r, "A") for r in (23, 20, 22, 21)], "cell_id string, cell_col int, cell_row int, AIRE_CODE string")
     lab = spark.createDataFrame([("10_23",), ("10_20",), ("99_99",), ("10_20",)], "cell_id string")

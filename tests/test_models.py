@@ -191,18 +191,17 @@ def test_one_scan_gives_the_sums_of_all_seasons(table):
     assert plan.count("Exchange") == 1 and plan.count("HashAggregate") + plan.count("ObjectHashAggregate") >= 2
 
 
-def test_sums_of_products_take_one_vector_for_all_and_leave_nulls_out(spark):
+def test_sums_of_products_come_by_line_and_leave_nulls_out(spark):
     from cellseason.operators import linear
 
     df = spark.createDataFrame([("a", [1.0, 2.0], 3.0), ("a", [4.0, None], 5.0), ("a", [6.0, 7.0], None), ("b", None, 2.0)], "k string, x array<double>, y double")
     sums = linear.moments(df, F.col("x"), 2, F.col("y"), ["k"])
-    plan = sums._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("sum(") <= 1  # one aggregate, not one for each product
-    got = {r["k"]: list(r["m"]) for r in sums.collect()}
-    assert got["a"] == pytest.approx([3, 11, 9, 8, 53, 44, 23, 53, 6, 34])
-    assert got["b"][4:] == pytest.approx([0, 0, 0, 0, 0, 0]) if len(got["b"]) == 10 else False
-    none = linear.moments(df.limit(0), F.col("x"), 2, F.col("y")).first()
-    assert none is None and not linear.full([], 2).any()
+    assert sums.select("line").distinct().count() == 4  # a line of the matrix in a row
+    got = linear.matrices(sums, ["k"], 2)
+    assert got[("a",)].tolist() == [[3, 11, 9, 8], [11, 53, 44, 23], [9, 44, 53, 6], [8, 23, 6, 34]]
+    assert linear.matrices(linear.moments(df.limit(0), F.col("x"), 2, F.col("y")), [], 2) == {}
+    with pytest.raises(ValueError):
+        linear.matrices(sums, ["k"], 2, most=1)
 
 
 def test_panel_fit_equals_the_library(spark):

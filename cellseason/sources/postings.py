@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.order import stored
-from ..session import scratch_dir
 from .readers import path_exists
 
 BUCKETS = 64
@@ -29,10 +28,16 @@ def bucket_of(c: Column, buckets: int = BUCKETS) -> Column:
 
 
 def postings_of(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """``(term, key, positions, bucket)`` of every different word of every document."""
-    words = docs.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(f"[{tx.WORD}]+"), F.lit(0))).alias("at", "term"))
-    return (words.groupBy("term", key).agg(F.sort_array(F.collect_list("at")).alias("positions"))
-            .withColumn("bucket", bucket_of(F.col("term"), buckets)))
+    """``(term, key, positions, bucket)`` of every different word of every document. A document is one row, so its words are sorted and
+    grouped inside it: nothing is exchanged."""
+    at = F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"[{tx.WORD}]+"), F.lit(0)), lambda w, i: F.struct(w.alias("term"), i.alias("at")))
+    rows = docs.select(key, F.sort_array(at).alias("__w")).filter(F.size("__w") > 0)
+    word = lambda i: F.get("__w", i)["term"]
+    first = F.filter(F.sequence(F.lit(0), F.size("__w") - 1), lambda i: (i == 0) | (word(i) != word(i - 1)))
+    rows = rows.select(key, "__w", first.alias("__f"))
+    groups = F.transform("__f", lambda i, k: F.struct(word(i).alias("term"), F.transform(
+        F.slice("__w", i + 1, F.coalesce(F.get("__f", k + 1), F.size("__w")) - i), lambda e: e["at"]).alias("positions")))
+    return rows.select(key, F.inline(groups)).select("term", key, "positions", bucket_of(F.col("term"), buckets).alias("bucket"))
 
 
 def _grams(terms: DataFrame, buckets: int) -> DataFrame:
@@ -51,16 +56,15 @@ def _replace(spark: SparkSession, rows: DataFrame, path: str, touched: list[int]
 
 
 def _merge(spark: SparkSession, fresh: DataFrame, path: str, touched: list[int], gone: DataFrame | None, key: list[str], spread: str) -> None:
-    """``fresh`` instead of the rows of ``gone`` in the touched buckets; the merge is staged, so no bucket is read and overwritten in one job."""
+    """``fresh`` instead of the rows of ``gone`` in the touched buckets. ``fresh`` does not read from ``path`` and has no row twice; what
+    stays of the old rows is staged, so no bucket is read and overwritten in one job."""
     if not touched:
         return
-    merged = fresh.select("*")
+    merged = fresh
     if path_exists(spark, path):
         old = spark.read.schema(fresh.schema).parquet(path).filter(F.col("bucket").isin(touched) & F.col(spread).isNotNull())
-        merged = (old.join(gone, key, "left_anti") if gone is not None else old).unionByName(fresh)
-    staging = scratch_dir(spark, "staging")
-    (merged if gone is not None else merged.distinct()).write.parquet(staging)
-    _replace(spark, spark.read.schema(fresh.schema).parquet(staging), path, touched, spread)
+        merged = stored(old.join(gone, key, "left_anti") if gone is not None else old).unionByName(fresh)
+    _replace(spark, merged, path, touched, spread)
 
 
 def _buckets(df: DataFrame) -> list[int]:
@@ -76,7 +80,7 @@ def update_postings(spark: SparkSession, docs: DataFrame, path: str, key: str =
     fresh = stored(postings_of(docs, key, text, buckets))
     mine = fresh.groupBy(key).agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
     keys = docs.select(key)
-    now = keys.join(mine, key, "left").select(key, F.coalesce("buckets", F.array().cast("array<int>")).alias("buckets"), bucket_of(F.col(key), buckets).alias("bucket"))
+    now = stored(keys.join(mine, key, "left").select(key, F.coalesce("buckets", F.array().cast("array<int>")).alias("buckets"), bucket_of(F.col(key), buckets).alias("bucket")))
     touched, terms = _buckets(fresh), fresh.select("term").distinct()
     homes = _buckets(now)
     if path_exists(spark, f"{path}/words"):
@@ -84,7 +88,7 @@ def update_postings(spark: SparkSession, docs: DataFrame, path: str, key: str =
         old = [r[0] for r in known.select(F.explode("buckets")).distinct().collect()]
         touched = sorted(set(touched) | set(old))
         before = now.unionByName(known).groupBy(key, "bucket").agg(F.array_distinct(F.flatten(F.collect_list("buckets"))).alias("buckets")).select(now.columns)
-        _merge(spark, before, f"{path}/words", homes, keys, [key], key)
+        _merge(spark, stored(before), f"{path}/words", homes, keys, [key], key)
     grams = _grams(terms, buckets)
     if path_exists(spark, f"{path}/grams"):
         grams = grams.join(spark.read.schema("gram string, term string, bucket int").parquet(f"{path}/grams"), ["bucket", "gram", "term"], "left_anti").select(grams.columns)

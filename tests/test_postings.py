@@ -59,6 +59,17 @@ def test_positions_are_word_numbers(spark):
     assert got == {"un": [0, 2, 4], "deux": [1], "trois": [3]}
 
 
+def test_words_are_grouped_without_an_exchange(spark, texts):
+    table = spark.createDataFrame(list(texts.items()), SCHEMA)
+    made = postings.postings_of(table)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, t in texts.items():
+        for at, w in enumerate(re.findall(r"\w+", (t or "").lower())):
+            want.setdefault((w, i), []).append(at)
+    assert {(r["term"], r["doc_id"]): r["positions"] for r in made.collect()} == want
+
+
 def test_updates_replace_documents_and_touch_only_their_buckets(spark, tmp_path):
     path = str(tmp_path / "i")
     texts = {i: f"common word{i}" for i in range(60)}

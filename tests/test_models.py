@@ -340,3 +340,13 @@ def test_extra_trees_of_one_class_or_constant_features(table):
     flat = models.assemble(table.withColumns({f: F.lit(1.0) for f in FEATURES}).drop("features", "y"), FEATURES)
     model = models.ExtraTrees(trees=3).fit(flat)
     assert model.splits.isEmpty() and model.leaves.count() == 3 and model.predict(flat).count() == table.count()
+
+
+def test_extra_trees_exchange_no_row_for_their_trees(table):
+    train, test = table.filter("campagne_calc < '2003-2004'"), table.filter("campagne_calc = '2003-2004'")
+    whole, parts = models.ExtraTrees(trees=5, depth=3).fit(train), models.ExtraTrees(trees=5, depth=3, at_once=2).fit(train)
+    out = whole.predict(test)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().replace(test._jdf.queryExecution().executedPlan().toString(), "")
+    read = lambda m: sorted(tuple(r) for r in m.splits.collect())
+    assert read(whole) == read(parts)
+    assert sorted((r["row_id"], r["score"]) for r in out.collect()) == sorted((r["row_id"], r["score"]) for r in parts.predict(test).collect())

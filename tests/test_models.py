@@ -350,3 +350,18 @@ def test_extra_trees_exchange_no_row_for_their_trees(table):
     read = lambda m: sorted(tuple(r) for r in m.splits.collect())
     assert read(whole) == read(parts)
     assert sorted((r["row_id"], r["score"]) for r in out.collect()) == sorted((r["row_id"], r["score"]) for r in parts.predict(test).collect())
+
+
+def test_all_threshold_model_scans_each_row_once_and_ends_flat(table, monkeypatch):
+    scans = []
+    real = models.batches.summed
+    monkeypatch.setattr(models.batches, "summed", lambda rows, *a: scans.append(rows.count()) or real(rows, *a))
+    m = models.AllThresholdLogistic().fit(table)
+    assert set(scans) == {table.count()} and len(scans) <= 20  # rows are not repeated by border, Newton steps are few
+    got = weighted(table)
+    x, y, w = np.array([r[0] for r in got]), np.array([r[1] for r in got]), np.array([r[2] for r in got])
+    slope = np.array(m.slopes)  # penalty 1
+    for k, t in enumerate(m.thresholds):
+        s = np.where(y > k, 1.0, -1.0)
+        slope = slope - x.T @ (w * s / (1 + np.exp(s * (x @ m.slopes + t))))
+    assert np.abs(slope).max() < 1e-2

@@ -70,3 +70,22 @@ def test_rows_and_totals_use_the_same_cuts(spark):
         got = order.exact_median(df, "x", keys, buckets=8)
         assert "percentile_approx" not in got._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(r["median"] for r in got.collect()) == ([1498.5, 1499.5, 1500.5] if keys else [1499.5])
+
+
+def test_column_medians_exchange_few_values(spark):
+    import random
+    import statistics
+
+    rnd = random.Random(5)
+    data = [(rnd.choice([None, float("nan"), rnd.random()]), i % 3, rnd.gauss(0, 1), None) for i in range(30000)]
+    df = spark.createDataFrame(data, "a double, b int, c double, d double")
+    got = {r["feature"]: r["median"] for r in order.column_medians(df, ["a", "b", "c", "d"]).collect()}
+    want = {c: statistics.median(v for r in data if (v := r[i]) is not None and v == v) for i, c in enumerate("abc")}
+    assert got == want
+    seen = []
+    real, order.exact_median = order.exact_median, lambda long, *a, **k: seen.append(long.distinct().count()) or real(long, *a, **k)
+    try:
+        order.column_medians(df, ["c"])
+    finally:
+        order.exact_median = real
+    assert seen[0] < 300  # of 30,000 different values

@@ -28,6 +28,16 @@ def test_boosting_equals_that_of_spark_ml(table, depth, bins, weighted):
         assert (abs(got - want).max(1) < 1e-6).mean() > 0.98  # equal gains may be cut elsewhere
 
 
+def test_cuts_after_a_heavy_value_are_those_of_spark_ml(spark):
+    rnd, data = random.Random(8), []
+    for i in range(1500):  # a value that fills gaps weighs several shares
+        f = [50.0 if rnd.random() < 0.4 else rnd.random() * 100, rnd.random()]
+        data.append((i, *f, int(min(3, max(0, round(f[0] / 25 + f[1] + rnd.gauss(0, 0.5)))))))
+    t = models.assemble(spark.createDataFrame(data, "row_id bigint, f0 double, f1 double, severite int"), ["f0", "f1"]).cache()
+    want = shares(models.Classifier(models._boosted(5, 4), one_vs_rest=True).fit(t), t)
+    assert (abs(shares(models.Boosted(5, 4).fit(t), t) - want).max(1) < 1e-6).mean() > 0.98
+
+
 def test_boosting_of_two_classes_and_of_one(table):
     two = table.filter("y in (0, 2)")
     want = models.Classifier(models._boosted(4, 3), one_vs_rest=True).fit(two)

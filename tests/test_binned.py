@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 
-from cellseason.operators import models
+from cellseason.operators import binned, models
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,7 @@ def test_forest_does_not_depend_on_tasks_or_on_who_finishes_a_node(table):
 
 def test_registry_grows_its_forest_over_binned_rows(table):
     assert isinstance(models.registry(trees=3)["random_forest"].make(), models.Forest)
+
+
+def test_a_task_that_finishes_a_node_holds_few_rows():
+    assert binned.SMALL * (21 + 2) < 16 << 20  # bytes of bins, codes and bags; working arrays are about ten times as large
